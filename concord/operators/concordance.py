@@ -53,40 +53,25 @@ def wide_contingency(df: DataFrame, a: str, b: str, values: Sequence) -> DataFra
 def partition_agreement(cell: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n_items, ari, nmi, n_a, n_b): adjusted Rand and arithmetic-mean NMI.
 
-    Degenerate cases follow the usual conventions: both partitions trivial gives 1.0.
+    Margins are window sums over the few cells; weighted by the cell count, every margin
+    term becomes a sum over cells, so one aggregate gives both indices. Degenerate cases
+    follow the usual conventions: both partitions trivial gives 1.0.
     """
-    n = F.col("n").cast("double")
-    cell = cell.select(*keys, "a", "b", n.alias("n"))
-    ma = cell.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
-    mb = cell.groupBy(*keys, "b").agg(F.sum("n").alias("nb"))
-    k = list(keys)
-    joint = cell.join(ma, [*k, "a"]).join(mb, [*k, "b"])
-    sums = joint.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.sum(_c2(n)).alias("cc"), F.sum(n * F.ln(n / (F.col("na") * F.col("nb")))).alias("mi"),
+    n, na, nb = F.col("n"), F.col("na"), F.col("nb")
+    margin = lambda c: F.sum("n").over(Window.partitionBy(*keys, c))
+    counted = cell.select(*keys, "a", "b", F.col("n").cast("double").alias("n"))
+    sums = counted.withColumn("na", margin("a")).withColumn("nb", margin("b")).groupBy(*keys).agg(
+        F.sum(n).alias("total"), F.sum(_c2(n)).alias("cc"), F.sum(n * (na - 1) / 2).alias("c_a"), F.sum(n * (nb - 1) / 2).alias("c_b"),
+        F.sum(n * F.ln(n / (na * nb))).alias("mi"), F.sum(n * F.ln(na)).alias("e_a"), F.sum(n * F.ln(nb)).alias("e_b"),
+        F.round(F.sum(n / na)).cast("long").alias("n_a"), F.round(F.sum(n / nb)).cast("long").alias("n_b"),
     )
-
-    def entropy(m: DataFrame, c: str, name: str) -> DataFrame:
-        v = F.col(c)
-        return m.groupBy(*keys).agg(
-            F.sum(_c2(v)).alias(f"c_{name}"), F.sum(v * F.ln(v)).alias(f"e_{name}"), F.count(F.lit(1)).alias(f"n_{name}")
-        )
-
-    ea, eb = entropy(ma, "na", "a"), entropy(mb, "nb", "b")
-    if keys:
-        out = sums.join(ea, k).join(eb, k)
-    else:
-        out = sums.withColumns({c: t.select(c).scalar() for t, s in ((ea, "a"), (eb, "b")) for c in (f"c_{s}", f"e_{s}", f"n_{s}")})
     total = F.col("total")
     ha, hb = F.ln(total) - F.col("e_a") / total, F.ln(total) - F.col("e_b") / total
-    mi = F.col("mi") / total + F.ln(total)
     nmi = F.when((F.col("n_a") == 1) & (F.col("n_b") == 1), F.lit(1.0)).otherwise(
-        F.greatest(mi, F.lit(0.0)) / F.greatest((ha + hb) / 2, F.lit(1e-300))
+        F.greatest(F.col("mi") / total + F.ln(total), F.lit(0.0)) / F.greatest((ha + hb) / 2, F.lit(1e-300))
     )
     ari = ari_from_sums(F.col("cc"), F.col("c_a"), F.col("c_b"), total)
-    return out.select(
-        *keys, total.cast("long").alias("n_items"), ari.alias("ari"), nmi.alias("nmi"),
-        F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
-    )
+    return sums.select(*keys, total.cast("long").alias("n_items"), ari.alias("ari"), nmi.alias("nmi"), "n_a", "n_b")
 
 
 def expand_labels(detected: DataFrame, memberships: DataFrame, missing=-1) -> DataFrame:
@@ -372,17 +357,13 @@ def pair_intermediacy(items: DataFrame) -> DataFrame:
     the C(n, 2) of its joint cells, so no pair is formed.
     """
     sides = ["theory", "empirical", "detected"]
+    sets = {"t": ["theory"], "e": ["empirical"], "d": ["detected"], "te": ["theory", "empirical"],
+            "td": ["theory", "detected"], "ed": ["empirical", "detected"], "ted": sides}
     full = items.groupBy(*sides).agg(F.count(F.lit(1)).cast("double").alias("n"))
-
-    def together(*cols: str) -> Column:
-        return full.groupBy(*cols).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(_c2(F.col("n"))), F.lit(0.0))).scalar()
-
-    base = full.agg(_c2(F.sum("n")).alias("all")).select(
-        "all", together("theory").alias("t"), together("empirical").alias("e"), together("detected").alias("d"),
-        together("theory", "empirical").alias("te"), together("theory", "detected").alias("td"),
-        together("empirical", "detected").alias("ed"), together(*sides).alias("ted"),
-    )
-    return _intermediacy_rows(base)
+    # a cell of n items in a group of N adds n (N - 1) / 2 pairs
+    wide = full.withColumns({f"n_{k}": F.sum("n").over(Window.partitionBy(*cols)) for k, cols in sets.items()})
+    pairs = lambda k: F.coalesce(F.sum(F.col("n") * (F.col(f"n_{k}") - 1) / 2), F.lit(0.0)).alias(k)
+    return _intermediacy_rows(wide.agg(_c2(F.sum("n")).alias("all"), *[pairs(k) for k in sets]))
 
 
 def pair_intermediacy_any(items: DataFrame) -> DataFrame:

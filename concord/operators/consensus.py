@@ -348,48 +348,45 @@ def ari_to_consensus(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     return _ari_by_run(run_cells(profiles, clusters))
 
 
-def _ari_by_run(cells: DataFrame) -> DataFrame:
-    n = F.col("n").cast("double")
-    inner = cells.groupBy("run_id").agg(F.sum(_choose2(n)).alias("cells"), F.sum("n").alias("total"))
-    by_label = cells.groupBy("run_id", "label").agg(F.sum("n").cast("double").alias("n"))
-    by_cluster = cells.groupBy("run_id", "cluster").agg(F.sum("n").cast("double").alias("n"))
-    lab = by_label.groupBy("run_id").agg(F.sum(_choose2(n)).alias("by_label"))
-    clu = by_cluster.groupBy("run_id").agg(F.sum(_choose2(n)).alias("by_cluster"))
-    return inner.join(lab, "run_id").join(clu, "run_id").select(
-        "run_id", ari_from_sums(F.col("cells"), F.col("by_label"), F.col("by_cluster"), F.col("total").cast("double")).alias("ari")
+def _pair_sums(cells: DataFrame) -> DataFrame:
+    """Per run: item count and the pair sums of cells, labels and clusters.
+
+    A cell of n items in a margin of N adds n (N - 1) / 2 pairs, so the margins are window
+    sums over the few cells of a run.
+    """
+    n = F.col("n")
+    counted = cells.withColumn("n", n.cast("double"))
+    margin = lambda c: F.sum("n").over(Window.partitionBy("run_id", c))
+    return counted.withColumn("nl", margin("label")).withColumn("nc", margin("cluster")).groupBy("run_id").agg(
+        F.sum(n).alias("total"), F.sum(_choose2(n)).alias("together"),
+        F.sum(n * (F.col("nl") - 1) / 2).alias("by_label"), F.sum(n * (F.col("nc") - 1) / 2).alias("by_cluster"),
     )
 
 
+def _run_ari():
+    return ari_from_sums(F.col("together"), F.col("by_label"), F.col("by_cluster"), F.col("total"))
+
+
+def _ari_by_run(cells: DataFrame) -> DataFrame:
+    return _pair_sums(cells).select("run_id", _run_ari().alias("ari"))
+
+
 def consensus_validation(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row: ARI of the runs to the consensus, within/between co-association, coverage.
 
     Spread is the population one; singletons never count as well represented.
     """
-    cells = run_cells(profiles, clusters).persist()
-    ari = _ari_by_run(cells).agg(
-        F.avg("ari").alias("mean_ari"), F.median("ari").alias("median_ari"), F.stddev_pop("ari").alias("sd_ari"),
-        F.min("ari").alias("min_ari"), F.max("ari").alias("max_ari"), F.count("ari").alias("n_runs"),
-    )
-    n = F.col("n").cast("double")
-    together = cells.agg(F.sum(_choose2(n)).alias("within_same"))
-    all_same = cells.groupBy("run_id", "label").agg(F.sum("n").cast("double").alias("n")).agg(F.sum(_choose2(n)).alias("all_same"))
-    sizes = cells.filter("run_id = 0").groupBy("cluster").agg(F.sum("n").cast("double").alias("n"))
-    pairs = sizes.agg(F.sum(_choose2(n)).alias("within_pairs"), _choose2(F.sum("n")).alias("all_pairs"))
     covered = item_stability(profiles, clusters).agg(
         (100.0 * F.avg(F.when((F.col("stability") > 0.5) & (F.col("cluster_size") > 1), 1.0).otherwise(0.0))).alias("pct")
     )
-    runs = F.col("n_runs")
-    return (
-        ari.select(
-            "*", together.scalar().alias("ws"), all_same.scalar().alias("asame"),
-            pairs.select("within_pairs").scalar().alias("wp"), pairs.select("all_pairs").scalar().alias("ap"),
-            covered.scalar().alias("well_represented_pct"),
-        )
-        .withColumn("within", F.col("ws") / (runs * F.col("wp")))
-        .withColumn("between", (F.col("asame") - F.col("ws")) / (runs * (F.col("ap") - F.col("wp"))))
-        .withColumn("separation", F.when(F.col("between") > 0, F.col("within") / F.col("between")))
-        .drop("ws", "asame", "wp", "ap")
-    )
+    all_pairs = _choose2(F.col("total"))
+    within = F.sum("together") / F.sum("by_cluster")
+    between = (F.sum("by_label") - F.sum("together")) / F.sum(all_pairs - F.col("by_cluster"))
+    return _pair_sums(run_cells(profiles, clusters)).withColumn("ari", _run_ari()).agg(
+        F.avg("ari").alias("mean_ari"), F.median("ari").alias("median_ari"), F.stddev_pop("ari").alias("sd_ari"),
+        F.min("ari").alias("min_ari"), F.max("ari").alias("max_ari"), F.count("ari").alias("n_runs"),
+        within.alias("within"), between.alias("between"), F.when(between > 0, within / between).alias("separation"),
+    ).withColumn("well_represented_pct", covered.scalar())
 
 
 def run_pair_ari(profiles: DataFrame, max_pairs: int = 5000) -> DataFrame:
