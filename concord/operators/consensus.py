@@ -477,58 +477,84 @@ def _agglomerate_profiles(active: DataFrame) -> DataFrame:
         [T.StructField("child", id_type), T.StructField("parent", id_type), T.StructField("sim", T.DoubleType()),
          T.StructField("step", T.LongType())]
     )
-    while active.count() > FINISH_CLUSTERS:
-        nearest = topk_similar(active.select("id", "vec"), active.select("id", "vec"), 1, metric="dot", exclude_same=True)
+    while (n := active.count()) > FINISH_CLUSTERS:
+        vec = active.select("id", "vec")
+        nearest = topk_similar(vec, vec, 1, metric="dot", exclude_same=True, sizes=(n, n))
         back = nearest.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
-        pairs = materialize(
-            nearest.join(back, ["left_id", "right_id"]).filter("left_id < right_id")
-            .select(F.col("right_id").alias("child"), F.col("left_id").alias("parent"), "sim", F.lit(step).cast("long").alias("step"))
+        pairs = nearest.join(back, ["left_id", "right_id"]).filter("left_id < right_id").select(
+            F.col("right_id").alias("id"), F.col("left_id").alias("parent"), "sim"
         )
-        merges = pairs if merges is None else merges.unionByName(pairs)
-        moved = active.join(pairs.select(F.col("child").alias("id"), "parent"), "id", "left").select(
-            F.coalesce("parent", "id").alias("id"), "vec", "size"
+        moved = active.select("id", "vec", "size").join(pairs, "id", "left").select(
+            F.coalesce("parent", "id").alias("id"), "vec", "size", F.when(F.col("parent").isNotNull(), F.col("id")).alias("child"), "sim"
         )
-        grown = moved.groupBy("id").agg(
-            vector_to_array(
-                Summarizer.mean(array_to_vector("vec"), F.col("size").cast("double"))
-            ).alias("vec"),
-            F.sum("size").alias("size"),
+        # one table per round: the new clusters, each naming the cluster it took in
+        active = materialize(
+            moved.groupBy("id").agg(
+                vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("size").cast("double"))).alias("vec"),
+                F.sum("size").alias("size"), F.max("child").alias("child"), F.max("sim").alias("sim"),
+            )
         )
-        active = materialize(grown)
+        taken = active.filter("child is not null").select("child", F.col("id").alias("parent"), "sim", F.lit(step).cast("long").alias("step"))
+        merges = taken if merges is None else merges.unionByName(taken)
         step += 1
     # at most FINISH_CLUSTERS cluster profiles remain: the top of the dendrogram
     rows = sorted(active.collect(), key=lambda r: r["id"])
-    ids = [r["id"] for r in rows]
     vec = np.array([r["vec"] for r in rows])
-    size = np.array([r["size"] for r in rows], dtype=float)
-    alive, out = list(range(len(ids))), []
-    while len(alive) > 1:
-        s = np.round(vec[alive] @ vec[alive].T, 9)
-        s[np.tril_indices(len(alive))] = -np.inf
-        i, j = np.unravel_index(int(s.argmax()), s.shape)
-        a, b = alive[i], alive[j]
-        out.append((ids[b], ids[a], float(s[i, j]), step))
-        vec[a] = (vec[a] * size[a] + vec[b] * size[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        alive.remove(b)
-        step += 1
-    top = spark.createDataFrame(out, schema)
+    top = _finish_linkage([r["id"] for r in rows], np.array([r["size"] for r in rows]), vec @ vec.T, "average", step, -np.inf)
+    top = spark.createDataFrame(top, schema)
     return top if merges is None else merges.unionByName(top)
 
 
+def _finish_linkage(ids: list, sizes: np.ndarray, sims: np.ndarray, linkage: str, step: int, floor: float) -> list[tuple]:
+    """Sequential merges of a bounded remainder of clusters, while similarity exceeds ``floor``."""
+    s, n = np.array(sims, dtype=float), sizes.astype(float)
+    np.fill_diagonal(s, -np.inf)
+    out = []
+    for _ in range(len(ids) - 1):
+        flat = int(np.where(np.tri(len(ids), dtype=bool), -np.inf, np.round(s, 9)).argmax())
+        i, j = divmod(flat, len(ids))
+        if not s[i, j] > floor:
+            break
+        out.append((ids[j], ids[i], float(round(s[i, j], 9)), step))
+        joined = {
+            "average": (s[i] * n[i] + s[j] * n[j]) / (n[i] + n[j]), "complete": np.minimum(s[i], s[j]),
+        }[linkage]
+        s[i, :], s[:, i] = joined, joined
+        s[j, :], s[:, j] = -np.inf, -np.inf
+        s[i, i] = -np.inf
+        n[i] += n[j]
+        step += 1
+    return out
+
+
 def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
     """Merge table from an explicit pair table (id_a, id_b, share); absent pairs count as 0.
 
-    Rounds of reciprocal nearest clusters, exact for the reducible linkages
-    ``single``, ``complete`` and ``average``.
+    Rounds of reciprocal nearest clusters, exact for the reducible linkages ``complete`` and
+    ``average``; single linkage has its own form, :func:`single_linkage_cut`.
     """
-    if linkage not in ("single", "complete", "average"):
+    if linkage not in ("complete", "average"):
         raise ValueError(f"unknown linkage {linkage}")
     both = edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("share").alias("sim"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     active = materialize(both.filter("sim > 0").withColumn("na", F.lit(1.0)).withColumn("nb", F.lit(1.0)))
+    id_type = nodes.schema["id"].dataType
+    schema = T.StructType(
+        [T.StructField("child", id_type), T.StructField("parent", id_type), T.StructField("sim", T.DoubleType()),
+         T.StructField("step", T.LongType())]
+    )
     merges, step = None, 0
     while True:
+        few = active.select("a").distinct().limit(FINISH_CLUSTERS + 1).count()
+        if few <= FINISH_CLUSTERS:
+            rows = active.collect()  # at most FINISH_CLUSTERS^2 cluster pairs
+            ids = sorted({r["a"] for r in rows})
+            at = {c: i for i, c in enumerate(ids)}
+            sims, sizes = np.zeros((len(ids), len(ids))), np.ones(len(ids))
+            for r in rows:
+                sims[at[r["a"]], at[r["b"]]], sizes[at[r["a"]]] = r["sim"], r["na"]
+            top = nodes.sparkSession.createDataFrame(_finish_linkage(ids, sizes, sims, linkage, step, 0.0), schema)
+            return top if merges is None else merges.unionByName(top)
         best = active.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("minus"), F.col("b"))).alias("t")).select(
             "a", F.col("t.b").alias("b"), (-F.col("t.minus")).alias("sim")
         )
@@ -537,8 +563,6 @@ def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
             best.join(back, ["a", "b"]).filter("a < b")
             .select(F.col("b").alias("child"), F.col("a").alias("parent"), "sim", F.lit(step).cast("long").alias("step"))
         )
-        if pairs.isEmpty():
-            break
         merges = pairs if merges is None else merges.unionByName(pairs)
         move_a = pairs.select(F.col("child").alias("a"), F.col("parent").alias("pa"))
         move_b = pairs.select(F.col("child").alias("b"), F.col("parent").alias("pb"))
@@ -552,14 +576,13 @@ def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
             F.coalesce("pa", "a").alias("a")
         ).agg(F.sum("na").alias("total"), F.count(F.lit(1)).alias("parts"))
         grouped = moved.groupBy("a", "b").agg(
-            F.max("sim").alias("hi"), F.min("sim").alias("lo"), F.count(F.lit(1)).alias("seen"),
+            F.min("sim").alias("lo"), F.count(F.lit(1)).alias("seen"),
             F.sum(F.col("sim") * F.col("na") * F.col("nb")).alias("mass"),
         )
         sa = sizes.select("a", F.col("total").alias("na"), F.col("parts").alias("parts_a"))
         sb = sizes.select(F.col("a").alias("b"), F.col("total").alias("nb"), F.col("parts").alias("parts_b"))
         whole = F.col("seen") == F.col("parts_a") * F.col("parts_b")
         value = {
-            "single": F.col("hi"),
             "complete": F.when(whole, F.col("lo")).otherwise(F.lit(0.0)),
             "average": F.round(F.col("mass") / (F.col("na") * F.col("nb")), 9),
         }[linkage]
@@ -567,12 +590,86 @@ def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
             grouped.join(sa, "a").join(sb, "b").select("a", "b", value.alias("sim"), "na", "nb").filter("sim > 0")
         )
         step += 1
-    return merges if merges is not None else nodes.sparkSession.createDataFrame(
-        [], T.StructType([T.StructField("child", nodes.schema["id"].dataType), T.StructField("parent", nodes.schema["id"].dataType),
-                          T.StructField("sim", T.DoubleType()), T.StructField("step", T.LongType())])
+
+
+def _jump(parent: DataFrame) -> DataFrame:
+    """(node, root) from (node, up) by pointer jumping: the depth halves with every join."""
+    while True:
+        above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = materialize(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        parent = step.select("node", "up")
+        if step.filter("moved").isEmpty():
+            return parent.withColumnRenamed("up", "root")
+
+
+def spanning_forest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Maximum spanning forest of (id_a, id_b, share): its edges, and (id, root) components.
+
+    Every component takes its best outgoing edge at once, so the number of components at
+    least halves per round; parallel edges between two components are reduced to the best.
+    A total order on edges (share, then both ids) keeps the choice free of cycles.
+    """
+    one = edges.select(F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), F.struct(
+        (-F.col("share")).alias("minus"), F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi")).alias("e"))
+    active = materialize(one.unionByName(one.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "e")))
+    label, tree = nodes.select("id", F.col("id").alias("root")), None
+    while True:
+        rows = active.select("ca").distinct().limit(FINISH_CLUSTERS + 1).count()
+        if rows <= FINISH_CLUSTERS:
+            break
+        best = materialize(active.groupBy("ca").agg(F.min(F.struct("e", "cb")).alias("b")).select("ca", "b.cb", "b.e"))
+        tree = best.select("e") if tree is None else tree.unionByName(best.select("e"))
+        # two components that choose each other: the smaller one becomes the root
+        back = best.select(F.col("ca").alias("cb"), F.col("cb").alias("back"))
+        hooked = best.join(back, "cb", "left").select(
+            F.col("ca").alias("node"), F.when((F.col("back") == F.col("ca")) & (F.col("ca") < F.col("cb")), F.col("ca")).otherwise(F.col("cb")).alias("up")
+        )
+        roots = _jump(materialize(hooked))
+        label = materialize(_relabel(label, roots))
+        ra = roots.select(F.col("node").alias("ca"), F.col("root").alias("ra"))
+        rb = roots.select(F.col("node").alias("cb"), F.col("root").alias("rb"))
+        active = materialize(
+            active.join(ra, "ca").join(rb, "cb").filter("ra <> rb").groupBy(F.col("ra").alias("ca"), F.col("rb").alias("cb")).agg(F.min("e").alias("e"))
+        )
+    # at most FINISH_CLUSTERS components: the rest of the tree from their best mutual edges
+    root: dict = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    last = []
+    for r in sorted(active.collect(), key=lambda r: tuple(r["e"])):
+        a, b = sorted((find(r["ca"]), find(r["cb"])))
+        if a != b:
+            root[b] = a
+            last.append((r["e"],))
+    spark = nodes.sparkSession
+    final = spark.createDataFrame([(c, find(c)) for c in root] or [], T.StructType([T.StructField("node", nodes.schema["id"].dataType), T.StructField("root", nodes.schema["id"].dataType)]))
+    tail = spark.createDataFrame(last, active.select("e").schema)
+    tree = tail if tree is None else tree.unionByName(tail)
+    tree = tree.distinct().select(F.col("e.lo").alias("id_a"), F.col("e.hi").alias("id_b"), (-F.col("e.minus")).alias("share"))
+    return tree, _relabel(label, final)
+
+
+def _relabel(label: DataFrame, roots: DataFrame) -> DataFrame:
+    return label.join(roots.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select(
+        "id", F.coalesce("new", "root").alias("root")
     )
 
 
+def single_linkage_cut(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(id, root): single linkage is the maximum spanning forest without its lowest edges."""
+    tree = materialize(spanning_forest(edges, nodes)[0])
+    components = nodes.count() - tree.count()
+    undo = max(k - components, 0)
+    if undo:
+        lowest = tree.orderBy("share", F.desc("id_a"), F.desc("id_b")).limit(undo)
+        tree = tree.join(lowest, ["id_a", "id_b"], "left_anti")
+    return _join_spare(materialize(spanning_forest(tree, nodes)[1]), components, k)
+
+
 def cut_merges(merges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(id, root): clusters after undoing the k - 1 last (lowest) merges.
 
@@ -585,16 +682,9 @@ def cut_merges(merges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     if undo:
         last = merges.orderBy("sim", F.desc("step"), F.desc("child")).limit(undo)
         kept = merges.join(last.select("child"), "child", "left_anti")
-    parent = materialize(
-        nodes.select("id").join(kept.select(F.col("child").alias("id"), "parent"), "id", "left")
-        .select("id", F.coalesce("parent", "id").alias("root"))
-    )
-    while True:
-        up = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = materialize(parent.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        parent = jumped.select("id", "root")
-        if jumped.filter("moved").isEmpty():
-            return _join_spare(parent, components, k)
+    parent = nodes.select(F.col("id").alias("node")).join(kept.select(F.col("child").alias("node"), "parent"), "node", "left")
+    roots = _jump(materialize(parent.select("node", F.coalesce("parent", "node").alias("up"))))
+    return _join_spare(roots.withColumnRenamed("node", "id"), components, k)
 
 
 def _join_spare(parent: DataFrame, components: int, k: int) -> DataFrame:
@@ -627,6 +717,8 @@ def consensus_cut(profiles: DataFrame, k: int, linkage: str = "average") -> Data
         spread = every.join(roots.withColumnRenamed("id", "leader"), "leader").select("id", "root")
         return number_clusters(spread)
     nodes = profiles.select("id")
+    if linkage == "single":
+        return number_clusters(single_linkage_cut(coassociation(profiles, 1e-9), nodes, k))
     return number_clusters(cut_merges(edge_linkage(coassociation(profiles, 1e-9), nodes, linkage), nodes, k))
 
 

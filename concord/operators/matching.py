@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.vectors import SIM_DIGITS, cosine
-from concord.operators.similarity import topk_similar
+from concord.operators.similarity import pair_schema, similar_pairs, topk_similar
 from concord.runtime import materialize
 
 PAIR = ["left_id", "right_id", "sim"]
 LIST_SIZE = 16
 SHRINK_EVERY = 4
+# Bounded remainders that are finished without another distributed round.
+FINISH_NODES = 64
+FINISH_EDGES = 4096
 
 
 def _drop_used(edges: DataFrame, used: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -38,40 +41,56 @@ def _best(edges: DataFrame, side: str, other: str, keys: Sequence[str]) -> DataF
     )
 
 
-def _mutual_rounds(left_lists: DataFrame, right_lists: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Mutual-best rounds until no node's list names a partner that names it back.
+def _mutual(left_lists: DataFrame, right_lists: DataFrame, used: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Pairs in which each end is the other's best remaining candidate.
 
-    ``left_lists`` holds each left node's candidates, ``right_lists`` each right node's.
-    A list that is a prefix of the node's full ranking stays exact while one of its
+    ``left_lists`` holds each left node's candidates, ``right_lists`` each right node's. A
+    list that is a prefix of the node's full ranking stays exact while one of its
     candidates is alive; a node whose list is used up simply waits.
     """
-    used: DataFrame | None = None
-    found: DataFrame | None = None
-    rounds = 0
+    ll = _drop_used(left_lists, used, keys)
+    rl = ll if left_lists is right_lists else _drop_used(right_lists, used, keys)
+    return materialize(
+        _best(ll, "left_id", "right_id", keys).join(
+            _best(rl, "right_id", "left_id", keys).drop("sim"), [*keys, "left_id", "right_id"]
+        ).select(*keys, *PAIR)
+    )
+
+
+def _greedy(edges: list, n_keys: int) -> list[tuple]:
+    """Greedy match of a bounded number of edge rows (keys, left_id, right_id, sim)."""
+    taken_left, taken_right, out = set(), set(), []
+    for row in sorted(edges, key=lambda r: (-r[-1], *r[n_keys:-1])):
+        key, left, right = row[:n_keys], row[n_keys], row[n_keys + 1]
+        if (key, left) not in taken_left and (key, right) not in taken_right:
+            taken_left.add((key, left))
+            taken_right.add((key, right))
+            out.append(tuple(row))
+    return out
+
+
+def match_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Greedy exclusive match over an explicit edge table (left_id, right_id, sim).
+
+    Rounds run until FINISH_EDGES or fewer edges are alive; that remainder is finished directly.
+    """
+    alive, found = materialize(edges.select(*keys, *PAIR)), None
     while True:
-        ll, rl = _drop_used(left_lists, used, keys), _drop_used(right_lists, used, keys)
-        mutual = materialize(
-            _best(ll, "left_id", "right_id", keys).join(
-                _best(rl, "right_id", "left_id", keys).drop("sim"), [*keys, "left_id", "right_id"]
-            ).select(*keys, *PAIR)
-        )
-        if mutual.isEmpty():
-            return found
+        rest = alive.limit(FINISH_EDGES + 1).collect()
+        if len(rest) <= FINISH_EDGES:
+            tail = edges.sparkSession.createDataFrame(_greedy(rest, len(keys)), alive.schema)
+            return tail if found is None else found.unionByName(tail)
+        mutual = _mutual(alive, alive, None, keys)
         found = mutual if found is None else found.unionByName(mutual)
-        used = mutual if used is None else used.unionByName(mutual)
-        rounds += 1
-        if rounds % SHRINK_EVERY == 0:
-            same = left_lists is right_lists
-            left_lists = materialize(_drop_used(left_lists, used, keys))
-            right_lists = left_lists if same else materialize(_drop_used(right_lists, used, keys))
-            used = None
+        alive = materialize(_drop_used(alive, mutual, keys))
 
 
-def match_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Greedy exclusive match over an explicit edge table (left_id, right_id, sim)."""
-    edges = materialize(edges.select(*keys, *PAIR))
-    found = _mutual_rounds(edges, edges, keys)
-    return edges.limit(0) if found is None else found
+def _side_sizes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> dict[tuple, list[int]]:
+    """Rows of both sides per key; one row per key."""
+    sides = [
+        {tuple(r[:-1]): r[-1] for r in side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()} for side in (left, right)
+    ]
+    return {k: [sides[0].get(k, 0), sides[1].get(k, 0)] for k in sides[0] | sides[1]}
 
 
 def match_sets(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), list_size: int = LIST_SIZE) -> DataFrame:
@@ -79,26 +98,68 @@ def match_sets(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), list
 
     Both sides keep their ``list_size`` best candidates. When the rounds run dry, the nodes
     still alive get fresh lists among the alive ones, so the result is the exact greedy
-    matching and the pair table never exists.
+    matching and the pair table never exists. ``keys`` are few (thresholds of a sweep).
     """
     found: DataFrame | None = None
     alive_left, alive_right = left, right
-    while True:
-        ll = materialize(topk_similar(alive_left, alive_right, list_size, keys=keys).select(*keys, *PAIR))
-        if ll.isEmpty():
-            break
-        rl = materialize(
-            topk_similar(alive_right, alive_left, list_size, keys=keys).select(
-                *keys, F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "sim"
-            )
-        )
-        step = _mutual_rounds(ll, rl, keys)
-        if step is None:
-            break
-        found = step if found is None else found.unionByName(step)
+    sizes = _side_sizes(left, right, keys)
+    open_pairs = lambda: {k: min(s) for k, s in sizes.items()}
+    while max(open_pairs().values(), default=0) > FINISH_NODES:
+        nl, nr = (max(s[i] for s in sizes.values()) for i in (0, 1))
+        ll = materialize(topk_similar(alive_left, alive_right, list_size, keys=keys, sizes=(nl, nr)).select(*keys, *PAIR))
+        rl = materialize(_swap(topk_similar(alive_right, alive_left, list_size, keys=keys, sizes=(nr, nl)), keys))
+        used: DataFrame | None = None
+        rounds = 0
+        while True:
+            mutual = _mutual(ll, rl, used, keys)
+            counts = {tuple(r[:-1]): r[-1] for r in mutual.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+            if not any(counts.values()):
+                break
+            for k, n in counts.items():
+                sizes[k] = [sizes[k][0] - n, sizes[k][1] - n]
+            found = mutual if found is None else found.unionByName(mutual)
+            used = mutual if used is None else used.unionByName(mutual)
+            rounds += 1
+            left_over = open_pairs().values()
+            if max(left_over) <= FINISH_NODES or sum(counts.values()) * 8 < sum(left_over):
+                break  # few matches left in these lists: fresh ones are cheaper
+            if rounds % SHRINK_EVERY == 0:
+                ll, rl, used = materialize(_drop_used(ll, used, keys)), materialize(_drop_used(rl, used, keys)), None
         alive_left = _without(left, found, "left_id", keys)
         alive_right = _without(right, found, "right_id", keys)
-    return ll.limit(0) if found is None else found
+    tail = _finish(alive_left, alive_right, sizes, keys)
+    return tail if found is None else found.unionByName(tail)
+
+
+def _finish(left: DataFrame, right: DataFrame, sizes: dict[tuple, list[int]], keys: Sequence[str]) -> DataFrame:
+    """The last FINISH_NODES pairs per key.
+
+    With m pairs to form, at most m - 1 candidates of a node can be taken by others, so the
+    m best candidates of every node on the smaller side decide the match exactly: at most
+    m^2 edges per key, however large the other side is.
+    """
+    m = max([min(s) for s in sizes.values()] + [1])
+    by_left = {k for k, (nl, nr) in sizes.items() if nl <= nr}
+    nl, nr = (max([s[i] for s in sizes.values()] + [0]) for i in (0, 1))
+
+    def only(side: DataFrame, wanted: set) -> DataFrame:
+        if not keys or len(wanted) == len(sizes):
+            return side
+        return side.filter(F.struct(*keys).isin([F.struct(*[F.lit(v) for v in k]) for k in wanted])) if wanted else side.limit(0)
+
+    parts = []
+    if by_left:
+        parts.append(topk_similar(only(left, by_left), only(right, by_left), m, keys=keys, sizes=(nl, nr)).select(*keys, *PAIR))
+    by_right = set(sizes) - by_left
+    if by_right:
+        parts.append(_swap(topk_similar(only(right, by_right), only(left, by_right), m, keys=keys, sizes=(nr, nl)), keys))
+    edges = [tuple(r) for p in parts for r in p.collect()]
+    schema = pair_schema(left, right, keys)
+    return left.sparkSession.createDataFrame(_greedy(edges, len(keys)), schema)
+
+
+def _swap(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return ranked.select(*keys, F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "sim")
 
 
 def _without(items: DataFrame, matched: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
@@ -115,8 +176,6 @@ def cascade_match(left: DataFrame, right: DataFrame, taus: Sequence[float]) -> D
     """
     titles_left = left.select("id", F.col("title_vec").alias("vec"))
     titles_right = right.select("id", F.col("title_vec").alias("vec"))
-    from concord.operators.similarity import similar_pairs
-
     levels = F.explode(F.array(*[F.lit(float(t)) for t in taus]))
     near = similar_pairs(titles_left, titles_right, min(taus))
     edges = near.withColumn("tau", levels).filter(F.col("sim") >= F.col("tau"))

@@ -47,10 +47,14 @@ def block_join(
     schema: T.StructType,
     keys: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Apply ``kernel(key, left_block, right_block)`` to each pair of blocks."""
-    n_left = block_count(largest_part(left, keys), block_rows)
-    n_right = block_count(largest_part(right, keys), block_rows)
+    """Apply ``kernel(key, left_block, right_block)`` to each pair of blocks.
+
+    ``sizes`` are the row counts (of the largest key) when the caller knows them.
+    """
+    rows_left, rows_right = sizes or (largest_part(left, keys), largest_part(right, keys))
+    n_left, n_right = block_count(rows_left, block_rows), block_count(rows_right, block_rows)
     left_blocks = (
         left.withColumn("lb", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
@@ -159,6 +163,7 @@ def topk_similar(
     exclude_same: bool = False,
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The k most similar right rows of each left row, ties to the smaller right id.
 
@@ -185,7 +190,7 @@ def topk_similar(
 
     best = Window.partitionBy(*keys, "left_id").orderBy(F.desc("sim"), "right_id")
     return (
-        block_join(left, right, kernel, schema, keys, block_rows)
+        block_join(left, right, kernel, schema, keys, block_rows, sizes)
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
     )

@@ -90,7 +90,7 @@ def ari_to_consensus(spark, sf_dir):
     w AS (SELECT avg(share) FILTER (same) AS wi, avg(share) FILTER (NOT same) AS be FROM k), both_ways AS (SELECT id_a AS i, id_b AS j, share FROM pp UNION ALL SELECT id_b, id_a, share FROM pp),
     st AS (SELECT i, avg(share) AS s FROM both_ways JOIN cl a ON a.id = i JOIN cl b ON b.id = j AND a.cluster = b.cluster GROUP BY i)
     SELECT {r('avg(ari)')} AS mean_ari, {r('median(ari)')} AS median_ari, {r('stddev_pop(ari)')} AS sd_ari, {r('min(ari)')} AS min_ari, {r('max(ari)')} AS max_ari, count(*) AS n_runs,
-    {r('(SELECT wi FROM w)')} AS within, {r('(SELECT be FROM w)')} AS between, {r('(SELECT wi / be FROM w)')} AS separation, {r('(SELECT 100.0::DOUBLE * count(*) FILTER (s > 0.5) / (SELECT count(*) FROM cl) FROM st)')} AS well_represented_pct FROM ari""")
+    {r('(SELECT wi FROM w)')} AS within, {r('(SELECT be FROM w)')} AS between, {r('(SELECT wi / be FROM w)')} AS separation, {r('(SELECT 100.0::DOUBLE * count(*) FILTER (round(s, 9) > 0.5) / (SELECT count(*) FROM cl) FROM st)')} AS well_represented_pct FROM ari""")
 def consensus_validation(spark, sf_dir):
     out = C.consensus_validation(profiles(spark, sf_dir), clusters(spark, sf_dir))
     return out.select("n_runs", *[r6(c).alias(c) for c in out.columns if c != "n_runs"])
