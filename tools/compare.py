@@ -79,4 +79,5 @@ def main() -> None:
     print("bad:", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
