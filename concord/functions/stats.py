@@ -30,19 +30,19 @@ def erfc(x: np.ndarray) -> np.ndarray:
     """Power series near zero, continued fraction in the tail."""
     x = np.asarray(x, dtype=float)
     size = np.abs(x)
-    near = np.minimum(size, 3.0)
+    near = np.minimum(size, 2.0)
     term = near.copy()
     total = near.copy()
-    for n in range(1, 90):
+    for n in range(1, 60):
         term = term * 2 * near * near / (2 * n + 1)
         total = total + term
     low = 1.0 - 2.0 / math.sqrt(math.pi) * np.exp(-near * near) * total
-    far = np.maximum(size, 3.0)
+    far = np.maximum(size, 2.0)
     frac = far.copy()
-    for n in range(60, 0, -1):
+    for n in range(120, 0, -1):
         frac = far + (n / 2.0) / frac
     high = np.exp(-far * far) / (math.sqrt(math.pi) * frac)
-    out = np.where(size < 3.0, low, high)
+    out = np.where(size < 2.0, low, high)
     return np.where(x < 0, 2.0 - out, out)
 
 

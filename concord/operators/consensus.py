@@ -788,8 +788,12 @@ def density_clusters(items: DataFrame, min_sim: float, min_points: int) -> DataF
         return pa.table([lt["id"], pa.array((sim_block(lt, rt) >= min_sim).sum(axis=1))], names=["id", "n"])
 
     data = items.select("id", "vec")
-    cores = block_join(data, data, count, counted).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_points)
+    n_items = data.count()
+    cores = block_join(data, data, count, counted, sizes=(n_items, n_items)).groupBy("id").agg(F.sum("n").alias("n")).filter(
+        F.col("n") >= min_points
+    )
     labelled = materialize(data.join(cores.select("id"), "id").withColumn("label", F.col("id")))
+    n_cores = labelled.count()
     spread = T.StructType([T.StructField("id", id_type), T.StructField("low", id_type)])
 
     def lowest(_key, lt, rt):
@@ -803,15 +807,18 @@ def density_clusters(items: DataFrame, min_sim: float, min_points: int) -> DataF
             [lt["id"].filter(pa.array(has)), rt["label"].take(pa.array(first[has]))], names=["id", "low"]
         )
 
-    while True:
-        low = block_join(labelled.select("id", "vec"), labelled, lowest, spread).groupBy("id").agg(F.min("low").alias("low"))
-        new = labelled.select("id", "label").join(low, "id").select("id", "label", F.least("low", "label").alias("low"))
-        # follow the label's own label as well, which halves the remaining depth
-        up = new.select(F.col("id").alias("low"), F.col("low").alias("top"))
-        hop = new.join(up, "low").select("id", F.least("low", "top").alias("new"), (F.least("low", "top") != F.col("label")).alias("moved"))
-        step = materialize(hop)
-        labelled = materialize(data.join(step.select("id", F.col("new").alias("label")), "id"))
-        if step.filter("moved").isEmpty():
+    while n_cores:
+        low = block_join(labelled.select("id", "vec"), labelled.select("id", "vec", "label"), lowest, spread, sizes=(n_cores, n_cores))
+        low = low.groupBy("id").agg(F.min("low").alias("low"))
+        # follow the lowest neighbour's own label as well, which halves the remaining depth
+        above = labelled.select(F.col("id").alias("low"), F.col("label").alias("top"))
+        best = F.least("low", "top", "label")
+        labelled = materialize(
+            labelled.select("id", "vec", "label").join(low, "id").join(above, "low").select(
+                "id", "vec", best.alias("label"), (best != F.col("label")).alias("moved")
+            )
+        )
+        if labelled.filter("moved").isEmpty():
             break
     others = data.join(labelled.select("id"), "id", "left_anti")
     border = topk_similar(others, labelled.select("id", "vec"), 1, min_sim=min_sim).select(

@@ -1,22 +1,30 @@
 """Coefficients and fit values from collections of sectioned text reports.
 
-Reports are rows of lines (source, line_no, line). A line's meaning depends on headings
-above it; that state is carried forward by chunks of lines, so files of any number and
-length are spread over the cluster.
+A report is one row (source, text). What a line means depends on headings above it, and
+all of them are in the same row, so extraction is map-only: texts are cut at their
+headings and only the coefficient rows leave the scan. Nothing is shuffled until
+results are compared or de-duplicated.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.recode import stars, stars_ns
-from concord.operators.ranking import carry_forward
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-FIVE_TOKENS = rf"^(\S+)\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})$"
+FIVE_TOKENS = rf"^\s*(\S+)\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s*$"
+# Lines that start or end a section, open a block, or close one.
+SECTION_CUT = r"(?m)^(?=[^\n]*Standardization[ \t\r]*$|[ \t]*R-SQUARE|[ \t]*CONFIDENCE INTERVALS)"
+OPENER = r"^[ \t]*([A-Z][A-Z0-9_]*)[ \t]+(ON|WITH|BY)[ \t\r]*$"
+BLOCK_CUT = (
+    r"(?m)^(?=[ \t]*[A-Z][A-Z0-9_]*[ \t]+(?:ON|WITH|BY)[ \t\r]*$"
+    r"|[ \t]*(?:Thresholds|Intercepts|Means|Variances|Residual|Scales)\b|[ \t\r]*$)"
+)
 
 
 def report_lines(reports: DataFrame) -> DataFrame:
@@ -24,38 +32,34 @@ def report_lines(reports: DataFrame) -> DataFrame:
     return reports.select("source", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
-def extract_coefficients(lines: DataFrame, max_z: float = 900.0) -> DataFrame:
-    """(source, section, relation, factor, name, estimate, se, z_ratio, p_value).
+def _first_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "\r", ""))
+
+
+def extract_coefficients(reports: DataFrame, max_z: float = 900.0) -> DataFrame:
+    """(source, section, relation, factor, name, estimate, se, z_ratio, p_value, block_no, line_no).
 
     Inside the first ``<S> Standardization`` section of each kind, ``F ON|WITH|BY`` opens a
     block; a blank line or another heading closes it. Rows with |z| >= ``max_z`` are dropped.
     """
-    text = F.trim("line")
-    section = F.when(text.rlike(r"^\S+ Standardization$"), F.regexp_extract(text, r"^(\S+) ", 1)).when(
-        text.rlike(r"Standardization$|^R-SQUARE|^CONFIDENCE INTERVALS"), F.lit("")
-    )
-    opener = r"^([A-Z][A-Z0-9_]*)\s+(ON|WITH|BY)$"
-    block = (
-        F.when(text.rlike(opener), F.concat_ws("|", F.regexp_extract(text, opener, 1), F.regexp_extract(text, opener, 2)))
-        .when((text == "") | text.rlike(r"^(Thresholds|Intercepts|Means|Variances|Residual|Scales)\b") | section.isNotNull(), F.lit(""))
-    )
-    marked = lines.select(
-        "source", "line_no", text.alias("text"), section.alias("section"),
-        F.when(section.isNotNull(), F.col("line_no")).alias("section_at"), block.alias("block"),
-    )
-    state = carry_forward(marked, ["source"], "line_no", ["section", "section_at", "block"])
-    hits = state.filter((F.col("section") != "") & (F.col("block") != "") & F.col("text").rlike(FIVE_TOKENS))
-    first = marked.filter("section <> ''").groupBy("source", "section").agg(F.min("line_no").alias("section_at"))
-    grab = lambda i: F.regexp_extract("text", FIVE_TOKENS, i)
-    return (
-        hits.join(first, ["source", "section", "section_at"])
-        .select(
-            "source", "section", F.split("block", r"\|")[1].alias("relation"), F.split("block", r"\|")[0].alias("factor"),
-            grab(1).alias("name"), grab(2).cast("double").alias("estimate"), grab(3).cast("double").alias("se"),
-            grab(4).cast("double").alias("z_ratio"), grab(5).cast("double").alias("p_value"), "line_no",
-        )
-        .filter(F.abs("z_ratio") < max_z)
-    )
+    segments = F.filter(F.split("text", SECTION_CUT), lambda t: _first_line(t).rlike(r"^\S+ Standardization$"))
+    named = F.transform(segments, lambda t: F.struct(F.substring_index(_first_line(t), " ", 1).alias("section"), t.alias("body")))
+    names = F.transform(named, lambda t: t["section"])
+    first = F.filter(named, lambda t, i: F.array_position(names, t["section"]) == i + 1)
+    sections = reports.select("source", F.inline(first))
+    blocks = F.filter(F.split("body", BLOCK_CUT), lambda t: _first_line(t).rlike(OPENER))
+    pieces = sections.select("source", "section", F.posexplode(blocks).alias("block_no", "block"))
+    head = _first_line(F.col("block"))
+    lines = pieces.select(
+        "source", "section", "block_no", F.regexp_extract(head, OPENER, 2).alias("relation"), F.regexp_extract(head, OPENER, 1).alias("factor"),
+        F.posexplode(F.split("block", r"\r?\n")).alias("line_no", "line"),
+    ).filter(F.col("line").rlike(FIVE_TOKENS))
+    grab = lambda i: F.regexp_extract("line", FIVE_TOKENS, i)
+    return lines.select(
+        "source", "section", "relation", "factor", grab(1).alias("name"), grab(2).cast("double").alias("estimate"),
+        grab(3).cast("double").alias("se"), grab(4).cast("double").alias("z_ratio"), grab(5).cast("double").alias("p_value"),
+        "block_no", "line_no",
+    ).filter(F.abs("z_ratio") < max_z)
 
 
 def predictor_effects(coefficients: DataFrame, files: DataFrame, predictors: DataFrame, factors: dict[str, Sequence[str]]) -> DataFrame:
@@ -75,28 +79,25 @@ def predictor_effects(coefficients: DataFrame, files: DataFrame, predictors: Dat
     keys = ["subfolder", "model", "factor", "predictor", "standardization"]
     kept = ["label", "estimate", "se", "z_ratio", "p_value"]
     return (
-        rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct("source", "line_no")).alias("r"))
+        rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct("source", "block_no", "line_no")).alias("r"))
         .select(*keys, "r.*").withColumn("sig", stars("p_value"))
     )
 
 
-def grab_values(lines: DataFrame, specs: Sequence[tuple[str, str, str]], window: int = 8) -> DataFrame:
-    """(source, name, value): the first number after ``key`` within ``window`` lines of an anchor.
+def grab_values(reports: DataFrame, specs: Sequence[tuple[str, str, str]], window: int = 8) -> DataFrame:
+    """(source, <name>...): the first number after ``key`` within ``window`` lines from an anchor.
 
-    ``specs`` is (name, anchor text, key regex). Only lines that carry an anchor or a key
-    meet the specs.
+    ``specs`` is (name, anchor text, key regex). Lazy repetition makes the pattern stop at the
+    nearest key below the anchor, and try the next anchor when the window holds none.
     """
-    spec = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(a).alias("anchor"), F.lit(rf"{k}\s+({NUMBER})").alias("pattern")) for n, a, k in specs
-    ])
-    tagged = lines.withColumn("s", F.explode(spec)).select(
-        "source", "line_no", "s.name",
-        F.when(F.contains("line", F.col("s.anchor")), F.col("line_no")).alias("anchor_at"),
-        F.nullif(F.expr("regexp_extract(line, s.pattern, 1)"), F.lit("")).cast("double").alias("value"),
-    ).filter("anchor_at is not null or value is not null")
-    state = carry_forward(tagged, ["source", "name"], "line_no", ["anchor_at"])
-    near = state.filter(F.col("value").isNotNull() & (F.col("line_no") - F.col("anchor_at") < window))
-    return near.groupBy("source", "name").agg(F.min_by("value", "line_no").alias("value"))
+    reach = rf"(?:[^\n]*\n){{0,{window - 1}}}?[^\n]*?"
+    return reports.select(
+        "source",
+        *[
+            F.nullif(F.regexp_extract("text", rf"{re.escape(a)}{reach}(?:{k})[ \t]+({NUMBER})", 1), F.lit("")).cast("double").alias(n)
+            for n, a, k in specs
+        ],
+    )
 
 
 # Fit indices and where the reports print them.
@@ -118,46 +119,39 @@ DIFFERENCE_SPECS = (
 )
 
 
-def fit_indices(lines: DataFrame) -> DataFrame:
-    return grab_values(lines, FIT_SPECS).groupBy("source").pivot("name", [s[0] for s in FIT_SPECS]).agg(F.first("value"))
+def fit_indices(reports: DataFrame) -> DataFrame:
+    return grab_values(reports, FIT_SPECS)
 
 
-def difference_tests(lines: DataFrame, contrasts: DataFrame) -> DataFrame:
+def difference_tests(reports: DataFrame, contrasts: DataFrame) -> DataFrame:
     """(predictor, constraint, chi2_diff, df, p_value, sig, significant) per planned contrast.
 
     ``contrasts`` is (predictor, constraint, source); a missing report leaves nulls.
     """
-    values = grab_values(lines, DIFFERENCE_SPECS, 15).groupBy("source").pivot("name", [s[0] for s in DIFFERENCE_SPECS]).agg(
-        F.first("value")
-    )
+    values = grab_values(reports, DIFFERENCE_SPECS, 15)
     return contrasts.join(values, "source", "left").select(
         "predictor", "constraint", "chi2_diff", F.col("df").cast("int").alias("df"), "p_value",
         stars_ns("p_value").alias("sig"), F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"),
     )
 
 
-def summary_statistics(lines: DataFrame, reach: int = 120) -> DataFrame:
+def summary_statistics(reports: DataFrame, reach: int = 120) -> DataFrame:
     """(source, variable, mean, min_val, min_pct, max_val, max_pct, looks_binary).
 
-    A variable takes two lines, joined on the line number; the block starts where
-    ``Variable/`` is followed by ``Sample Size``.
+    A variable takes two lines; the block starts where ``Variable/`` is followed by
+    ``Sample Size`` and is searched for ``reach`` lines.
     """
-    after = lines.select("source", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("below"))
-    pairs = lines.join(after, ["source", "line_no"])
-    start = pairs.filter(F.contains("line", F.lit("Variable/")) & F.contains("below", F.lit("Sample Size"))).groupBy("source").agg(
-        F.min("line_no").alias("start")
-    )
+    start = F.locate("Variable/", F.col("text"))
+    lines = F.slice(F.split(F.expr("substring(text, locate('Variable/', text))"), r"\r?\n"), 1, reach + 1)
+    two = reports.filter(F.col("text").rlike(r"Variable/[^\n]*\n[^\n]*Sample Size") & (start > 0)).select("source", lines.alias("l"))
+    pairs = two.select("source", F.inline(F.zip_with("l", F.slice("l", 2, reach), lambda x, y: F.struct(x.alias("line"), y.alias("below")))))
     upper = rf"^\s*(\S+)\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%"
-    lower = rf"^\s*({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%|^\s*({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%"
-    num = lambda c, p, i: F.nullif(F.regexp_extract(c, p, i), F.lit("")).cast("double")
-    low_at = lambda five, four: F.coalesce(num("below", lower, five), num("below", lower, four))
-    rows = pairs.join(start, "source").filter(
-        (F.col("line_no") >= F.col("start") + 2) & (F.col("line_no") < F.col("start") + reach)
-        & F.col("line").rlike(upper) & F.col("below").rlike(lower)
-    ).select(
+    lower = rf"^\s*(?:{NUMBER}\s+)?({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%"
+    num = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("double")
+    rows = pairs.filter(F.col("line").rlike(upper) & F.col("below").rlike(lower)).select(
         "source", F.upper(F.regexp_extract("line", upper, 1)).alias("variable"), num("line", upper, 2).alias("mean"),
         num("line", upper, 4).alias("min_val"), num("line", upper, 5).alias("min_pct"),
-        low_at(4, 8).alias("max_val"), low_at(5, 9).alias("max_pct"),
-    )
+        num("below", lower, 3).alias("max_val"), num("below", lower, 4).alias("max_pct"),
+    ).filter(F.col("variable").try_cast("double").isNull())
     binary = (F.abs("min_val") < 0.01) & (F.abs(F.col("max_val") - 1) < 0.01) & (F.col("min_pct") + F.col("max_pct") > 90)
     return rows.withColumn("looks_binary", binary)
