@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.vectors import l2_normalize, matrix, vectors
+from concord.functions.vectors import confidence, euclidean, l2_normalize, matrix, vectors
 from concord.operators.similarity import block_top, sim_matrix, topk_similar
-from concord.runtime import MODEL_ROW_LIMIT, bounded_rows
+from concord.runtime import MODEL_ROW_LIMIT, bounded_rows, broadcast_if_small
 
 UNCLASSIFIED = "UC"
 
@@ -39,6 +39,14 @@ def group_centroids(items: DataFrame, label: str = "label", renormalize: bool =
     return out.withColumn("vec", l2_normalize(F.col("vec"))) if renormalize else out
 
 
+def own_centroid_distance(items: DataFrame) -> DataFrame:
+    """(id, label, distance, confidence): Euclidean distance to the centroid of the own label."""
+    centers = group_centroids(items).select("label", F.col("vec").alias("center"))
+    return items.join(broadcast_if_small(centers), "label").withColumn("distance", euclidean("vec", "center")).select(
+        "id", "label", "distance", confidence(F.col("distance")).alias("confidence")
+    )
+
+
 def membership_centroids(items: DataFrame, memberships: DataFrame, first_only: bool = False) -> DataFrame:
     """Centroids where an item counts in every factor it is listed under.
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.similarity import block_join, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
-from concord.runtime import materialize
+from concord.runtime import broadcast_if_small, materialize
 
 MODEL_BYTES = 32 << 20
 SUB_BATCH = 1024
@@ -310,7 +310,7 @@ def item_stability(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     )
     runs = F.size("labels")
     return (
-        profiles.join(clusters.select("id", "cluster"), "id").join(keyed.join(sizes, "cluster"), "cluster")
+        profiles.join(clusters.select("id", "cluster"), "id").join(broadcast_if_small(keyed.join(sizes, "cluster")), "cluster")
         .select(
             "id", "cluster",
             F.when(F.col("size") > 1, (same - runs) / (runs * (F.col("size") - 1))).otherwise(F.lit(1.0)).alias("stability"),

@@ -16,6 +16,7 @@ from concord.functions.stats import t_pvalue, tetrachoric
 from concord.functions.vectors import vectors
 from concord.operators.ranking import exact_quantiles
 from concord.operators.spectrum import per_core
+from concord.runtime import broadcast_if_small
 
 
 def mean_sd(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -161,7 +162,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     wide = q.groupBy(*keys).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
-    joined = df.join(wide, list(keys)) if keys else df.withColumns({c: wide.select(c).scalar() for c in ("q1", "median", "q3")})
+    joined = df.join(broadcast_if_small(wide), list(keys)) if keys else df.join(F.broadcast(wide))  # one row without keys
     return joined.groupBy(*keys).agg(
         F.count(v).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(v >= F.col("q1") - 1.5 * iqr, v)).alias("whisker_low"),
@@ -179,7 +180,7 @@ def kernel_density(df: DataFrame, keys: Sequence[str], value: str, low: float, h
     grid = F.array(*[F.lit(low + (high - low) * i / (steps - 1)) for i in range(steps)])
     z = (F.col("x") - F.col(value)) / F.col("bw")
     dens = (
-        df.join(sds, list(keys)).withColumn("x", F.explode(grid))
+        df.join(broadcast_if_small(sds), list(keys)).withColumn("x", F.explode(grid))
         .groupBy(*keys, "x").agg(F.avg(F.exp(-0.5 * z * z)).alias("d"))
     )
     peak = dens.groupBy(*keys).agg(F.max("d").alias("peak"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.runtime import materialize
+from concord.runtime import broadcast_if_small, materialize
 
 CHUNK_LINES = 65_536
 
@@ -107,17 +107,41 @@ def exact_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n, before): distinct values with the number of rows below each.
+
+    Rows are counted by value first, so a value that holds a third of them is one row when
+    the values are range-partitioned.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    parts = range_parts(counts, [*keys, value])
+    totals = parts.groupBy(*keys, "part").agg(F.sum("n").alias("t"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("offset"))
+    local = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        parts.withColumn("below", F.coalesce(F.sum("n").over(local), F.lit(0))).join(offsets, [*keys, "part"])
+        .select(*keys, value, "n", (F.col("offset") + F.col("below")).alias("before"))
+    )
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation, exact at any group size."""
-    ranked = exact_rank(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value])
-    sizes = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
-    wanted = sizes.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "n").withColumn(
-        "at", F.col("prob") * (F.col("n") - 1)
+    counts = materialize(cumulative_counts(df.select(*keys, value), keys, value))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    wanted = sizes.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "total").withColumn(
+        "at", F.col("prob") * (F.col("total") - 1)
+    )
+    low = F.floor("at")
+    weight = F.when(low == F.col("place"), 1 - (F.col("at") - low)).otherwise(F.col("at") - low)
+    ends = wanted.withColumn("place", F.explode(F.array_distinct(F.array(low, F.ceil("at"))))).select(
+        *keys, "prob", "place", weight.alias("weight")
     )
-    ends = wanted.select(*keys, "prob", "at", F.explode(
-        F.array_distinct(F.array(F.floor("at") + 1, F.ceil("at") + 1))).alias("rank"))
-    weight = F.when(F.floor("at") + 1 == F.col("rank"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
-    return ranked.join(ends, [*keys, "rank"]).groupBy(*keys, "prob").agg(F.sum(F.col(value) * weight).alias("quantile"))
+    ends = broadcast_if_small(ends.select(*[F.col(k).alias(f"_{k}") for k in keys], "prob", "place", "weight"))
+    inside = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))
+    for k in keys:
+        inside = inside & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return counts.join(ends, inside).groupBy(*keys, "prob").agg(F.sum(F.col(value) * F.col("weight")).alias("quantile"))
 
 
 def widest_gap(df: DataFrame, value: str) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from concord.functions.recode import stars, stars_ns
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-FIVE_TOKENS = rf"^\s*(\S+)\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s*$"
 # Lines that start or end a section, open a block, or close one.
 SECTION_CUT = r"(?m)^(?=[^\n]*Standardization[ \t\r]*$|[ \t]*R-SQUARE|[ \t]*CONFIDENCE INTERVALS)"
 OPENER = r"^[ \t]*([A-Z][A-Z0-9_]*)[ \t]+(ON|WITH|BY)[ \t\r]*$"
@@ -53,13 +52,13 @@ def extract_coefficients(reports: DataFrame, max_z: float = 900.0) -> DataFrame:
     lines = pieces.select(
         "source", "section", "block_no", F.regexp_extract(head, OPENER, 2).alias("relation"), F.regexp_extract(head, OPENER, 1).alias("factor"),
         F.posexplode(F.split("block", r"\r?\n")).alias("line_no", "line"),
-    ).filter(F.col("line").rlike(FIVE_TOKENS))
-    grab = lambda i: F.regexp_extract("line", FIVE_TOKENS, i)
-    return lines.select(
-        "source", "section", "relation", "factor", grab(1).alias("name"), grab(2).cast("double").alias("estimate"),
-        grab(3).cast("double").alias("se"), grab(4).cast("double").alias("z_ratio"), grab(5).cast("double").alias("p_value"),
-        "block_no", "line_no",
-    ).filter(F.abs("z_ratio") < max_z)
+    ).withColumn("t", F.split(F.trim("line"), r"\s+")).filter(F.size("t") == 5)
+    number = lambda i: F.col("t")[i].try_cast("double")
+    rows = lines.select(
+        "source", "section", "relation", "factor", F.col("t")[0].alias("name"), number(1).alias("estimate"), number(2).alias("se"),
+        number(3).alias("z_ratio"), number(4).alias("p_value"), "block_no", "line_no",
+    )
+    return rows.dropna(subset=["estimate", "se", "z_ratio", "p_value"]).filter(F.abs("z_ratio") < max_z)
 
 
 def predictor_effects(coefficients: DataFrame, files: DataFrame, predictors: DataFrame, factors: dict[str, Sequence[str]]) -> DataFrame:
@@ -145,13 +144,13 @@ def summary_statistics(reports: DataFrame, reach: int = 120) -> DataFrame:
     lines = F.slice(F.split(F.expr("substring(text, locate('Variable/', text))"), r"\r?\n"), 1, reach + 1)
     two = reports.filter(F.col("text").rlike(r"Variable/[^\n]*\n[^\n]*Sample Size") & (start > 0)).select("source", lines.alias("l"))
     pairs = two.select("source", F.inline(F.zip_with("l", F.slice("l", 2, reach), lambda x, y: F.struct(x.alias("line"), y.alias("below")))))
-    upper = rf"^\s*(\S+)\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%"
-    lower = rf"^\s*(?:{NUMBER}\s+)?({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})%"
-    num = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("double")
-    rows = pairs.filter(F.col("line").rlike(upper) & F.col("below").rlike(lower)).select(
-        "source", F.upper(F.regexp_extract("line", upper, 1)).alias("variable"), num("line", upper, 2).alias("mean"),
-        num("line", upper, 4).alias("min_val"), num("line", upper, 5).alias("min_pct"),
-        num("below", lower, 3).alias("max_val"), num("below", lower, 4).alias("max_pct"),
-    ).filter(F.col("variable").try_cast("double").isNull())
+    tokens = pairs.select("source", F.split(F.trim("line"), r"\s+").alias("u"), F.split(F.trim("below"), r"\s+").alias("v")).filter(
+        (F.size("u") >= 5) & (F.size("v") >= 5)
+    )
+    num = lambda c, i: F.regexp_replace(F.col(c)[i], "%", "").try_cast("double")
+    rows = tokens.filter(F.col("u")[0].try_cast("double").isNull()).select(
+        "source", F.upper(F.col("u")[0]).alias("variable"), num("u", 1).alias("mean"), num("u", 3).alias("min_val"),
+        num("u", 4).alias("min_pct"), num("v", 3).alias("max_val"), num("v", 4).alias("max_pct"),
+    ).dropna()
     binary = (F.abs("min_val") < 0.01) & (F.abs(F.col("max_val") - 1) < 0.01) & (F.col("min_pct") + F.col("max_pct") > 90)
     return rows.withColumn("looks_binary", binary)

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from concord.functions.vectors import SIM_DIGITS, matrix, unit_rows
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+SLICE_ROWS = 1024
 MIN_BLOCKS = 3
 
 Kernel = Callable[[tuple, pa.Table, pa.Table], pa.Table]
@@ -68,6 +69,12 @@ def block_join(
     group = [*keys, "lb", "rb"]
     # one partition per core or per group, whichever is fewer: AQE would merge these
     # few-row, compute-heavy groups into a single task
+    def sliced(key, lt, rt):
+        """A few left rows at a time, so the product held in memory stays small."""
+        if lt.num_rows <= SLICE_ROWS:
+            return kernel(key, lt, rt)
+        return pa.concat_tables([kernel(key, lt.slice(at, SLICE_ROWS), rt) for at in range(0, lt.num_rows, SLICE_ROWS)])
+
     tasks = min(
         n_left * n_right * (1 if not keys else 8),
         max(left.sparkSession.sparkContext.defaultParallelism, n_left * n_right),
@@ -76,7 +83,7 @@ def block_join(
         left_blocks.repartition(tasks, *group)
         .groupBy(*group)
         .cogroup(right_blocks.repartition(tasks, *group).groupBy(*group))
-        .applyInArrow(kernel, schema)
+        .applyInArrow(sliced, schema)
     )
 
 
@@ -158,7 +165,7 @@ def topk_similar(
     left: DataFrame,
     right: DataFrame,
     k: int,
-    min_sim: float | None = None,
+    min_sim: float | Callable[[tuple], float] | None = None,
     keys: Sequence[str] = (),
     exclude_same: bool = False,
     metric: str = "cosine",
@@ -184,7 +191,7 @@ def topk_similar(
             hit = np.nonzero(~np.isnan(same.astype(float)))[0]
             sims[hit, same[hit].astype(int)] = -np.inf
         if min_sim is not None:
-            sims[sims < min_sim] = -np.inf
+            sims[sims < (min_sim(key) if callable(min_sim) else min_sim)] = -np.inf
         rows, cols = block_top(sims, k)
         return _emit(arrow, key, n_keys, lt, rt, rows, cols, sims[rows, cols])
 

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.vectors import matrix, unit_rows, vectors
+from concord.functions.vectors import matrix, vectors
+from concord.operators.ranking import cumulative_counts
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+REPLICATE_BYTES = 64 << 20
 
 
 def per_core(df: DataFrame) -> DataFrame:
@@ -196,17 +197,22 @@ def _replicate_rows(kind: str, x: np.ndarray, h: np.ndarray, rep: int) -> tuple[
 
 
 def replicate_grams(items: DataFrame, reps: int, kind: str) -> list[np.ndarray]:
-    """B replicate Gram matrices in one pass: sign-flipped, bootstrap-weighted or once-drawn.
+    """B replicate Gram matrices: sign-flipped, bootstrap-weighted or once-drawn.
 
-    A task keeps B x D x D partials; the summed matrices are model-sized.
+    A pass takes as many replicates as fit REPLICATE_BYTES of D x D partials in a task;
+    the summed matrices are model-sized.
     """
-    return _sum_by_rep(
-        items,
-        lambda batch, rep: (lambda ab: ab[0].T @ ab[1])(
-            _replicate_rows(kind, matrix(batch.column("vec")), batch.column("h").to_numpy(), rep)
-        ),
-        reps,
-    )
+    dims = items.select(F.size("vec")).first()[0]
+    per_pass = max(1, REPLICATE_BYTES // (8 * dims * dims))
+    out: list[np.ndarray] = []
+    for first in range(0, reps, per_pass):
+
+        def part(batch, rep, first=first):
+            a, b = _replicate_rows(kind, matrix(batch.column("vec")), batch.column("h").to_numpy(), first + rep)
+            return a.T @ b
+
+        out += _sum_by_rep(items, part, min(per_pass, reps - first))
+    return out
 
 
 def _sum_by_rep(items: DataFrame, part, reps: int) -> list[np.ndarray]:
@@ -385,17 +391,15 @@ def rv_coefficient(a: DataFrame, b: DataFrame) -> DataFrame:
 def spearman_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rank correlation of absolute loadings for every column pair.
 
-    Average ranks come from value counts (cumulative count below plus half the ties), a
-    window over distinct values per factor after range partitioning by Spark's sort.
+    Average ranks come from cumulative value counts, which range over partitions, so a
+    factor with very many items is not ranked in one task.
     """
     def ranked(t: DataFrame, name: str) -> DataFrame:
-        size = F.round(F.abs("loading"), 9)
-        below = Window.partitionBy("factor").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = t.groupBy("factor", size.alias("size")).agg(F.count(F.lit(1)).alias("c"))
-        ranks = counts.withColumn("rank", F.sum("c").over(below) - (F.col("c") - 1) / 2)
-        return (
-            t.select("id", "factor", size.alias("size")).join(ranks, ["factor", "size"])
-            .select("id", F.col("factor").alias(f"factor_{name}"), F.col("rank").alias(f"rank_{name}"))
+        sized = t.select("id", "factor", F.round(F.abs("loading"), 9).alias("size"))
+        counts = cumulative_counts(sized, ["factor"], "size")
+        place = counts.select("factor", "size", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+        return sized.join(place, ["factor", "size"]).select(
+            "id", F.col("factor").alias(f"factor_{name}"), F.col("rank").alias(f"rank_{name}")
         )
 
     return (

@@ -141,10 +141,8 @@ def similar_pairs_within_set(spark, sf_dir):
 @query(f"""WITH {E}, {centroid_cte('cent', 'e')} SELECT e.id, e.label, {r('list_distance(e.vec, c.vec)')} AS distance,
     {r('1 / (1 + list_distance(e.vec, c.vec))')} AS confidence FROM e JOIN cent c USING (label)""")
 def centroid_confidence(spark, sf_dir):
-    e = items(spark, sf_dir)
-    own = centroid.group_centroids(e).select("label", F.col("vec").alias("center"))
-    d = e.join(own, "label").withColumn("distance", V.euclidean("vec", "center"))
-    return d.select("id", "label", r6("distance").alias("distance"), r6(V.confidence(F.col("distance"))).alias("confidence"))
+    out = centroid.own_centroid_distance(items(spark, sf_dir))
+    return out.select("id", "label", r6("distance").alias("distance"), r6("confidence").alias("confidence"))
 
 
 @query(f"""WITH {E}, {centroid_cte('cent', 'e')}, x AS (SELECT label, n, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos,

@@ -52,9 +52,15 @@ def fits(df: DataFrame, limit: int = MODEL_ROW_LIMIT) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def checked_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint only for a side counted to be small, plain join beyond it."""
-    return F.broadcast(df) if fits(df, limit) else df
+def broadcast_if_small(df: DataFrame, limit: int = MODEL_ROW_LIMIT) -> DataFrame:
+    """``df`` written out, with a broadcast hint only if its rows were counted to be few.
+
+    For the per-label side of a join with a table that may hold a third of its rows under
+    one label: the large side is then not shuffled by label. Beyond the limit the planner
+    (and its skew handling) decides.
+    """
+    small = materialize(df)
+    return F.broadcast(small) if fits(small, limit) else small
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

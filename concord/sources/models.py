@@ -29,22 +29,25 @@ def memberships_from_json(df: DataFrame, doc: str = "doc") -> DataFrame:
     return listed.select(*kept, "label", F.posexplode(F.from_json("items", "array<string>")).alias("item_ord", "id"))
 
 
-def factor_spec(assigned: DataFrame, order: Sequence[str], items: DataFrame) -> DataFrame:
-    """(factor_key, label, n_items, item_ids, item_indices) from (id, label).
+def factor_spec(assigned: DataFrame, order: Sequence[str], items: DataFrame, part_items: int = 100_000) -> DataFrame:
+    """(factor_key, label, n_items, part, item_ids, item_indices) from (id, label).
 
     Keys F1..Fn follow the canonical order of the labels that occur; indices are 1-based
-    positions in ``items`` (id, ord). Item arrays are the output itself: one per factor.
+    positions in ``items`` (id, ord). Item arrays cover ``part_items`` positions each, so a
+    factor of any size is a number of bounded rows; small models have part 0 only.
     """
     ranks = F.array(*[F.lit(o) for o in order])
     rank = F.array_position(ranks, F.col("label"))
-    grouped = assigned.join(items, "id").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("l")
+    parts = assigned.join(items, "id").groupBy("label", F.floor(F.col("ord") / part_items).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("l")
+    )
+    sizes = parts.groupBy("label").agg(F.sum("n").alias("n_items")).withColumn(
+        "rank", F.when(rank > 0, rank).otherwise(F.lit(len(order) + 1))
     )
-    numbered = grouped.withColumn("rank", F.when(rank > 0, rank).otherwise(F.lit(len(order) + 1)))
     key = F.row_number().over(Window.orderBy("rank", "label"))  # one row per factor
-    return numbered.select(
-        F.concat(F.lit("F"), key.cast("string")).alias("factor_key"), "label", "n_items",
-        F.transform("l", lambda s: s["id"]).alias("item_ids"),
+    numbered = sizes.select("label", "n_items", F.concat(F.lit("F"), key.cast("string")).alias("factor_key"))
+    return parts.join(numbered, "label").select(
+        "factor_key", "label", "n_items", "part", F.transform("l", lambda s: s["id"]).alias("item_ids"),
         F.transform("l", lambda s: s["ord"] + 1).alias("item_indices"),
     )
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from concord.operators import matching
+from concord.operators import matching, similarity
 from concord.operators.similarity import similar_pairs, topk_similar
 
 
@@ -29,11 +29,24 @@ def test_match_sets_equals_the_greedy_loop(make_items, rng, monkeypatch, shape,
     assert len(set(got.values())) == len(got) == min(shape)
 
 
-def test_equal_vectors_tie_by_id(make_items, monkeypatch):
-    monkeypatch.setattr(matching, "FINISH_NODES", 2)
-    copies = np.tile([[0.6, 0.8]], (20, 1))
-    got = {r["left_id"]: r["right_id"] for r in matching.match_sets(make_items(copies), make_items(copies), list_size=4).collect()}
-    assert got == {i: i for i in range(20)}
+@pytest.mark.parametrize("finish", [1, 3, 64])
+def test_copies_are_matched_together(make_items, rng, monkeypatch, finish):
+    monkeypatch.setattr(matching, "FINISH_NODES", finish)
+    base = unit(rng.normal(size=(12, 5)))
+    a = base[np.concatenate([[0] * 20, rng.integers(0, 8, size=25)])]
+    b = unit(rng.normal(size=(9, 5)))[np.concatenate([[2] * 15, rng.integers(0, 9, size=35)])]
+    got = {r["left_id"]: r["right_id"] for r in matching.match_sets(make_items(a), make_items(b), list_size=2).collect()}
+    assert got == greedy(a @ b.T)
+
+
+def test_one_group_of_copies_needs_few_rounds(make_items, monkeypatch):
+    monkeypatch.setattr(matching, "FINISH_NODES", 0)
+    calls = []
+    rounds = matching._mutual
+    monkeypatch.setattr(matching, "_mutual", lambda *args: calls.append(1) or rounds(*args))
+    copies = np.tile([[0.6, 0.8]], (200, 1))
+    got = {r["left_id"]: r["right_id"] for r in matching.match_sets(make_items(copies), make_items(copies)).collect()}
+    assert got == {i: i for i in range(200)} and len(calls) <= 2
 
 
 def test_match_edges_rounds_equal_the_loop(spark, rng, monkeypatch):
@@ -77,7 +90,8 @@ def test_cascade_and_threshold_sweep(spark, rng, monkeypatch):
         assert sweep[tau]["n_changed"] == len(pairs - base) and sweep[tau]["n_pairs"] == n
 
 
-def test_blocks_do_not_change_results(make_items, rng):
+def test_blocks_do_not_change_results(make_items, rng, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE_ROWS", 10)
     a, b = unit(rng.normal(size=(150, 6))), unit(rng.normal(size=(130, 6)))
     sims = a @ b.T
     for block in (16, 4096):

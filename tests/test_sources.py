@@ -52,7 +52,9 @@ def test_factor_models(spark):
     assert {(r["label"], r["factor_ord"], r["id"], r["ord"]) for r in rows} == {("wm", 0, "i1", 0), ("wm", 0, "i2", 1), ("fs", 1, "i2", 0)}
     items = spark.createDataFrame([("i1", 0), ("i2", 1), ("i3", 2)], "id string, ord int")
     spec = models.factor_spec(spark.createDataFrame([("i3", "b"), ("i1", "a"), ("i2", "b")], "id string, label string"), ["b", "a"], items)
-    assert [tuple(r) for r in spec.orderBy("factor_key").collect()] == [("F1", "b", 2, ["i2", "i3"], [2, 3]), ("F2", "a", 1, ["i1"], [1])]
+    assert [tuple(r) for r in spec.orderBy("factor_key").collect()] == [("F1", "b", 2, 0, ["i2", "i3"], [2, 3]), ("F2", "a", 1, 0, ["i1"], [1])]
+    split = models.factor_spec(spark.createDataFrame([("i3", "b"), ("i2", "b")], "id string, label string"), ["b"], items, part_items=2)
+    assert [(r["n_items"], r["part"], r["item_ids"]) for r in split.orderBy("part").collect()] == [(2, 0, ["i2"]), (2, 1, ["i3"])]
 
 
 def test_misaligned_vectors_are_an_error(spark):
