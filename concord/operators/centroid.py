@@ -111,6 +111,24 @@ def nearest_centroids(items: DataFrame, centroids: DataFrame, k: int = 1, metric
     )
 
 
+def concept_texts(descriptions: DataFrame, names_only: bool = False) -> DataFrame:
+    """(concept, text): the concept's descriptions in order, one text; or just its name.
+
+    ``descriptions`` is (concept, ord, text), a handful of rows per concept.
+    """
+    if names_only:
+        return descriptions.select("concept", F.regexp_replace("concept", "[_-]+", " ").alias("text")).distinct()
+    listed = descriptions.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("l"))
+    return listed.select("concept", F.array_join(F.transform("l", lambda s: s["text"]), " ").alias("text"))
+
+
+def averaged_concepts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(label, vec): unit mean of the two vectors a concept has in two sources."""
+    other = b.select("label", F.col("vec").alias("w"))
+    mean = F.zip_with("vec", "w", lambda x, y: (x + y) / 2)
+    return a.select("label", "vec").join(other, "label").select("label", l2_normalize(mean).alias("vec"))
+
+
 def assign_with_floor(items: DataFrame, concepts: DataFrame, min_sim: float) -> DataFrame:
     """Nearest concept, or -1 when even that one is below ``min_sim``."""
     return nearest_centroids(items, concepts).select(

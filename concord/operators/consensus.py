@@ -770,6 +770,60 @@ def mean_silhouette(items: DataFrame) -> DataFrame:
     return silhouette(items).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n_items"))
 
 
+def run_silhouettes(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(run_id, silhouette): exact mean Euclidean silhouette of every run.
+
+    The distances of a block pair are computed once and summed by the labels of all runs in
+    one product; what leaves a task is one sum per item, run and label.
+    """
+    sizes = explode_runs(profiles).groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # runs x k rows
+    runs, k = 1 + max(r["run_id"] for r in sizes), 1 + max(r["label"] for r in sizes)
+    table = np.zeros((runs, k))
+    for r in sizes:
+        table[r["run_id"], r["label"]] = r["n"]
+    data = items.select("id", "vec").join(profiles.select("id", "labels"), "id")
+    schema = T.StructType([items.schema["id"], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def kernel(_key, lt, rt):
+        if not lt.num_rows or not rt.num_rows:
+            return _empty(schema)
+        labels = matrix(rt["labels"]).astype(np.int64)
+        member = np.zeros((len(labels), runs * k))
+        np.put_along_axis(member, labels + (np.arange(runs) * k)[None, :], 1.0, axis=1)
+        return pa.table([lt["id"], vectors(-sim_block(lt, rt, "euclidean") @ member)], names=["id", "sums"])
+
+    sums = block_join(data.select("id", "vec"), data, kernel, schema, block_rows=SUB_BATCH).groupBy("id").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
+    )
+    shipped = items.sparkSession.sparkContext.broadcast(table)
+
+    def score(batches):
+        n = shipped.value
+        total, seen = np.zeros(runs), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = matrix(batch.column("labels")).astype(np.int64)[:, :, None]
+            d = matrix(batch.column("sums")).reshape(-1, runs, k)
+            size = np.broadcast_to(n[None], d.shape)
+            own_n = np.take_along_axis(size, labels, 2)[:, :, 0]
+            a = np.take_along_axis(d, labels, 2)[:, :, 0] / np.maximum(own_n - 1, 1)
+            mean = np.where(size > 0, d / np.maximum(size, 1), np.inf)
+            np.put_along_axis(mean, labels, np.inf, 2)
+            b = mean.min(axis=2)
+            total += np.where(own_n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum(axis=0)
+            seen += len(labels)
+        if seen:
+            yield pa.record_batch(
+                [pa.array(np.arange(runs, dtype=np.int32)), pa.array(total), pa.array(np.full(runs, seen))], names=["run_id", "total", "n"]
+            )
+
+    scored = sums.join(profiles.select("id", "labels"), "id").select("labels", "sums")
+    return scored.mapInArrow(score, "run_id int, total double, n long").groupBy("run_id").agg(
+        (F.sum("total") / F.sum("n")).alias("silhouette")
+    )
+
+
 def density_clusters(items: DataFrame, min_sim: float, min_points: int) -> DataFrame:
     """(id, label): density clustering with noise -1, over cosine neighbours.
 

@@ -110,6 +110,17 @@ def _claims(mutual: DataFrame, found: DataFrame | None, left: DataFrame, right:
     )
 
 
+def _single(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of nodes that stand for one item each."""
+    zero = F.lit(0).cast("long")
+    rest = [zero.alias(c) for c in ("left_start", "right_start", "left_rest", "right_rest")]
+    return pairs.select(*keys, *PAIR, F.lit(1).cast("long").alias("m"), *rest)
+
+
+def _longest(lists: DataFrame, keys: Sequence[str]) -> int:
+    return lists.groupBy(*keys, "left_id").count().agg(F.max("count")).first()[0] or 0
+
+
 def match_sets(
     left: DataFrame, right: DataFrame, keys: Sequence[str] = (), list_size: int = LIST_SIZE, min_sim=None
 ) -> DataFrame:
@@ -134,18 +145,17 @@ def match_sets(
             a.select(*keys, "id", "vec"), b.select(*keys, "id", "vec"), list_size, min_sim, keys=keys, sizes=n
         )
         ll = materialize(best(alive_left, alive_right, (nl, nr)).select(*keys, *PAIR))
+        if unique and min_sim is not None and _longest(ll, keys) < list_size:
+            # no list is cut off, so these are all pairs above min_sim
+            step = _single(match_edges(ll, keys), keys)
+            found = step if found is None else found.unionByName(step)
+            break
         rl = materialize(_swap(best(alive_right, alive_left, (nr, nl)), keys))
         used: DataFrame | None = None
         rounds = 0
         while True:
             mutual = _mutual(ll, rl, used, keys)
-            if unique:
-                zero = F.lit(0).cast("long")
-                step = materialize(mutual.select(
-                    *keys, *PAIR, F.lit(1).cast("long").alias("m"), *[zero.alias(c) for c in ("left_start", "right_start", "left_rest", "right_rest")]
-                ))
-            else:
-                step = materialize(_claims(mutual, found, left_nodes, right_nodes, keys))
+            step = materialize(_single(mutual, keys) if unique else _claims(mutual, found, left_nodes, right_nodes, keys))
             gone = step.groupBy(*keys).agg(F.count_if(F.col("left_rest") == 0), F.count_if(F.col("right_rest") == 0)).collect()
             counts = {tuple(r[:-2]): (r[-2], r[-1]) for r in gone if r[-2] + r[-1] > 0}
             if not counts:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vector_queries", "table_queries", "agreement_queries", "cluster_queries", "spectrum_queries", "text_queries")
+MODULES = (
+    "vector_queries", "table_queries", "agreement_queries", "cluster_queries", "spectrum_queries", "text_queries", "stream_queries",
+)
 
 
 def load_all() -> tuple[dict, dict]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.operators import consensus as C
+from concord.operators.centroid import averaged_concepts as average_two
+from concord.operators.centroid import concept_texts as concept_text_rows
 from concord.operators.centroid import group_centroids
 from concord.plans.base import E, centroid_cte, items, query, r, r6, table
 from concord.runtime import materialize
@@ -176,6 +178,20 @@ def extend_warm_start(spark, sf_dir):
 @query("""SELECT n_regionkey AS concept, string_agg(n_name, ' ' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1""")
 def concept_texts(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    return n.groupBy(F.col("n_regionkey").alias("concept")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l")).select(
-        "concept", F.array_join(F.transform("l", lambda s: s["n_name"]), " ").alias("text")
-    )
+    return concept_text_rows(n.select(F.col("n_regionkey").alias("concept"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("text")))
+
+
+@query(f"""WITH {E}, {centroid_cte('a', 'e', 'label', 'id % 2 = 0')}, {centroid_cte('b', 'e', 'label', 'id % 2 = 1')}, m AS (SELECT label, list_transform(range(1, 65), lambda i: (a.vec[i] + b.vec[i]) / 2) AS v FROM a JOIN b USING (label))
+    SELECT label, {r('v[1] / sqrt(list_inner_product(v, v))')} AS first, {r('v[64] / sqrt(list_inner_product(v, v))')} AS last FROM m""")
+def averaged_concepts(spark, sf_dir):
+    e = items(spark, sf_dir)
+    out = average_two(group_centroids(e.filter("id % 2 = 0")), group_centroids(e.filter("id % 2 = 1")))
+    return out.select("label", r6(F.col("vec")[0]).alias("first"), r6(F.col("vec")[63]).alias("last"))
+
+
+@query(f"""WITH {PROFILE}, s AS (SELECT pf.run_id, a.id, pf.label, q.label AS other, avg(list_distance(a.embedding, b.embedding)) AS d FROM pf JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings) a USING (id)
+    JOIN pf q ON q.run_id = pf.run_id AND q.id <> pf.id JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings) b ON b.id = q.id GROUP BY ALL),
+    ab AS (SELECT run_id, id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM s GROUP BY ALL) SELECT run_id::INT AS run_id, {r('avg((b - a) / greatest(a, b))', 5)} AS silhouette FROM ab GROUP BY run_id""")
+def run_silhouettes(spark, sf_dir):
+    out = C.run_silhouettes(items(spark, sf_dir).select("id", "vec"), profiles(spark, sf_dir))
+    return out.withColumn("silhouette", r6("silhouette", 5))

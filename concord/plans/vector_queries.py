@@ -68,16 +68,15 @@ def competitor_margins(spark, sf_dir):
     return flags.select("id", r6("best_margin").alias("best_margin"), "is_ambiguous", "is_uncertain")
 
 
-@query(f"""{LOO}, red AS (SELECT *, CASE WHEN assigned = 'UC' THEN best ELSE assigned END AS final_label FROM loo),
-    sparse AS (SELECT final_label FROM red WHERE id % 11 = 0 GROUP BY final_label)
+@query(f"""{LOO}, red AS (SELECT *, CASE WHEN assigned = 'UC' THEN best ELSE assigned END AS final_label FROM loo)
     SELECT 'redirected' AS source, id, final_label, {r('sim_uc')} AS sim_uc, {r('best_sim')} AS best_sim, {r('uc_margin')} AS uc_margin
     FROM red WHERE assigned = 'UC' UNION ALL
-    SELECT 'excluded', id, final_label, {r('sim_uc')}, {r('best_sim')}, {r('uc_margin')} FROM red WHERE assigned <> 'UC' AND id % 11 = 0""")
+    SELECT 'excluded', id, final_label, {r('sim_uc')}, {r('best_sim')}, {r('uc_margin')} FROM red WHERE assigned <> 'UC' AND best = 'd0'""")
 def redirected_profile(spark, sf_dir):
     from concord.functions.recode import similarity_profile
 
     red = centroid.redirect_unclassified(loo_table(spark, sf_dir)).withColumnRenamed("domain", "final_label")
-    out = similarity_profile(red, red.filter("not redirected and id % 11 = 0"))
+    out = similarity_profile(red, red.filter("not redirected and best = 'd0'"))
     return out.select("source", "id", "final_label", *[r6(c).alias(c) for c in ("sim_uc", "best_sim", "uc_margin")])
 
 
@@ -206,7 +205,7 @@ def concept_assignment_with_floor(spark, sf_dir):
 
 
 _CONCEPTS = f"""{E}, cl AS (SELECT id, vec, id % 4 AS label FROM e), {centroid_cte('cent', 'cl')},
-    con AS (SELECT 'c' || id AS label, vec FROM e WHERE id < 12)"""
+    {centroid_cte('con', 'e', "'c' || (id % 12)")}"""
 
 
 @query(f"""WITH {_CONCEPTS}, s AS (SELECT cent.label AS cluster, con.label AS concept, {COS.format(a='cent.vec', b='con.vec')} AS sim FROM cent, con)
@@ -215,7 +214,7 @@ def cluster_concept_labels(spark, sf_dir):
     e = items(spark, sf_dir)
     clusters = e.select("id", "vec", (F.col("id") % 4).alias("label"))
     centers = centroid.group_centroids(clusters, renormalize=True).select(F.col("label").alias("id"), "vec")
-    concepts = e.filter("id < 12").select(F.concat(F.lit("c"), "id").alias("label"), "vec")
+    concepts = centroid.group_centroids(e.select("vec", F.concat(F.lit("c"), F.col("id") % 12).alias("label")))
     return centroid.nearest_centroids(centers, concepts, k=12).select(
         F.col("id").alias("cluster"), F.col("label").alias("concept"), r6("sim").alias("sim"), F.col("rank").cast("long").alias("rank")
     )
@@ -285,7 +284,15 @@ def cascade_match(spark, sf_dir):
     return out.select("left_id", "right_id", *[r6(c).alias(c) for c in ("sim_title", "sim_fulltext", "sim_decision")], "stage")
 
 
-@query()
+_TAU_ROUNDS = _ROUNDS.replace("(left_id, right_id, sim, done)", "(tau, left_id, right_id, sim, done)").replace("SELECT left_id", "SELECT tau, left_id").replace(
+    "PARTITION BY left_id", "PARTITION BY tau, left_id").replace("PARTITION BY right_id", "PARTITION BY tau, right_id")
+
+
+@query(f"""WITH RECURSIVE {_TITLE_EDGES}, taus AS (SELECT unnest([0.93, 0.95, 0.97, 0.99])::DOUBLE AS tau), t AS (SELECT tau, title.* FROM title, taus WHERE sim >= tau),
+    {_TAU_ROUNDS.format(name='g', edges='t')}, locked AS (SELECT tau, left_id, right_id FROM g WHERE done),
+    f AS (SELECT tau, full_text.* FROM full_text, taus WHERE NOT EXISTS (SELECT 1 FROM locked l WHERE l.tau = taus.tau AND l.left_id = full_text.left_id) AND NOT EXISTS (SELECT 1 FROM locked l WHERE l.tau = taus.tau AND l.right_id = full_text.right_id)),
+    {_TAU_ROUNDS.format(name='h', edges='f')}, p AS (SELECT *, 1 AS title FROM locked UNION ALL SELECT tau, left_id, right_id, 0 FROM h WHERE done)
+    SELECT p.tau, count(*) AS n_pairs, count(*) FILTER (title = 1) AS n_title, count(*) FILTER (b.left_id IS NULL) AS n_changed FROM p LEFT JOIN (SELECT left_id, right_id FROM p WHERE tau = 0.97) b ON b.left_id = p.left_id AND b.right_id = p.right_id GROUP BY p.tau""")
 def threshold_sensitivity(spark, sf_dir):
     t = _titled(spark, sf_dir)
     taus = [0.93, 0.95, 0.97, 0.99]

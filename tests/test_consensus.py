@@ -143,6 +143,16 @@ def test_silhouette_matches_definition(make_items, rng):
         assert got[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b), abs=1e-6)
 
 
+def test_silhouettes_of_all_runs(make_items, profile_frame, rng):
+    x = rng.normal(size=(25, 3))
+    labels = rng.integers(0, 3, size=(4, 25))
+    labels[0, 0] = 3  # a singleton
+    got = {r["run_id"]: r["silhouette"] for r in C.run_silhouettes(make_items(x), profile_frame(labels)).collect()}
+    for run in range(4):
+        each = C.silhouette(make_items(x, label=[int(v) for v in labels[run]])).agg({"silhouette": "avg"}).first()[0]
+        assert got[run] == pytest.approx(each, abs=1e-6)
+
+
 def test_silhouette_of_one_cluster_is_null(make_items, rng):
     row = C.mean_silhouette(make_items(rng.normal(size=(5, 2)), label=[1] * 5)).first()
     assert row["silhouette"] is None
