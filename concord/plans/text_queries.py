@@ -193,13 +193,13 @@ def table_differences(spark, sf_dir):
     return Q.diff_tables(o.filter(k % 300 != 7), cur, ["o_orderkey"]).select("o_orderkey", "column", "status")
 
 
-@query("""WITH o AS (SELECT o_orderstatus AS section, o_orderpriority AS label, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL), x AS (SELECT o_orderstatus AS section, o_orderpriority AS label, round(median(o_totalprice), 2) AS expected FROM orders GROUP BY ALL UNION ALL SELECT 'none', 'none', 1.0)
+@query("""WITH o AS (SELECT o_orderstatus AS section, o_orderpriority AS label, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL), x AS (SELECT o_orderstatus AS section, o_orderpriority AS label, round(median(o_totalprice), 3) AS expected FROM orders GROUP BY ALL UNION ALL SELECT 'none', 'none', 1.0)
     SELECT section, label, expected, value AS observed, 1500.0::DOUBLE AS tol, coalesce(abs(expected - value) <= 1500, false) AS ok, 'table' AS source FROM x LEFT JOIN o USING (section, label)""")
 def expectation_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("section"), F.col("o_orderpriority").alias("label"))
     observed = o.agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
     extra = F.when(F.col("one"), "none")
-    expected = o.agg(F.round(F.median("o_totalprice"), 2).alias("expected")).unionByName(
+    expected = o.agg(F.round(F.median("o_totalprice"), 3).alias("expected")).unionByName(
         spark.range(1).select(F.lit(True).alias("one")).select(extra.alias("section"), extra.alias("label"), F.lit(1.0).alias("expected"))
     )
     return Q.expectations(observed, expected.withColumn("tol", F.lit(1500.0)).withColumn("source", F.lit("table")))
