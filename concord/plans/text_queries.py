@@ -153,7 +153,7 @@ def fisher_exact_by_group(spark, sf_dir):
 
 
 @query()
-def test_pvalues(spark, sf_dir):
+def significance_pvalues(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 20).alias("x"))
     return e.select("event_id", r6(N.z_pvalue("x")).alias("p_z"), r6(N.chi2_pvalue("x")).alias("p_chi2"), r6(N.t_pvalue("x", F.lit(12.0))).alias("p_t"))
 
