@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, mixing, quality, toxicity
-from concord.llm.store import fold
+from concord.llm import decontaminate, mixing, quality, toxicity, warc
+from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,42 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+LEAST_REVISIT_BYTES = 1000
+
+
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner OR winner IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM p LEFT JOIN w USING (payload_digest)
+""")
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", payload.alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("length")
+    )
+    # written out, so that its size is known to the planner and a payload's many copies can be dealt to several tasks
+    shared = materialize(
+        pages.filter(F.col("length") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
+    records = pages.join(shared, "digest", "left").select(
+        name(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("warc_date"), F.when(revisit, name(F.col("first"))).alias("refers_to"),
+        F.col("digest").alias("payload_digest"), F.col("length").alias("payload_length"), F.when(~revisit, F.col("html").cast("binary")).alias("payload"),
+    )
+    folder = new_folder(spark, "warc")
+    warc.write(records, folder)
+    back = warc.read(spark, folder)
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    full = F.col("record_type") == "response"
+    return back.select(
+        number(F.col("record_id")).alias("page_id"),
+        F.when(full, F.octet_length("payload")).otherwise(F.col("http_length")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", number(F.col("refers_to")).alias("refers_to"),
+    )
