@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, mixing, quality, toxicity, warc
+from concord.llm import decontaminate, mixing, quality, token_counts, toxicity, warc
 from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,11 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", number(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    places = token_counts.write_tokens(table(spark, sf_dir, "documents"), folder)
+    counts = token_counts.token_counts(spark, folder)
+    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
