@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, mixing, quality, token_counts, toxicity, warc
+from concord.llm import decontaminate, mixing, ngram_join, quality, token_counts, toxicity, warc
 from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = token_counts.write_tokens(table(spark, sf_dir, "documents"), folder)
     counts = token_counts.token_counts(spark, folder)
     return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+
+
+@query()
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
