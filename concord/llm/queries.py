@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, grid_join, mixing, ngram_join, quality, token_counts, toxicity, warc
+from concord.llm import decontaminate, grid_join, mixing, ngram_join, pseudonyms, quality, token_counts, toxicity, warc
 from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY 1) USI
 """)
 def op6_embedding_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
