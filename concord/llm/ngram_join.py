@@ -6,17 +6,19 @@ that is when their Jaccard distance, a metric, is at most ``eps = 1 - percent /
 1. Equal sets are one point of the space (a 64-bit sum over the set's shingle hashes names it), so copies are
    never compared. Points get their **rarest** shingles as keys, ``n - ceil(n * percent / 100) + 1`` of them:
    two points within ``eps`` share a key, as one of them would else lack too many shingles. Rarity is read from
-   a table of hashed counts over all texts; any common order is exact, this one keeps shared passages out.
-2. Pivots. The smallest name under each key is a pivot, and the pivot's region holds every point that shares a
-   key with it; all other points are farther than ``eps`` from it. (Pivots drawn at random cannot divide this
-   space: most texts are at distance 1 from each other, so they would be on every border.) Members within
-   ``eps`` of the pivot link to it.
+   tables of hashed counts of words and shingles over all texts; any common order is exact, this one keeps
+   shared passages and phrases out.
+2. Pivots. The first points under each key are pivots: each further point of the key is measured against them.
+   Points that share no key with a pivot are farther than ``eps`` from it. (Pivots drawn at random cannot
+   divide this space: most texts are at distance 1 from each other, so they would be on every border.) A key of
+   up to ``LEAF`` points is done then; the others of a longer key are members of its first pivot's region.
 3. Windows. Two members of a region can only link if their distances to the pivot differ by ``eps`` at most
-   (triangle inequality), and if their counts in ``CLASSES`` disjoint classes of shingles do not already differ
-   by more than the symmetric difference allows. A point on the border of several regions is a member of each.
-4. Recursion. Regions whose members are not yet one class go on with ``PIVOTS`` times as many pivots, nearest
-   to the former pivot first, until they are one class or every member has been a pivot. So every pair of
-   members that may link is compared, or is in one class already. Nothing is capped.
+   (triangle inequality), and if their counts in ``CLASSES`` disjoint classes of shingles, their distances to
+   the classes as it were, do not already differ by more than the symmetric difference allows. A point on the
+   border of several regions is a member of each.
+4. Recursion. Regions whose members are not yet one class go on with ``PIVOTS`` times as many pivots, taken from
+   outside the largest class and nearest to the former pivot first, until they are one class or all those have
+   been pivots. So every pair of members that may link is compared, or is in one class already.
 
 Only classes are wanted, so links within a class need not be listed. Sets are loaded for compared points only.
 Hashes have 64 bits: at N distinct shingles in two compared texts a false match has a chance of about N / 2^64.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm import words
@@ -41,28 +43,34 @@ from concord.llm.store import materialize, partitions_for
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
-CLASSES = 32
-PIVOTS = 4
+CLASSES = 128
+PIVOTS = 16
+LEAF = 8
+SALTS = 16
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every shingle, in text order, repeats included."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, word_counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, least count of its words) of every shingle, in text order, repeats included."""
     w = words.split(data, offsets)
     counts = w.counts()
     if len(w.hash) == 0:
-        return w.hash, w.doc
+        return w.hash, w.doc, w.doc
+    each = np.zeros(len(w.hash), dtype=np.int64) if word_counts is None else word_counts[_slot(w.hash)]
     h = words.mix(w.hash + np.uint64(width))
     n = len(h) - width + 1
     full = np.zeros(0, dtype=np.uint64)
-    doc = np.zeros(0, dtype=np.int64)
+    doc = least = np.zeros(0, dtype=np.int64)
     if n > 0:
         same = w.doc[:n] == w.doc[width - 1 :]
         full = h[:n]
         for i in range(1, width):
             full = words.mix(full + _SALT) + h[i : n + i]
-        full, doc = words.mix(full)[same], w.doc[:n][same]
+        least = each[:n]
+        for i in range(1, width):
+            least = np.minimum(least, each[i : n + i])
+        full, doc, least = words.mix(full)[same], w.doc[:n][same], least[same]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
         first = np.searchsorted(w.doc, short)
@@ -72,21 +80,21 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
             for x in h[at : at + counts[d]]:
                 value = words.mix(value + _SALT) + x
             rest.append(words.mix(value ^ _SALT))
-        full, doc = np.concatenate([full, *rest]), np.concatenate([doc, short])
+        full, doc, least = np.concatenate([full, *rest]), np.concatenate([doc, short]), np.concatenate([least, each[first]])
         order = np.argsort(doc, kind="stable")
-        full, doc = full[order], doc[order]
-    return full, doc
+        full, doc, least = full[order], doc[order], least[order]
+    return full, doc, least
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes, ascending within a document; where each document's set begins)."""
-    h, doc = shingles(data, offsets, width)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, word_counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, ascending within a document; where each document's set begins; least counts of their words)."""
+    h, doc, least = shingles(data, offsets, width, word_counts)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[first], doc[first]
-    return h, np.searchsorted(doc, np.arange(len(offsets)))
+    return h, np.searchsorted(doc, np.arange(len(offsets))), least[order][first]
 
 
 def key_count(n: int, percent: int) -> int:
@@ -100,11 +108,12 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def _slot_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        total = np.zeros((2, SLOTS), dtype=np.int64)
         for batch in batches:
             for _, data, offsets in words.slices(batch, 0):
-                h, _ = shingles(data, offsets, width)
-                total += np.bincount(_slot(h), minlength=SLOTS)
+                h, _, _ = shingles(data, offsets, width)
+                total[0] += np.bincount(_slot(h), minlength=SLOTS)
+                total[1] += np.bincount(_slot(words.split(data, offsets).hash), minlength=SLOTS)
         rows = total.reshape(-1, BLOCK)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["block", "sums"])
@@ -123,13 +132,13 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of all texts by hash slot: ``SLOTS`` numbers for any corpus."""
+    """(2 x SLOTS) occurrences of shingles and of words in all texts, by hash slot; as many numbers for any corpus."""
     parts = docs.select("text").mapInArrow(_slot_counts(width), "block int, sums binary")
-    summed = parts.repartition(max(1, min(partitions_for(docs), SLOTS // BLOCK)), "block").mapInArrow(_add_blocks, "block int, sums binary")
-    out = np.zeros((SLOTS // BLOCK, BLOCK), dtype=np.int64)
+    summed = parts.repartition(max(1, min(partitions_for(docs), 2 * SLOTS // BLOCK)), "block").mapInArrow(_add_blocks, "block int, sums binary")
+    out = np.zeros((2 * SLOTS // BLOCK, BLOCK), dtype=np.int64)
     for block, sums in summed.collect():
         out[block] = np.frombuffer(sums, dtype=np.int64)
-    return out.reshape(-1)
+    return out.reshape(2, SLOTS)
 
 
 POINTS = "doc_id long, row long, n long, point long, classes array<int>, keys array<long>"
@@ -146,7 +155,7 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for rows, data, offsets in words.slices(batch, 1):
-                h, at = shingle_sets(data, offsets, width)
+                h, at, least = shingle_sets(data, offsets, width, common.value[1])
                 n = np.diff(at)
                 point = np.zeros(len(n), dtype=np.uint64)
                 some = np.flatnonzero(n)
@@ -154,7 +163,7 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     point[some] = words.mix(np.add.reduceat(words.mix(h ^ _SALT), at[some]) + n[some].astype(np.uint64))
                 doc = np.repeat(np.arange(len(n)), n)
                 classes = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).astype(np.int32)
-                rare = common.value[_slot(h)]
+                together = common.value[0][_slot(h)]
                 keys: list[np.ndarray] = []
                 for d in range(len(n)):
                     name = int(point[d])
@@ -164,7 +173,8 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen.add(name)
                     own, q = h[at[d] : at[d + 1]], key_count(int(n[d]), percent)
                     # linked sets of this size are equal, and so one point
-                    keys.append(own[np.lexsort((own, rare[at[d] : at[d + 1]]))[:q]] if q > 1 or n[d] * 100 >= (n[d] + 1) * percent else h[:0])
+                    part = slice(at[d], at[d + 1])
+                    keys.append(own[np.lexsort((own, together[part], least[part]))[:q]] if q > 1 or n[d] * 100 >= (n[d] + 1) * percent else h[:0])
                 lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     rows.column(0), rows.column(2), pa.array(n), pa.array(point.view(np.int64), mask=n == 0),
@@ -176,24 +186,40 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, point) from rows ordered by key and point: each further point of a key with the key's first one."""
-    key, first, last = None, None, None
+    """(pivot, point, deep) from rows ordered by key and point.
+
+    Each point meets the first ``LEAF - 1`` points of its keys, so keys of up to ``LEAF`` points are done. The
+    further points of longer keys are the region (deep) of the key's first point.
+    """
+    held_key, held = 0, np.zeros(0, dtype=np.int64)  # the first points of the last key, at most LEAF of them
+    last = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         k, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(k), dtype=bool)
-        new[1:] = k[1:] != k[:-1]
-        again = np.zeros(len(k), dtype=bool)
-        again[1:] = ~new[1:] & (p[1:] == p[:-1])
-        if key is not None and k[0] == key:
-            new[0], again[0] = False, p[0] == last
-        run = np.cumsum(new)
-        starts = np.concatenate([[first if first is not None else 0], p[new]])
-        pivot = starts[run]
-        key, first, last = k[-1], pivot[-1], p[-1]
-        keep = ~new & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(pivot[keep]), pa.array(p[keep])], names=["pivot", "point"])
+        fresh = np.ones(len(k), dtype=bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+        fresh[0] = last != (k[0], p[0])
+        last = (k[-1], p[-1])
+        k, p = k[fresh], p[fresh]
+        if len(k) == 0:
+            continue
+        carried = len(held) if len(held) and held_key == k[0] else 0
+        k = np.concatenate([np.full(carried, k[0], dtype=np.int64), k])
+        p = np.concatenate([held[:carried], p])
+        start = np.ones(len(k), dtype=bool)
+        start[1:] = k[1:] != k[:-1]
+        first = np.flatnonzero(start)[np.cumsum(start) - 1]
+        place = np.arange(len(k)) - first
+        new = np.arange(len(k)) >= carried
+        pivots, points, deep = [], [], []
+        for s in range(LEAF - 1):
+            at = np.flatnonzero(new & (place > s))
+            pivots.append(p[first[at] + s])
+            points.append(p[at])
+            deep.append((place[at] >= LEAF - 1) & (s == 0))
+        held_key, held = k[-1], p[first[-1] : first[-1] + LEAF]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, deep)], names=["pivot", "point", "deep"])
 
 
 class _Space:
@@ -209,19 +235,20 @@ class _Space:
         )
         self.sets: DataFrame | None = None
 
+    def near_enough(self, n_a, n_b, c_a, c_b):
+        """Whether sizes and class counts leave room for a link: each class differs by at most its part of the symmetric difference."""
+        apart = F.aggregate(F.zip_with(c_a, c_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        # a symmetric difference of s leaves (n_a + n_b - s) / 2 in common at most
+        most = (n_a + n_b - apart) / 2
+        sizes = 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
+        return sizes & F.when(sizes, 100 * most >= self.percent * (n_a + n_b - most))
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs that sizes and class counts do not rule out, with their sizes."""
         a = self.known.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("classes").alias("c_a"))
         b = self.known.select(F.col("point").alias("b"), F.col("n").alias("n_b"), F.col("classes").alias("c_b"))
-        apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        # a symmetric difference of s leaves (n_a + n_b - s) / 2 in common at most
-        most = (F.col("n_a") + F.col("n_b") - apart) / 2
-        return (
-            pairs.join(a, "a").join(b, "b")
-            .filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-            .filter(100 * most >= self.percent * (F.col("n_a") + F.col("n_b") - most))
-            .select("a", "b", "n_a", "n_b")
-        )
+        joined = pairs.join(a, "a").join(b, "b")
+        return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("c_a"), F.col("c_b"))).select("a", "b", "n_a", "n_b")
 
     def _load(self, needed: DataFrame) -> None:
         """Adds the sets of those ``needed`` points that are not loaded yet."""
@@ -231,7 +258,7 @@ class _Space:
         width = self.width
 
         def run(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            h, at = shingle_sets(data, offsets, width)
+            h, at, _ = shingle_sets(data, offsets, width)
             return pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["point", "shingles"])
 
         chosen = materialize(missing.join(self.known, "point").select("point", "id", "row"))
@@ -242,8 +269,8 @@ class _Space:
         self.sets = loaded if self.sets is None else self.sets.unionByName(loaded)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, distance, linked) of the possible ones among distinct pairs; the others are farther than eps."""
-        pairs = materialize(self.possible(pairs))
+        """(a, b, distance, linked) of distinct (a, b, n_a, n_b) pairs."""
+        pairs = materialize(pairs)
         self._load(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
         a = self.sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
         b = self.sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
@@ -252,14 +279,14 @@ class _Space:
         return materialize(shared.select("a", "b", (1 - F.col("i") / union).alias("distance"), (100 * F.col("i") >= self.percent * union).alias("linked")))
 
 
-def _live(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The members, with their classes, of regions that are not one class."""
-    label = F.coalesce(F.col("component"), F.col("point")) if labels is not None else F.col("point")
-    members = members.join(labels.withColumnRenamed("node", "point"), "point", "left") if labels is not None else members
-    members = materialize(members.select("region", "point", "near", label.alias("label")))
-    # more than two members: of two, one was the pivot
-    open_ = materialize(members.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region"))
-    return materialize(members.join(open_, "region"))
+def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their classes, of regions that are not one class; ``rest`` tells those outside the region's largest class."""
+    members = members.drop("label", "rest").join(labels.withColumnRenamed("node", "point"), "point", "left")
+    members = members.withColumn("label", F.coalesce("component", "point")).drop("component")
+    sizes = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
+    regions = sizes.groupBy("region").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    regions = materialize(regions.select("region", F.col("top.label").alias("main")))
+    return materialize(members.join(regions, "region").withColumn("rest", F.col("label") != F.col("main")).drop("main"))
 
 
 def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -270,33 +297,37 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     space = _Space(docs, table, width, percent)
     keyed = table.select(F.explode("keys").alias("key"), "point")
     # ordered rows stream through a task, however many share a key
-    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long")
-    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.count(F.lit(1)).alias("keys")).select("pivot", "point"))
-    found = space.compare(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b")))
+    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, deep boolean")
+    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.max("deep").alias("deep")))
+    found = space.compare(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"))))
     links = found.filter("linked").select("a", "b")
-    # a region without its pivot, which has met every member
-    near = found.select(F.col("a").alias("pivot"), F.col("b").alias("point"), F.col("distance").alias("near"))
-    members = seeds.join(near, ["pivot", "point"], "left").select(F.col("pivot").alias("region"), "point", "near")
+    near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
+    # a region without the first points of its key, which have met every member
+    members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
+    members = members.join(space.known.select("point", "n", "classes"), "point")
     count = PIVOTS
     while True:
         labels = components(links)
         members = _live(members, labels)
         if members.isEmpty():
             break
-        # the first by nearness: a window function with a limit, so only so many of a region leave a task
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.col("near").asc_nulls_last(), F.xxhash64("point", "region"), "point"))
-        chosen = materialize(members.withColumn("rank", rank).filter(F.col("rank") <= count).select("region", F.col("point").alias("pivot"), F.col("near").alias("at"), F.col("label").alias("of")))
-        window = F.col("near").isNull() | F.col("at").isNull() | (F.abs(F.col("near") - F.col("at")) <= eps + 1e-9)
-        pairs = (
-            members.join(chosen, "region").filter((F.col("label") != F.col("of")) & window)
-            .select(F.least("point", "pivot").alias("a"), F.greatest("point", "pivot").alias("b")).distinct()
+        # pivots come from outside the largest class, whose own pairs are settled; a limited rank, so only so many leave a task
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.col("rest").desc(), F.col("near").asc_nulls_last(), F.xxhash64("point", "region"), "point"))
+        chosen = materialize(members.withColumn("rank", rank).filter((F.col("rank") <= count) & F.col("rest")))
+        p = chosen.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"p_{c}") for c in ("point", "near", "label", "n", "classes")])
+        window = F.col("near").isNull() | F.col("p_near").isNull() | (F.abs(F.col("near") - F.col("p_near")) <= eps + 1e-9)
+        # a large region's members are dealt to several tasks, its few pivots are copied to each
+        met = members.withColumn("salt", F.pmod(F.hash("point"), F.lit(SALTS))).join(p, ["region", "salt"]).filter(
+            (F.col("label") != F.col("p_label")) & window & space.near_enough(F.col("n"), F.col("p_n"), F.col("classes"), F.col("p_classes"))
         )
+        first = F.col("point") < F.col("p_point")
+        pairs = met.select(
+            F.least("point", "p_point").alias("a"), F.greatest("point", "p_point").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"), F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b"),
+        ).distinct()
         more = space.compare(pairs)
         links = links.unionByName(more.filter("linked").select("a", "b"))
-        gone = chosen.select("region", F.col("pivot").alias("point"))
-        members = members.join(gone, ["region", "point"], "left_anti").select("region", "point", "near")
+        members = members.join(chosen.select("region", "point"), ["region", "point"], "left_anti")
         count *= PIVOTS
     # classes of points, then the smallest id of each class
     named = space.known.select("point").join(labels.withColumnRenamed("node", "point"), "point", "left").select("point", F.coalesce("component", "point").alias("class"))
