@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.llm.components import components
-from concord.llm.store import materialize, partitions_for
+from concord.llm.store import add_rows, materialize, partitions_for
+from concord.runtime import fits
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
@@ -47,6 +48,7 @@ CLASSES = 128
 PIVOTS = 16
 LEAF = 8
 SALTS = 16
+MOST_BROADCAST = 1_000_000  # rows of three numbers
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -121,23 +123,12 @@ def _slot_counts(width: int):
     return run
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(sums, dtype=np.int64)
-            held[block] = held[block] + part if block in held else part
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "sums"])
-
-
 def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
     """(2 x SLOTS) occurrences of shingles and of words in all texts, by hash slot; as many numbers for any corpus."""
     parts = docs.select("text").mapInArrow(_slot_counts(width), "block int, sums binary")
-    summed = parts.repartition(max(1, min(partitions_for(docs), 2 * SLOTS // BLOCK)), "block").mapInArrow(_add_blocks, "block int, sums binary")
     out = np.zeros((2 * SLOTS // BLOCK, BLOCK), dtype=np.int64)
-    for block, sums in summed.collect():
-        out[block] = np.frombuffer(sums, dtype=np.int64)
+    for block, sums in add_rows(parts, blocks=len(out)).items():
+        out[block] = sums
     return out.reshape(2, SLOTS)
 
 
@@ -263,6 +254,8 @@ class _Space:
 
         chosen = materialize(missing.join(self.known, "point").select("point", "id", "row"))
         texts = self.docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("row"), "text")
+        # counted first; beyond the bound the texts are shuffled to the names
+        chosen = F.broadcast(chosen) if fits(chosen, MOST_BROADCAST) else chosen
         loaded = texts.join(chosen, ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run), "point long, shingles array<long>")
         # a repeated row gives its point's set twice
         loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")))
@@ -290,7 +283,7 @@ def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) of every row of ``docs``."""
+    """(doc_id, row, n_shingles, component_id, class) of every row of ``docs``; ``class`` names the class whatever its ids, null for empty sets."""
     docs = docs.select("doc_id", "text")
     eps = 1 - percent / 100
     table = materialize(points(docs, width, percent))
@@ -334,22 +327,24 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     ids = table.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("least"))
     named = materialize(named.join(ids, "point"))
     least = materialize(named.groupBy("class").agg(F.min("least").alias("component_id")))
-    of_point = materialize(named.join(least, "class").select("point", "component_id"))
+    of_point = materialize(named.join(least, "class").select("point", "component_id", "class"))
     return table.select("doc_id", "row", "n", "point").join(of_point, "point", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("point").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("point").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class"
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that link to one of a smaller id; of repeated rows of that id one stays.
+    """``docs`` with one document of each class: that of the smallest id, null ids last, then of the smallest text hash.
 
-    Texts without words are kept as they are. Null ids are kept only where their whole class has none.
+    Texts without words are in no class and all stay, but of rows that agree in id and text one stays.
     """
     names = docs.columns
-    classes = linked_classes(docs, width, percent)
-    first = classes.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one text of an id
-    first = first.groupBy("doc_id").agg(F.min("row").alias("row")).select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
+    classes = materialize(linked_classes(docs, width, percent))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("one")).select("one.doc_id", "one.row")
+    kept = materialize(first.unionByName(classes.filter("class IS NULL").select("doc_id", "row")).distinct())
+    again = not classes.groupBy("doc_id", "row").count().filter("count > 1").isEmpty()
+    kept = (F.broadcast(kept) if fits(kept, MOST_BROADCAST) else kept).select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
     keyed = docs.withColumn("kept_key", F.xxhash64("text"))
-    joined = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_key") == F.col("kept_row")))
-    return joined.select(*[keyed[n] for n in names])
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_key") == F.col("kept_row"))).select(*[keyed[n] for n in names], "kept_key")
+    return (joined.dropDuplicates(["doc_id", "kept_key"]) if again else joined).drop("kept_key")

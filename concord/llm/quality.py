@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import words
-from concord.llm.store import partitions_for
+from concord.llm.store import add_rows
 
 SLOTS = 1 << 15
 DIMS = 32
@@ -77,21 +77,6 @@ def _blocks(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["block", "sums"])
 
 
-def _add_blocks(dims: int):
-    """Sums of the blocks that reach a task; it holds one array per block, however many tasks sent theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(sums, dtype=np.int64)
-                held[block] = held[block] + part if block in held else part
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "sums"])
-
-    return run
-
-
 def context_vectors(docs: DataFrame, slots: int = SLOTS, dims: int = DIMS) -> np.ndarray:
     """The (slots x dims) unit word vectors of all texts of ``docs``; a slot without words is zero.
 
@@ -99,11 +84,9 @@ def context_vectors(docs: DataFrame, slots: int = SLOTS, dims: int = DIMS) -> np
     """
     # a block is 64 KB of sums from each task; most of a small task's are zero and compress
     parts = docs.select("text").mapInArrow(_context_sums(slots, dims), "block int, sums binary")
-    count = max(1, min(partitions_for(docs), slots // BLOCK))
-    summed = parts.repartition(count, "block").mapInArrow(_add_blocks(dims), "block int, sums binary")
     matrix = np.zeros((slots // BLOCK, BLOCK * dims), dtype=np.float64)
-    for block, sums in summed.collect():
-        matrix[block] = np.frombuffer(sums, dtype=np.int64)
+    for block, sums in add_rows(parts, blocks=len(matrix)).items():
+        matrix[block] = sums
     matrix = matrix.reshape(slots, dims)
     length = np.linalg.norm(matrix, axis=1)
     return np.divide(matrix, length[:, None], out=np.zeros_like(matrix), where=length[:, None] > 0).astype(np.float32)

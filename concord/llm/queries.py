@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, grid_join, mixing, ngram_join, pseudonyms, quality, token_counts, toxicity, warc
+from concord.llm import decontaminate, grid_join, lattice, mixing, ngram_join, pseudonyms, quality, token_counts, toxicity, warc
 from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def op6_embedding_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
+@query()
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), in_fold(10, 0))

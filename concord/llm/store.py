@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.runtime import materialize, shared_folder
 
-__all__ = ["fold", "materialize", "new_folder", "partitions_for"]
+__all__ = ["add_rows", "fold", "materialize", "new_folder", "partitions_for"]
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -25,3 +28,23 @@ def fold(doc_id: str, modulus: int) -> Column:
 def partitions_for(df: DataFrame) -> int:
     """As many partitions as the session's shuffles have."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def add_rows(rows: DataFrame, kind: type = np.int64, blocks: int = 1) -> dict[int, np.ndarray]:
+    """Sums of the arrays in (block int, sums binary) rows, by block.
+
+    Tasks send arrays of one fixed size for a fixed set of blocks, and the sums are as large: a model that the
+    driver may hold whatever the input. A summing task holds one array for each of its blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(sums, dtype=kind)
+                held[block] = held[block] + part if block in held else part
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "sums"])
+
+    summed = rows.repartition(max(1, min(partitions_for(rows), blocks)), "block").mapInArrow(run, "block int, sums binary")
+    return {block: np.frombuffer(sums, dtype=kind) for block, sums in summed.collect()}
