@@ -338,13 +338,13 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Texts without words are in no class and all stay, but of rows that agree in id and text one stays.
     """
-    names = docs.columns
     classes = materialize(linked_classes(docs, width, percent))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("one")).select("one.doc_id", "one.row")
     kept = materialize(first.unionByName(classes.filter("class IS NULL").select("doc_id", "row")).distinct())
     again = not classes.groupBy("doc_id", "row").count().filter("count > 1").isEmpty()
-    kept = (F.broadcast(kept) if fits(kept, MOST_BROADCAST) else kept).select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
-    keyed = docs.withColumn("kept_key", F.xxhash64("text"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_key") == F.col("kept_row"))).select(*[keyed[n] for n in names], "kept_key")
-    return (joined.dropDuplicates(["doc_id", "kept_key"]) if again else joined).drop("kept_key")
+    kept = (F.broadcast(kept) if fits(kept, MOST_BROADCAST) else kept).select(F.col("doc_id").alias("__kept"), F.col("row").alias("__kept_row"))
+    # the document's own columns stay together, so none clashes with these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64("text").alias("__row"), F.col("doc_id").alias("__id"))
+    joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__row") == F.col("__kept_row")))
+    return (joined.dropDuplicates(["__id", "__row"]) if again else joined).select("__doc.*")
