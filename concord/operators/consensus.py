@@ -22,10 +22,14 @@ from pyspark.sql import types as T
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.similarity import block_join, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
-from concord.runtime import broadcast_if_small, materialize
+from concord.runtime import bounded_rows, broadcast_if_small, fits, materialize
 
 MODEL_BYTES = 32 << 20
 SUB_BATCH = 1024
+# sizes of models that tasks may hold: runs, (run, label, cluster) cells, and runs whose cells are summed together
+MODEL_RUNS = 100_000
+MODEL_CELLS = 2_000_000
+RUN_GROUP = 100
 FINISH_CLUSTERS = 64
 
 
@@ -291,32 +295,66 @@ def run_cells(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def run_codes(profiles: DataFrame) -> list[np.ndarray]:
+    """The labels of each run, sorted: a model of runs x k numbers."""
+    found = explode_runs(profiles).groupBy("run_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    rows = sorted(bounded_rows(found, MODEL_RUNS, "runs"), key=lambda r: r["run_id"])
+    return [np.array(r["labels"], dtype=np.int64) for r in rows]
+
+
+def _coded(labels: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+    """Labels (rows, runs) as numbers that are distinct over all runs."""
+    starts = np.cumsum([0, *[len(c) for c in codes]])
+    return np.stack([starts[r] + np.searchsorted(c, labels[:, r]) for r, c in enumerate(codes)], axis=1)
+
+
 def item_stability(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, cluster, stability): mean co-association with the own cluster, self excluded.
+    """(id, cluster, stability, cluster_size): mean co-association with the own cluster, self excluded.
 
-    Summed over runs it is (cell size - 1) / (cluster size - 1); singletons get 1.0.
+    Summed over runs it is (cell size - 1) / (cluster size - 1); singletons get 1.0. The cells
+    of up to ``MODEL_CELLS`` (run, label, cluster) are an array that every task indexes; more
+    are joined to the exploded profiles, with the same result.
     """
-    cells = run_cells(profiles, clusters)
-    # one row per cluster: a map run/label -> size, so items need one small join
-    keyed = cells.groupBy("cluster").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.concat_ws("/", "run_id", "label").alias("k"), F.col("n")))
-        ).alias("cell")
-    )
+    cells = materialize(run_cells(profiles, clusters))
     sizes = cells.filter("run_id = 0").groupBy("cluster").agg(F.sum("n").alias("size"))
-    same = F.aggregate(
-        F.transform("labels", lambda label, run: F.element_at("cell", F.concat_ws("/", run, label))),
-        F.lit(0).cast("long"), lambda acc, n: acc + n,
-    )
-    runs = F.size("labels")
-    return (
-        profiles.join(clusters.select("id", "cluster"), "id").join(broadcast_if_small(keyed.join(sizes, "cluster")), "cluster")
-        .select(
-            "id", "cluster",
-            F.when(F.col("size") > 1, (same - runs) / (runs * (F.col("size") - 1))).otherwise(F.lit(1.0)).alias("stability"),
-            F.col("size").alias("cluster_size"),
-        )
-    )
+    joined = profiles.join(clusters.select("id", "cluster"), "id")
+    if fits(cells, MODEL_CELLS):
+        same = _summed_cells(joined, cells, run_codes(profiles))
+    else:
+        long = joined.select("id", "cluster", F.size("labels").alias("runs"), F.posexplode("labels").alias("run_id", "label"))
+        same = long.join(cells, ["run_id", "label", "cluster"]).groupBy("id", "cluster", "runs").agg(F.sum("n").alias("same"))
+    size, runs = F.col("size"), F.col("runs")
+    value = F.when(size > 1, (F.col("same") - runs) / F.nullif(runs * (size - 1), F.lit(0))).otherwise(F.lit(1.0))
+    return same.join(broadcast_if_small(sizes), "cluster").select("id", "cluster", value.alias("stability"), size.alias("cluster_size"))
+
+
+def _summed_cells(joined: DataFrame, cells: DataFrame, codes: list[np.ndarray]) -> DataFrame:
+    """(id, cluster, runs, same): the sizes of an item's cells, summed over the runs."""
+    rows = cells.collect()  # at most MODEL_CELLS, counted by the caller
+    names = sorted({r["cluster"] for r in rows})
+    starts = np.cumsum([0, *[len(c) for c in codes]])
+    table = np.zeros((len(names), starts[-1]), dtype=np.int64)
+    place = {c: i for i, c in enumerate(names)}
+    for r in rows:
+        table[place[r["cluster"]], starts[r["run_id"]] + np.searchsorted(codes[r["run_id"]], r["label"])] = r["n"]
+    shipped = joined.sparkSession.sparkContext.broadcast((place, table, codes))
+    fields = [joined.schema["id"], joined.schema["cluster"]]
+
+    def look_up(batches):
+        at, sums, known = shipped.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.array([at[c] for c in batch.column("cluster").to_pylist()])
+            coded = _coded(matrix(batch.column("labels")).astype(np.int64), known)
+            same = sums[own[:, None], coded].sum(axis=1)
+            yield pa.record_batch(
+                [batch.column("id"), batch.column("cluster"), pa.array(np.full(len(own), coded.shape[1], dtype=np.int32)), pa.array(same)],
+                names=["id", "cluster", "runs", "same"],
+            )
+
+    schema = T.StructType([*fields, T.StructField("runs", T.IntegerType()), T.StructField("same", T.LongType())])
+    return joined.select("id", "cluster", "labels").mapInArrow(look_up, schema)
 
 
 def position_frequency(long_labels: DataFrame) -> DataFrame:
@@ -337,10 +375,12 @@ def _choose2(n):
 
 
 def ari_from_sums(cells, left, right, n):
-    """Adjusted Rand index from the pair sums of cells and both margins; 1.0 if degenerate."""
-    expected = left * right / _choose2(n)
+    """Adjusted Rand index from the pair sums of cells and both margins; 1.0 if degenerate (also for a single item)."""
+    expected = F.coalesce(F.try_divide(left * right, _choose2(n)), F.lit(0.0))
     top = (left + right) / 2
-    return F.when(F.abs(top - expected) < 1e-12, F.lit(1.0)).otherwise((cells - expected) / (top - expected))
+    # relative: pair sums grow with the square of n
+    same = F.abs(top - expected) <= 1e-12 * F.greatest(F.abs(top), F.abs(expected), F.lit(1.0))
+    return F.when(same, F.lit(1.0)).otherwise(F.try_divide(cells - expected, top - expected))
 
 
 def ari_to_consensus(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -380,8 +420,10 @@ def consensus_validation(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
         (100.0 * F.avg(F.when((F.col("stability") > 0.5) & (F.col("cluster_size") > 1), 1.0).otherwise(0.0))).alias("pct")
     )
     all_pairs = _choose2(F.col("total"))
-    within = F.sum("together") / F.sum("by_cluster")
-    between = (F.sum("by_label") - F.sum("together")) / F.sum(all_pairs - F.col("by_cluster"))
+    # no pairs within (only singletons) or between (one cluster): 0.0
+    share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+    within = share(F.sum("together"), F.sum("by_cluster"))
+    between = share(F.sum("by_label") - F.sum("together"), F.sum(all_pairs - F.col("by_cluster")))
     return _pair_sums(run_cells(profiles, clusters)).withColumn("ari", _run_ari()).agg(
         F.avg("ari").alias("mean_ari"), F.median("ari").alias("median_ari"), F.stddev_pop("ari").alias("sd_ari"),
         F.min("ari").alias("min_ari"), F.max("ari").alias("max_ari"), F.count("ari").alias("n_runs"),
@@ -389,41 +431,63 @@ def consensus_validation(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     ).withColumn("well_represented_pct", covered.scalar())
 
 
-def run_pair_ari(profiles: DataFrame, max_pairs: int = 5000) -> DataFrame:
-    """(run_a, run_b, ari) for all run pairs, or a fixed hash-ordered choice when more.
+def run_pair_ari(profiles: DataFrame) -> DataFrame:
+    """(run_a, run_b, ari) for all pairs of runs.
 
-    Contingency cells of all chosen pairs are counted in one pass over the profiles.
+    The contingency cells of two runs are a block of the product of the one-hot profiles, so
+    a task adds one product per pair of groups of ``RUN_GROUP`` runs, and a group pair's sum
+    gives the index of all its run pairs at once.
     """
-    spark = profiles.sparkSession
-    runs = profiles.select(F.size("labels")).first()[0]
-    a, b = np.triu_indices(runs, 1)
-    if len(a) > max_pairs:
-        order = np.argsort(mix64((a * runs + b).astype(np.uint64)))[:max_pairs]
-        a, b = a[order], b[order]
-    shipped = spark.sparkContext.broadcast((a, b))
-
-    def count(batches):
-        left, right = shipped.value
-        held: dict[tuple[int, int, int], int] = {}
+    codes = run_codes(profiles)
+    runs = len(codes)
+    groups = -(-runs // RUN_GROUP)
+    pairs = [(i, j) for i in range(groups) for j in range(i, groups)]
+    shipped = profiles.sparkSession.sparkContext.broadcast(codes)
+
+    def span(g: int) -> range:
+        return range(g * RUN_GROUP, min(runs, (g + 1) * RUN_GROUP))
+
+    def one_hot(labels: np.ndarray, g: int, known: list[np.ndarray]) -> np.ndarray:
+        of = [known[r] for r in span(g)]
+        coded = _coded(labels[:, span(g).start : span(g).stop], of)
+        out = np.zeros((len(labels), sum(len(c) for c in of)))
+        np.put_along_axis(out, coded, 1.0, axis=1)
+        return out
+
+    def partial(batches):
+        known, held = shipped.value, {}
         for batch in batches:
             labels = matrix(batch.column("labels")).astype(np.int64)
-            for p in range(len(left)) if len(labels) else ():
-                cell, n = np.unique(labels[:, [left[p], right[p]]], axis=0, return_counts=True)
-                for (x, y), c in zip(cell.tolist(), n.tolist()):
-                    held[p, x, y] = held.get((p, x, y), 0) + c
-        if held:
-            keys = np.array(list(held.keys()), dtype=np.int32)
-            yield pa.record_batch(
-                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(keys[:, 2]), pa.array(list(held.values()), pa.int64())],
-                names=["run_id", "label", "cluster", "n"],
-            )
-
-    cells = (
-        per_core(profiles.select("labels")).mapInArrow(count, "run_id int, label int, cluster int, n long")
-        .groupBy("run_id", "label", "cluster").agg(F.sum("n").alias("n"))
-    )
-    names = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b))], "run_id int, run_a int, run_b int")
-    return _ari_by_run(cells).join(names, "run_id").select("run_a", "run_b", "ari")
+            for at in range(0, len(labels), SUB_BATCH):
+                hot = [one_hot(labels[at : at + SUB_BATCH], g, known) for g in range(groups)]
+                for p, (i, j) in enumerate(pairs):
+                    held[p] = held.get(p, 0.0) + hot[i].T @ hot[j]
+        for p, cells in held.items():
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["pair", "cells"])
+
+    def indices(batches):
+        known, held = shipped.value, {}
+        for batch in batches:
+            for p, cells in zip(batch.column("pair").to_pylist(), batch.column("cells").to_pylist()):
+                held[p] = held.get(p, 0.0) + np.frombuffer(cells)
+        for p, flat in held.items():
+            i, j = pairs[p]
+            left, right = [np.array([len(known[r]) for r in span(g)]) for g in (i, j)]
+            cells = flat.reshape(left.sum(), right.sum())
+            cut = lambda x, sizes, axis: np.add.reduceat(x, np.cumsum(sizes) - sizes, axis=axis)
+            n = cut(cut(cells, left, 0), right, 1)
+            both = cut(cut(cells * (cells - 1) / 2, left, 0), right, 1)
+            by_left, by_right = cut(cells, right, 1), cut(cells, left, 0)
+            left_pairs = cut(by_left * (by_left - 1) / 2, left, 0)
+            right_pairs = cut(by_right * (by_right - 1) / 2, right, 1)
+            a, b = np.meshgrid(span(i), span(j), indexing="ij")
+            keep = a < b
+            columns = [pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32)), *(pa.array(x[keep]) for x in (both, left_pairs, right_pairs, n))]
+            yield pa.record_batch(columns, names=["run_a", "run_b", "both", "by_a", "by_b", "n"])
+
+    parts = profiles.select("labels").mapInArrow(partial, "pair int, cells binary")
+    sums = parts.repartition(len(pairs), "pair").mapInArrow(indices, "run_a int, run_b int, both double, by_a double, by_b double, n double")
+    return sums.select("run_a", "run_b", ari_from_sums(F.col("both"), F.col("by_a"), F.col("by_b"), F.col("n")).alias("ari"))
 
 
 def summary_stats(table: DataFrame, column: str) -> DataFrame:
@@ -771,16 +835,19 @@ def mean_silhouette(items: DataFrame) -> DataFrame:
 
 
 def run_silhouettes(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(run_id, silhouette): exact mean Euclidean silhouette of every run.
+    """(run_id, silhouette): exact mean Euclidean silhouette of every run, without its noise (-1).
 
     The distances of a block pair are computed once and summed by the labels of all runs in
-    one product; what leaves a task is one sum per item, run and label.
+    one product; what leaves a task is one sum per item, run and label. Null for a run with
+    fewer than two clusters.
     """
-    sizes = explode_runs(profiles).groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # runs x k rows
-    runs, k = 1 + max(r["run_id"] for r in sizes), 1 + max(r["label"] for r in sizes)
-    table = np.zeros((runs, k))
-    for r in sizes:
-        table[r["run_id"], r["label"]] = r["n"]
+    codes = [c[c != -1] for c in run_codes(profiles)]
+    starts = np.cumsum([0, *[len(c) for c in codes]])
+    runs, width = len(codes), int(starts[-1])
+    table = np.zeros(width)
+    counted = explode_runs(profiles).filter("label <> -1").groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    for r in bounded_rows(counted, MODEL_CELLS, "labels of all runs"):
+        table[starts[r["run_id"]] + np.searchsorted(codes[r["run_id"]], r["label"])] = r["n"]
     data = items.select("id", "vec").join(profiles.select("id", "labels"), "id")
     schema = T.StructType([items.schema["id"], T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
@@ -788,8 +855,10 @@ def run_silhouettes(items: DataFrame, profiles: DataFrame) -> DataFrame:
         if not lt.num_rows or not rt.num_rows:
             return _empty(schema)
         labels = matrix(rt["labels"]).astype(np.int64)
-        member = np.zeros((len(labels), runs * k))
-        np.put_along_axis(member, labels + (np.arange(runs) * k)[None, :], 1.0, axis=1)
+        member = np.zeros((len(labels), width))
+        for run, own in enumerate(codes):
+            rows = np.flatnonzero(labels[:, run] != -1)
+            member[rows, starts[run] + np.searchsorted(own, labels[rows, run])] = 1.0
         return pa.table([lt["id"], vectors(-sim_block(lt, rt, "euclidean") @ member)], names=["id", "sums"])
 
     sums = block_join(data.select("id", "vec"), data, kernel, schema, block_rows=SUB_BATCH).groupBy("id").agg(
@@ -798,29 +867,31 @@ def run_silhouettes(items: DataFrame, profiles: DataFrame) -> DataFrame:
     shipped = items.sparkSession.sparkContext.broadcast(table)
 
     def score(batches):
-        n = shipped.value
-        total, seen = np.zeros(runs), 0
+        size = shipped.value
+        total, seen = np.zeros(runs), np.zeros(runs, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            labels = matrix(batch.column("labels")).astype(np.int64)[:, :, None]
-            d = matrix(batch.column("sums")).reshape(-1, runs, k)
-            size = np.broadcast_to(n[None], d.shape)
-            own_n = np.take_along_axis(size, labels, 2)[:, :, 0]
-            a = np.take_along_axis(d, labels, 2)[:, :, 0] / np.maximum(own_n - 1, 1)
-            mean = np.where(size > 0, d / np.maximum(size, 1), np.inf)
-            np.put_along_axis(mean, labels, np.inf, 2)
-            b = mean.min(axis=2)
-            total += np.where(own_n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum(axis=0)
-            seen += len(labels)
-        if seen:
-            yield pa.record_batch(
-                [pa.array(np.arange(runs, dtype=np.int32)), pa.array(total), pa.array(np.full(runs, seen))], names=["run_id", "total", "n"]
-            )
+            labels = matrix(batch.column("labels")).astype(np.int64)
+            d = matrix(batch.column("sums"))
+            for run, own in enumerate(codes):
+                if len(own) < 2:
+                    continue
+                rows = np.flatnonzero(labels[:, run] != -1)
+                part, n = d[rows, starts[run] : starts[run + 1]], size[starts[run] : starts[run + 1]]
+                at = np.searchsorted(own, labels[rows, run])[:, None]
+                own_n = n[at[:, 0]]
+                a = np.take_along_axis(part, at, 1)[:, 0] / np.maximum(own_n - 1, 1)
+                mean = part / n
+                np.put_along_axis(mean, at, np.inf, 1)
+                b = mean.min(axis=1)
+                total[run] += np.where(own_n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum()
+                seen[run] += len(rows)
+        yield pa.record_batch([pa.array(np.arange(runs, dtype=np.int32)), pa.array(total), pa.array(seen)], names=["run_id", "total", "n"])
 
     scored = sums.join(profiles.select("id", "labels"), "id").select("labels", "sums")
     return scored.mapInArrow(score, "run_id int, total double, n long").groupBy("run_id").agg(
-        (F.sum("total") / F.sum("n")).alias("silhouette")
+        F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("silhouette")
     )
 
 

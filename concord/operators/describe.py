@@ -173,10 +173,11 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def kernel_density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, steps: int, factor: float = 0.18) -> DataFrame:
     """(keys, x, density) on a fixed grid, scaled to a maximum of 1.
 
-    Bandwidth is ``factor`` times the group's sample sd. Rows meet the grid inside the
-    map task and are summed there, so the shuffle carries groups x grid rows.
+    Bandwidth is ``factor`` times the group's sample sd; a group without spread (one value, or
+    one row) has no density and is left out. Rows meet the grid inside the map task and are
+    summed there, so the shuffle carries groups x grid rows.
     """
-    sds = df.groupBy(*keys).agg((F.stddev_samp(value) * factor).alias("bw"))
+    sds = df.groupBy(*keys).agg((F.stddev_samp(value) * factor).alias("bw")).filter("bw > 0")
     grid = F.array(*[F.lit(low + (high - low) * i / (steps - 1)) for i in range(steps)])
     z = (F.col("x") - F.col(value)) / F.col("bw")
     dens = (
@@ -184,7 +185,7 @@ def kernel_density(df: DataFrame, keys: Sequence[str], value: str, low: float, h
         .groupBy(*keys, "x").agg(F.avg(F.exp(-0.5 * z * z)).alias("d"))
     )
     peak = dens.groupBy(*keys).agg(F.max("d").alias("peak"))
-    return dens.join(peak, list(keys)).select(*keys, "x", (F.col("d") / F.col("peak")).alias("density"))
+    return dens.join(peak, list(keys)).select(*keys, "x", F.try_divide("d", "peak").alias("density"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -237,12 +238,14 @@ def pair_moments(df: DataFrame, cols: Sequence[str], center: bool = True) -> Dat
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, n, r): pairwise-complete Pearson; zero-variance columns are dropped."""
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    # columns without a common row have no moments and no r
+    some = F.nullif(n, F.lit(0.0))
+    vx, vy = F.col("sxx") - sx * sx / some, F.col("syy") - sy * sy / some
     m = pair_moments(df, cols)
     usable = m.filter((F.col("a") == F.col("b")) & (n > 1) & (vx > 1e-12)).select("a")
     return (
         m.join(usable, "a", "left_semi").join(usable.withColumnRenamed("a", "b"), "b", "left_semi")
-        .select("a", "b", n.cast("long").alias("n"), ((F.col("sxy") - sx * sy / n) / F.sqrt(vx * vy)).alias("r"))
+        .select("a", "b", n.cast("long").alias("n"), F.try_divide(F.col("sxy") - sx * sy / some, F.sqrt(vx * vy)).alias("r"))
     )
 
 

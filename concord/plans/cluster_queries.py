@@ -189,9 +189,25 @@ def averaged_concepts(spark, sf_dir):
     return out.select("label", r6(F.col("vec")[0]).alias("first"), r6(F.col("vec")[63]).alias("last"))
 
 
-@query(f"""WITH {PROFILE}, s AS (SELECT pf.run_id, a.id, pf.label, q.label AS other, avg(list_distance(a.embedding, b.embedding)) AS d FROM pf JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings) a USING (id)
-    JOIN pf q ON q.run_id = pf.run_id AND q.id <> pf.id JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings) b ON b.id = q.id GROUP BY ALL),
-    ab AS (SELECT run_id, id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM s GROUP BY ALL) SELECT run_id::INT AS run_id, {r('avg((b - a) / greatest(a, b))', 5)} AS silhouette FROM ab GROUP BY run_id""")
+# the same labels with noise (-1) in every second run, and one cluster only in run 3
+NOISY = "CASE WHEN t_run % 2 = 0 AND (id + t_run) % 7 = 0 THEN -1 WHEN t_run = 3 THEN 1 ELSE label END"
+
+
+@query(f"""WITH {PROFILE}, nf AS (SELECT id, run_id, {NOISY.replace("t_run", "run_id")} AS label FROM pf), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
+    d AS (SELECT a.id, b.id AS other, list_distance(a.vec, b.vec) AS d FROM e a JOIN e b ON a.id <> b.id),
+    s AS (SELECT x.run_id, x.id, x.label, y.label AS other, avg(d) AS d FROM d JOIN nf x ON x.id = d.id JOIN nf y ON y.id = d.other AND y.run_id = x.run_id WHERE x.label <> -1 AND y.label <> -1 GROUP BY ALL),
+    ab AS (SELECT run_id, id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM s GROUP BY ALL)
+    SELECT run_id::INT AS run_id, {r('avg((b - a) / greatest(a, b))', 5)} AS silhouette FROM ab GROUP BY run_id""")
 def run_silhouettes(spark, sf_dir):
-    out = C.run_silhouettes(items(spark, sf_dir).select("id", "vec"), profiles(spark, sf_dir))
+    p = profiles(spark, sf_dir).select("id", F.posexplode("labels").alias("t_run", "label"))
+    noisy = C.profiles_from_long(p.select("id", F.col("t_run").alias("run_id"), F.expr(NOISY).cast("int").alias("label")))
+    out = C.run_silhouettes(items(spark, sf_dir).select("id", "vec"), noisy)
     return out.withColumn("silhouette", r6("silhouette", 5))
+
+
+@query("""SELECT 1.0::DOUBLE AS mean_ari, 1.0::DOUBLE AS within, 0.0::DOUBLE AS between, NULL::DOUBLE AS separation, count(*) AS n_items FROM embeddings""")
+def one_cluster_validation(spark, sf_dir):
+    """Validation of runs and a consensus with a single cluster."""
+    e = items(spark, sf_dir)
+    out = C.consensus_validation(e.select("id", F.array(F.lit(0), F.lit(0), F.lit(0)).alias("labels")), e.select("id", F.lit(0).alias("cluster")))
+    return out.select("mean_ari", "within", "between", "separation", F.lit(e.count()).alias("n_items"))
