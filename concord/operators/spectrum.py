@@ -133,22 +133,35 @@ def elbow(spectrum: DataFrame, n: int) -> DataFrame:
     )
 
 
-def ppca_bic(items: DataFrame, k_min: int = 1, k_max: int | None = None) -> DataFrame:
-    """(k, bic) for probabilistic PCA on the centred vectors, from the covariance spectrum."""
+def covariance_spectrum(items: DataFrame) -> DataFrame:
+    """(rank, value, dims, n): the min(n, D) largest eigenvalues of the covariance matrix."""
     n, total, g = gram(items)
-    dims = g.shape[0]
     cov = (g - np.outer(total, total) / n) / (n - 1)
-    values = np.linalg.eigvalsh(cov)[::-1][: min(n, dims)]
-    top = max(k_min, min(min(n, dims) - 1, 10)) if k_max is None else k_max
-    rows = []
-    for k in range(k_min, top + 1):
-        if k >= min(n, dims):
-            continue
-        noise = max(float(values[k:].mean()), 1e-8) if k < len(values) else 1e-8
-        fit = (dims - k) * math.log(noise) + float(np.log(np.maximum(values[:k], 1e-12)).sum()) + dims
-        free = dims * k - k * (k - 1) // 2 + dims + 1
-        rows.append((k, float(n * (dims * math.log(2 * math.pi) + fit) + free * math.log(n))))
-    return items.sparkSession.createDataFrame(rows, "k int, bic double")
+    values = np.linalg.eigvalsh(cov)[::-1][: min(n, len(cov))]
+    rows = [(i, float(v), len(cov), n) for i, v in enumerate(values, 1)]
+    return items.sparkSession.createDataFrame(rows, "rank int, value double, dims int, n long")
+
+
+def ppca_bic(spectrum: DataFrame, k_min: int = 1, k_max: int | None = None) -> DataFrame:
+    """(k, bic) of probabilistic PCA with k axes, from (rank, value, dims, n).
+
+    The k largest variances are kept and the others are replaced by their mean, so the
+    likelihood needs two running sums over the ranks: of the values and of their logarithms.
+    Without ``k_max`` k runs to 10 at most.
+    """
+    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most D rows
+    every = Window.partitionBy()
+    k, d, n = F.col("rank"), F.col("dims"), F.col("n")
+    last = F.count(F.lit(1)).over(every)
+    rest = (F.sum("value").over(every) - F.sum("value").over(upto)) / F.nullif(last - k, F.lit(0))
+    table = spectrum.select(
+        k.alias("k"), d, n, last.alias("last"), F.greatest(rest, F.lit(1e-8)).alias("noise"),
+        F.sum(F.ln(F.greatest("value", F.lit(1e-12)))).over(upto).alias("kept"),
+    )
+    deviance = n * (d * (1 + math.log(2 * math.pi)) + F.col("kept") + (d - F.col("k")) * F.ln("noise"))
+    parameters = d * F.col("k") - F.col("k") * (F.col("k") - 1) / 2 + d + 1
+    top = F.lit(k_max) if k_max is not None else F.least(F.col("last") - 1, F.lit(10))
+    return table.filter((F.col("k") >= k_min) & (F.col("k") <= top) & (F.col("k") < F.col("last"))).select("k", (deviance + parameters * F.ln(n.cast("double"))).alias("bic"))
 
 
 def best_bic(table: DataFrame) -> DataFrame:
@@ -388,6 +401,69 @@ def rv_coefficient(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def pair_sums(items: DataFrame, key: str) -> DataFrame:
+    """(key, n, a, b, aa, bb, ab) of (key, vec_a, vec_b): sums over all unordered pairs of a key's items.
+
+    a and b are the cosines of a pair in either space. Their sums are |sum of unit vectors|^2, those of
+    their products the squared entries of one Gram matrix of both spaces, less the items' own terms; so no
+    pair is formed.
+    """
+    from concord.functions.vectors import unit_rows
+
+    dims = items.select(F.size("vec_a").alias("a"), F.size("vec_b").alias("b")).first()
+    d_a, d_b = dims["a"], dims["b"]
+    fields = T.StructType([items.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def joined(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = unit_rows(matrix(batch.column("vec_a"))), unit_rows(matrix(batch.column("vec_b")))
+                own = np.stack([(a * a).sum(axis=1), (b * b).sum(axis=1), np.ones(len(a))], axis=1)
+                yield pa.record_batch([batch.column(key), vectors(np.concatenate([a, b, own], axis=1))], names=[key, "vec"])
+
+    def sums(batches):
+        for batch in batches:
+            rows = []
+            for flat in matrix(batch.column("g")):
+                g = flat.reshape(d_a + d_b + 3, -1)
+                one, s_a, s_b = -1, slice(0, d_a), slice(d_a, d_a + d_b)
+                n = g[one, one]
+                own_a, own_b = g[-3, one], g[-2, one]  # number of non-zero vectors: their norms are one
+                squares = lambda x: float((x * x).sum())
+                rows.append((n * (n - 1) / 2, (squares(g[s_a, one]) - own_a) / 2, (squares(g[s_b, one]) - own_b) / 2,
+                             (squares(g[s_a, s_a]) - own_a) / 2, (squares(g[s_b, s_b]) - own_b) / 2, (squares(g[s_a, s_b]) - g[-3, -2]) / 2))
+            if rows:
+                columns = np.array(rows).T
+                yield pa.record_batch([batch.column(key), *(pa.array(c) for c in columns)], names=[key, "n", "a", "b", "aa", "bb", "ab"])
+
+    both = items.select(key, "vec_a", "vec_b").mapInArrow(joined, fields)
+    out = T.StructType([items.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("n", "a", "b", "aa", "bb", "ab"))])
+    return grouped_gram(both, key).mapInArrow(sums, out)
+
+
+def rv_of_spaces(items: DataFrame) -> DataFrame:
+    """(rv) of the similarity matrices of (vec_a, vec_b) items, over all pairs, each centred by its grand mean."""
+    s = pair_sums(items.withColumn("all", F.lit(0)), "all")
+    n = F.col("n")
+    cov = F.col("ab") / n - F.col("a") * F.col("b") / (n * n)
+    var = lambda c: F.col(c * 2) / n - F.col(c) * F.col(c) / (n * n)
+    return s.filter("n > 0").select(F.try_divide(cov, F.sqrt(var("a") * var("b"))).alias("rv"))
+
+
+def space_difference(items: DataFrame) -> DataFrame:
+    """(kind, n_pairs, mean_a, mean_b, mean_diff, sd_diff) of the pairs within and between the labels of (label, vec_a, vec_b)."""
+    names = ("n", "a", "b", "aa", "bb", "ab")
+    within = pair_sums(items, "label").agg(*[F.sum(c).alias(c) for c in names])
+    every = pair_sums(items.withColumn("all", F.lit(0)), "all").select(*[F.col(c).alias(f"t_{c}") for c in names])
+    both = within.join(F.broadcast(every))  # two rows of six numbers
+    between = [(F.col(f"t_{c}") - F.col(c)).alias(c) for c in names]
+    rows = both.select(F.lit("within").alias("kind"), *names).unionByName(both.select(F.lit("between").alias("kind"), *between)).filter("n > 0")
+    n = F.col("n")
+    mean = (F.col("a") - F.col("b")) / n
+    spread = F.sqrt(F.greatest((F.col("aa") - 2 * F.col("ab") + F.col("bb")) / n - mean * mean, F.lit(0.0)))
+    return rows.select("kind", F.round(n).cast("long").alias("n_pairs"), (F.col("a") / n).alias("mean_a"), (F.col("b") / n).alias("mean_b"), mean.alias("mean_diff"), spread.alias("sd_diff"))
+
+
 def spearman_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rank correlation of absolute loadings for every column pair.
 
@@ -487,17 +563,25 @@ def one_se_rule(errors: DataFrame) -> DataFrame:
     return table.join(F.broadcast(pick)).select("k", "mean_mse", "se", (F.col("k") == F.col("pick")).alias("chosen"))
 
 
-def final_k(k_parallel: int, k_cv: int, n: int, stable: dict[int, bool]) -> int:
-    """Largest stable k not above the rounded median of the two selectors; 1 if none."""
-    candidate = round((k_parallel + k_cv) / 2) if k_parallel > 0 else k_cv
-    candidate = max(1, min(int(candidate), n - 1))
-    return next((k for k in range(candidate, 0, -1) if stable.get(k)), 1)
+def final_rank(selectors: DataFrame, stable: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, candidate, k) from (keys, k_parallel, k_cross, n) and (keys, k, stable) rows.
+
+    The candidate lies half way between the two selectors (halves go to the even number), or is the second
+    where the first found none, and stays between 1 and n - 1. k is the largest stable number up to it, else 1.
+    """
+    middle = F.when(F.col("k_parallel") > 0, F.bround((F.col("k_parallel") + F.col("k_cross")) / F.lit(2.0))).otherwise(F.col("k_cross"))
+    candidate = F.greatest(F.lit(1), F.least(middle.cast("int"), (F.col("n") - 1).cast("int")))
+    found = selectors.select(*keys, candidate.alias("candidate"))
+    usable = stable.filter("stable").select(*keys, F.col("k").alias("stable_k"))
+    return found.join(usable, keys, "left").groupBy(*keys, "candidate").agg(
+        F.coalesce(F.max(F.when(F.col("stable_k") <= F.col("candidate"), F.col("stable_k"))), F.lit(1)).alias("k")
+    )
 
 
-def majority_k(elbow_k: int, broken_stick_k: int, bic_k: int) -> int:
-    """Majority vote; without one the order is elbow, broken stick, BIC."""
-    votes = [elbow_k, broken_stick_k, bic_k]
-    return max(votes, key=lambda k: (votes.count(k), -votes.index(k)))
+def majority_rank(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k): the number most methods found, from (keys, place, k); among equals the one whose first method has the lowest place."""
+    tally = votes.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    return tally.groupBy(*keys).agg(F.max_by("k", F.struct("n", -F.col("first"))).alias("k"))
 
 
 def principal_components(items: DataFrame, m: int) -> DataFrame:

@@ -64,7 +64,7 @@ def elbow_count(spark, sf_dir):
 
 @query()
 def ppca_bic_table(spark, sf_dir):
-    return D.ppca_bic(_items(spark, sf_dir)).withColumn("bic", r6("bic", 4))
+    return D.ppca_bic(D.covariance_spectrum(_items(spark, sf_dir))).withColumn("bic", r6("bic", 4))
 
 
 @query()
@@ -103,33 +103,43 @@ def spearman_congruence(spark, sf_dir):
     return D.spearman_matrix(_long(spark, sf_dir), _long(spark, sf_dir, True)).withColumn("rho", r6("rho"))
 
 
-_PT = """near AS (SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.vec, b.vec), 9) AS a, round(list_cosine_similarity(a.vec[1:32], b.vec[1:32]), 9) AS b FROM e a JOIN e b ON a.id < b.id),
-    pt AS (SELECT * FROM near WHERE a >= 0.2 AND b >= 0.2)"""
+_PT = "pt AS (SELECT x.id AS i, y.id AS j, x.label = y.label AS same, list_cosine_similarity(x.vec, y.vec) AS a, list_cosine_similarity(x.vec[1:32], y.vec[1:32]) AS b FROM e x JOIN e y ON x.id < y.id)"
 
 
-def _two_tables(spark, sf_dir):
-    e = _items(spark, sf_dir)
-    half = e.select("id", F.slice("vec", 1, 32).alias("vec"))
-    named = lambda t: t.select(F.col("left_id").alias("i"), F.col("right_id").alias("j"), F.col("sim").alias("value"))
-    return named(similar_pairs(e, e, 0.2, once=True)), named(similar_pairs(half, half, 0.2, once=True))
+def _two_spaces(spark, sf_dir):
+    return items(spark, sf_dir).select("id", "label", F.col("vec").alias("vec_a"), F.slice("vec", 1, 32).alias("vec_b"))
 
 
 @query(f"""WITH {E}, {_PT}, m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM pt) SELECT {r('sum((a - ma) * (b - mb)) / sqrt(sum((a - ma) * (a - ma)) * sum((b - mb) * (b - mb)))')} AS rv FROM pt, m""")
 def rv_coefficient(spark, sf_dir):
-    a, b = _two_tables(spark, sf_dir)
-    return D.rv_coefficient(a, b).withColumn("rv", r6("rv"))
+    return D.rv_of_spaces(_two_spaces(spark, sf_dir)).withColumn("rv", r6("rv"))
 
 
-@query(f"""WITH {E}, {_PT} SELECT CASE WHEN x.label = y.label THEN 'within' ELSE 'between' END AS kind, count(*) AS n_pairs, {r('avg(a)')} AS mean_a, {r('avg(b)')} AS mean_b, {r('avg(a - b)')} AS mean_diff, {r('stddev_pop(a - b)')} AS sd_diff
-    FROM pt JOIN e x ON x.id = i JOIN e y ON y.id = j GROUP BY 1""")
+@query(f"""WITH {E}, {_PT} SELECT CASE WHEN same THEN 'within' ELSE 'between' END AS kind, count(*) AS n_pairs, {r('avg(a)')} AS mean_a, {r('avg(b)')} AS mean_b, {r('avg(a - b)')} AS mean_diff, {r('stddev_pop(a - b)')} AS sd_diff
+    FROM pt GROUP BY 1""")
 def similarity_difference(spark, sf_dir):
-    from concord.operators.describe import similarity_difference as compare
-
-    a, b = _two_tables(spark, sf_dir)
-    out = compare(a, b, items(spark, sf_dir).select("id", "label"))[1]
+    out = D.space_difference(_two_spaces(spark, sf_dir))
     return out.select("kind", "n_pairs", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "mean_diff", "sd_diff")])
 
 
+# results of three selectors for each customer group, and which numbers are stable, from the orders of a nation
+@query("""WITH s AS (SELECT c_nationkey, count(*) % 7 AS k_parallel, count(*) % 11 AS k_cross, 12 AS n FROM customer GROUP BY 1), f AS (SELECT c_nationkey, c_custkey % 12 AS k, avg(c_acctbal) > 4400 AS stable FROM customer GROUP BY ALL),
+    c AS (SELECT c_nationkey, greatest(1, least(CASE WHEN k_parallel > 0 THEN round_even((k_parallel + k_cross) / 2.0, 0) ELSE k_cross END, n - 1))::INT AS candidate FROM s)
+    SELECT c.c_nationkey, candidate, coalesce(max(k) FILTER (k <= candidate), 1) AS k FROM c LEFT JOIN f ON f.c_nationkey = c.c_nationkey AND stable GROUP BY ALL""")
+def final_factor_count(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    s = c.groupBy("c_nationkey").agg((F.count(F.lit(1)) % 7).alias("k_parallel"), (F.count(F.lit(1)) % 11).alias("k_cross")).withColumn("n", F.lit(12))
+    f = c.groupBy("c_nationkey", (F.col("c_custkey") % 12).alias("k")).agg((F.avg("c_acctbal") > 4400).alias("stable"))
+    return D.final_rank(s, f, ["c_nationkey"])
+
+
+@query("""WITH v AS (SELECT s_nationkey, s_suppkey % 3 AS place, count(*) % 4 + 1 AS k FROM supplier GROUP BY ALL), t AS (SELECT s_nationkey, k, count(*) AS n, min(place) AS first FROM v GROUP BY ALL)
+    SELECT s_nationkey, k FROM t QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY n DESC, first) = 1""")
+def majority_factor_count(spark, sf_dir):
+    v = table(spark, sf_dir, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 3).alias("place")).agg((F.count(F.lit(1)) % 4 + 1).alias("k"))
+    return D.majority_rank(v, ["s_nationkey"])
+
+
 @query()
 def bootstrap_stability(spark, sf_dir):
     return D.bootstrap_stability(_items(spark, sf_dir), 3, reps=10).withColumn("median_phi", r6("median_phi", 4))

@@ -45,14 +45,14 @@ def test_ppca_bic(make_items, structured):
     n, d = structured.shape
     eig = np.linalg.svd(structured - structured.mean(axis=0), compute_uv=False) ** 2 / (n - 1)
     scores = {}
-    for r in D.ppca_bic(make_items(structured), 1, 6).collect():
+    for r in D.ppca_bic(D.covariance_spectrum(make_items(structured)), 1, 6).collect():
         k = r["k"]
         noise = max(eig[k:].mean(), 1e-8)
         like = -0.5 * n * (d * math.log(2 * math.pi) + (d - k) * math.log(noise) + np.log(eig[:k]).sum() + d)
         free = d * k - k * (k - 1) // 2 + d + 1
         scores[k] = -2 * like + free * math.log(n)
         assert r["bic"] == pytest.approx(scores[k])
-    assert D.best_bic(D.ppca_bic(make_items(structured), 1, 6)).first()["k"] == min(scores, key=scores.get)
+    assert D.best_bic(D.ppca_bic(D.covariance_spectrum(make_items(structured)), 1, 6)).first()["k"] == min(scores, key=scores.get)
 
 
 def test_parallel_analysis_replays_the_sign_flips(make_items, structured):
@@ -133,11 +133,15 @@ def test_one_se_rule_and_final_choice(spark):
     rows = [(k, f, {1: 0.5, 2: 0.30, 3: 0.29, 4: 0.35}[k] + 0.02 * f) for k in range(1, 5) for f in range(3)]
     out = {r["k"]: r["chosen"] for r in D.one_se_rule(spark.createDataFrame(rows, "k int, fold int, mse double")).collect()}
     assert out == {1: False, 2: True, 3: False, 4: False}
-    assert D.final_k(5, 19, 40, {k: k <= 3 for k in range(1, 40)}) == 3
-    assert D.final_k(0, 4, 40, {4: True}) == 4
-    assert D.final_k(6, 6, 40, {}) == 1
-    assert D.final_k(2, 3, 40, {2: True}) == 2  # 2.5 rounds half to even
-    assert D.majority_k(4, 2, 2) == 2 and D.majority_k(4, 2, 3) == 4 and D.majority_k(5, 5, 1) == 5
+
+
+def test_choice_among_selectors(spark):
+    selectors = spark.createDataFrame([("a", 5, 19, 40), ("b", 0, 4, 40), ("c", 6, 6, 40), ("d", 2, 3, 40)], "g string, k_parallel int, k_cross int, n int")
+    stable = [("a", k, k <= 3) for k in range(1, 40)] + [("b", 4, True), ("d", 2, True), ("d", 3, True)]
+    got = {r["g"]: r["k"] for r in D.final_rank(selectors, spark.createDataFrame(stable, "g string, k int, stable boolean"), ["g"]).collect()}
+    assert got == {"a": 3, "b": 4, "c": 1, "d": 2}  # 2.5 rounds half to even
+    votes = spark.createDataFrame([(g, i, k) for g, ks in (("x", (4, 2, 2)), ("y", (4, 2, 3)), ("z", (5, 5, 1))) for i, k in enumerate(ks)], "g string, place int, k int")
+    assert {r["g"]: r["k"] for r in D.majority_rank(votes, ["g"]).collect()} == {"x": 2, "y": 4, "z": 5}
 
 
 def test_cross_validated_rank_runs(make_items, spark, structured):
