@@ -199,7 +199,8 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided Fisher p of the table ((a, b), (c, d)) by the ratio recurrence.
 
     Weights relative to the observed table grow or shrink by exact ratios; only tables
-    within 40 standard deviations of the mode are visited (the rest is below 1e-300).
+    within 40 standard deviations of the mode are visited. The others hold less than 1e-300
+    together: they do not change p, and an observed one is answered by that bound.
     """
     a, b, c, d = (v.cast("double") for v in (a, b, c, d))
     row1, row2, col1 = a + b, c + d, a + c
@@ -230,7 +231,7 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
         lambda x: (x + 1) * (row2 - col1 + x + 1) / ((row1 - x) * (col1 - x)),
     )
     p = (1 + up["tail"] + down["tail"]) / (1 + up["all"] + down["all"])
-    return F.when(n.isNull() | (n == 0), F.lit(1.0)).when((a < low) | (a > high), F.lit(0.0)).otherwise(F.least(p, F.lit(1.0)))
+    return F.when(n.isNull() | (n == 0), F.lit(1.0)).when((a < low) | (a > high), F.lit(1e-300)).otherwise(F.least(p, F.lit(1.0)))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:

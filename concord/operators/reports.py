@@ -111,11 +111,9 @@ FIT_SPECS = (
     ("tli", "CFI/TLI", "TLI"),
     ("srmr", "SRMR (Standardized", "Value"),
 )
-DIFFERENCE_SPECS = (
-    ("chi2_diff", "Chi-Square Test for Difference Testing", "Value"),
-    ("df", "Chi-Square Test for Difference Testing", "Degrees of Freedom"),
-    ("p_value", "Chi-Square Test for Difference Testing", "P-Value"),
-)
+# Headings of the difference test in the report formats, and the names of its values.
+DIFFERENCE_HEADINGS = ("Chi-Square Test for Difference Testing", "Chi-square Difference Test", "DIFFTEST")
+DIFFERENCE_VALUES = (("chi2_diff", "Value"), ("df", r"Degrees\s+of\s+Freedom|DF"), ("p_value", r"P-Value|P"))
 
 
 def fit_indices(reports: DataFrame) -> DataFrame:
@@ -125,25 +123,39 @@ def fit_indices(reports: DataFrame) -> DataFrame:
 def difference_tests(reports: DataFrame, contrasts: DataFrame) -> DataFrame:
     """(predictor, constraint, chi2_diff, df, p_value, sig, significant) per planned contrast.
 
-    ``contrasts`` is (predictor, constraint, source); a missing report leaves nulls.
+    ``contrasts`` is (predictor, constraint, source); a missing report leaves nulls. Values are
+    read in either case below any of the headings, one a line or as a table whose names stand
+    in one row and whose values follow in the next; all three are found or none counts.
     """
-    values = grab_values(reports, DIFFERENCE_SPECS, 15)
+    names = [n for n, _ in DIFFERENCE_VALUES]
+    heading = "(?is)(?:" + "|".join(re.escape(h) for h in DIFFERENCE_HEADINGS) + ")"
+    within = F.regexp_extract("text", heading + r"((?:[^\n]*\n?){0,15})", 1)
+    listed = [F.nullif(F.regexp_extract("part", rf"(?i)(?:^|\n|[ \t])(?:{k})[ \t*:=]+({NUMBER})", 1), F.lit("")).cast("double").alias(n) for n, k in DIFFERENCE_VALUES]
+    header = r"[ \t]+".join(f"(?:{k})" for _, k in DIFFERENCE_VALUES)
+    row = r"[ \t*]+".join(f"({NUMBER})" for _ in names)
+    tabled = [F.nullif(F.regexp_extract("part", rf"(?i){header}[ \t]*\n\s*{row}", 1 + i), F.lit("")).cast("double").alias(f"t_{n}") for i, n in enumerate(names)]
+    found = reports.select("source", within.alias("part")).select("source", *listed, *tabled)
+    full = F.lit(True)
+    for n in names:
+        full = full & F.col(n).isNotNull()
+    values = found.select("source", *[F.when(full, F.col(n)).otherwise(F.col(f"t_{n}")).alias(n) for n in names])
     return contrasts.join(values, "source", "left").select(
         "predictor", "constraint", "chi2_diff", F.col("df").cast("int").alias("df"), "p_value",
         stars_ns("p_value").alias("sig"), F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"),
     )
 
 
-def summary_statistics(reports: DataFrame, reach: int = 120) -> DataFrame:
+def summary_statistics(reports: DataFrame) -> DataFrame:
     """(source, variable, mean, min_val, min_pct, max_val, max_pct, looks_binary).
 
     A variable takes two lines; the block starts where ``Variable/`` is followed by
-    ``Sample Size`` and is searched for ``reach`` lines.
+    ``Sample Size`` and ends at the next heading, a line of capital words only.
     """
     start = F.locate("Variable/", F.col("text"))
-    lines = F.slice(F.split(F.expr("substring(text, locate('Variable/', text))"), r"\r?\n"), 1, reach + 1)
+    block = F.split(F.expr("substring(text, locate('Variable/', text))"), r"\n(?=[ \t]*[A-Z][A-Z]+(?:[ \t]+[A-Z/&-]+)+[ \t\r]*(?:\n|\z))", 2)[0]
+    lines = F.split(block, r"\r?\n")
     two = reports.filter(F.col("text").rlike(r"Variable/[^\n]*\n[^\n]*Sample Size") & (start > 0)).select("source", lines.alias("l"))
-    pairs = two.select("source", F.inline(F.zip_with("l", F.slice("l", 2, reach), lambda x, y: F.struct(x.alias("line"), y.alias("below")))))
+    pairs = two.select("source", F.inline(F.zip_with("l", F.slice("l", F.lit(2), F.size("l")), lambda x, y: F.struct(x.alias("line"), y.alias("below")))))
     tokens = pairs.select("source", F.split(F.trim("line"), r"\s+").alias("u"), F.split(F.trim("below"), r"\s+").alias("v")).filter(
         (F.size("u") >= 5) & (F.size("v") >= 5)
     )

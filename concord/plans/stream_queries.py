@@ -35,7 +35,24 @@ def stream_scored_items(spark, sf_dir):
     return _drain(score_stream(arriving, group_centroids(items(spark, sf_dir))).select("id", "label", r6("sim").alias("sim")))
 
 
-@query("SELECT DISTINCT user_id FROM events")
+def _drain_complete(stream: DataFrame) -> DataFrame:
+    """The aggregate after everything available now, one file of input at a time; each batch replaces the result."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark).rstrip('/')}/concord-stream-{uuid.uuid4().hex}"
+
+    def replace(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(replace)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_first_events(spark, sf_dir):
-    arriving = _stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(first_events(arriving, "user_id", "ts", "400 days").select("user_id"))
+    """Events that arrive by descending time, several files of them."""
+    arriving = f"{shared_folder(spark).rstrip('/')}/concord-arrivals-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    events.repartitionByRange(4, F.desc("ts")).write.parquet(arriving)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    return _drain_complete(first_events(stream, "user_id", "ts", ["event_id"]))

@@ -304,14 +304,15 @@ def factor_model_rows(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT 'd' || (label % 3) AS label, vec_id AS id, vec_id AS ord FROM embeddings WHERE label < 8)
-    SELECT 'F' || row_number() OVER (ORDER BY CASE label WHEN 'd2' THEN 1 WHEN 'd0' THEN 2 WHEN 'd1' THEN 3 END) AS factor_key, label, count(*) AS n_items,
-    string_agg(id::VARCHAR, ',' ORDER BY id) AS items, string_agg((ord + 1)::VARCHAR, ',' ORDER BY ord) AS indices FROM a GROUP BY label""")
+, k AS (SELECT label, count(*) AS n_items, 'F' || row_number() OVER (ORDER BY CASE label WHEN 'd2' THEN 1 WHEN 'd0' THEN 2 WHEN 'd1' THEN 3 END) AS factor_key FROM a GROUP BY label)
+    SELECT factor_key, label, n_items, part, items, indices
+    FROM (SELECT label, ord // 200 AS part, string_agg(id::VARCHAR, ',' ORDER BY id) AS items, string_agg((ord + 1)::VARCHAR, ',' ORDER BY ord) AS indices FROM a GROUP BY ALL) JOIN k USING (label)""")
 def factor_model_spec(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     assigned = e.filter("label < 8").select("id", F.concat(F.lit("d"), F.col("label") % 3).alias("label"))
-    spec = models.factor_spec(assigned, ["d2", "d0", "d1"], e.select("id", F.col("id").alias("ord")))
+    spec = models.factor_spec(assigned, ["d2", "d0", "d1"], e.select("id", F.col("id").alias("ord")), part_items=200)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return spec.select("factor_key", "label", "n_items", text("item_ids").alias("items"), text("item_indices").alias("indices"))
+    return spec.select("factor_key", "label", "n_items", "part", text("item_ids").alias("items"), text("item_indices").alias("indices"))
 
 
 @query("SELECT e.vec_id AS id, e.label, len(e.embedding)::INT AS dims FROM embeddings e")

@@ -15,16 +15,18 @@ from concord.plans.base import query, r, r6, table
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(translate(text, '’‘“”–—−', '''''""---'), '(Item\s+\d{1,3})\s{2,}(\S)', '\1 - \2', 'gi'), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 
 
-@query(f"""SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_PLAIN} AS t FROM documents)""")
+@query(f"""SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_PLAIN} AS t FROM (SELECT doc_id, text || ' “é”' AS text FROM documents))""")
 def repaired_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", X.repair_text(F.col("text"), encoding=False).alias("t"))
+    """Every text gets a quoted letter and is spoilt as a wrong decoding does it; the repair must find the original."""
+    spoilt = F.decode(F.encode(F.concat("text", F.lit(" “é”")), "UTF-8"), "ISO-8859-1")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.repair_text(spoilt).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 def _item_docs(spark, sf_dir):
     """Item sheets: one per conversation, a block per turn."""
     c = table(spark, sf_dir, "conversations")
-    words = F.array_join(F.slice(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != ""), 1, 3), " ")
+    words = F.array_join(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != ""), " ")
     block = F.concat(
         F.lit("Item "), (F.col("turn") + 1).cast("string"), F.lit(" - "), F.col("role"), F.lit(" asks\nMaterial: card "), F.col("turn").cast("string"),
         F.lit("\n\nSay: "), words, F.lit(".\n2 points: all of it\n1 point: a\npart\n0 points: none\n"),
@@ -34,7 +36,7 @@ def _item_docs(spark, sf_dir):
     )
 
 
-_WORDS = "array_to_string(list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '')[1:3], ' ')"
+_WORDS = "array_to_string(list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> ''), ' ')"
 
 
 @query(f"""SELECT conv_id, printf('COG_%03d', turn + 1) AS item_id, role || ' asks' AS title, 'card ' || turn AS materials, 'Say: ' || {_WORDS} || '.' AS description, '[2 pt] all of it [1 pt] a part [0 pt] none' AS scoring,
@@ -103,7 +105,8 @@ def _fit_reports(spark, sf_dir):
         F.col("o_orderkey").alias("source"), "o_custkey",
         F.concat(
             F.lit("Value 1.5\nChi-Square Test of Model Fit\n\n   Value      "), c("o_totalprice"), F.lit("*\n   Degrees of Freedom    "), (F.col("o_custkey") % 50).cast("string"),
-            F.lit("\n   P-Value    0.25\n\nCFI/TLI\n   CFI   0.95\n   TLI   0.9\n\nUNIVARIATE SAMPLE STATISTICS\n\n  Variable/        Mean/     Skewness/   Minimum/ % with\n  Sample Size      Variance  Kurtosis    Maximum  Min/Max\n\n"
+            F.lit("\n   P-Value    0.25\n\nRMSEA (Root Mean Square Error Of Approximation)\n   Estimate   0.0"), (F.col("o_orderkey") % 9).cast("string"),
+            F.lit("\n   90 Percent C.I.   0.01  0.09\n\nSRMR (Standardized Root Mean Square Residual)\n   Value   0.0"), (F.col("o_custkey") % 9).cast("string"), F.lit("\n\nCFI/TLI\n   CFI   0.95\n   TLI   0.9\n\nUNIVARIATE SAMPLE STATISTICS\n\n  Variable/        Mean/     Skewness/   Minimum/ % with\n  Sample Size      Variance  Kurtosis    Maximum  Min/Max\n\n"
                   " SEX       0.5     0.1     0.0     60.0%\n      739.0     0.25   -1.9     1.0     40.0%\n AGE      "), (F.col("o_custkey") % 90).cast("string"),
             F.lit(".5    0.1     10.0    1.0%\n      739.0     3.0   -1.0     99.0    2.0%\n\nChi-Square Test for Difference Testing\n   Value   "),
             (F.col("o_orderkey") % 9).cast("string"), F.lit(".5\n   Degrees of Freedom   2\n   P-Value    0.0"), (F.col("o_orderkey") % 9).cast("string"), F.lit("\n"),
@@ -111,9 +114,10 @@ def _fit_reports(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey AS source, o_totalprice AS chi_square, (o_custkey % 50)::DOUBLE AS df, 0.25::DOUBLE AS chi_p, 0.95::DOUBLE AS cfi, 0.9::DOUBLE AS tli FROM orders""")
+@query("""SELECT o_orderkey AS source, o_totalprice AS chi_square, (o_custkey % 50)::DOUBLE AS df, 0.25::DOUBLE AS chi_p, 0.95::DOUBLE AS cfi, 0.9::DOUBLE AS tli,
+    (o_orderkey % 9) / 100.0::DOUBLE AS rmsea, 0.01::DOUBLE AS rmsea_ci_low, 0.09::DOUBLE AS rmsea_ci_high, (o_custkey % 9) / 100.0::DOUBLE AS srmr FROM orders""")
 def report_fit_indices(spark, sf_dir):
-    return T.fit_indices(_fit_reports(spark, sf_dir)).select("source", "chi_square", "df", "chi_p", "cfi", "tli")
+    return T.fit_indices(_fit_reports(spark, sf_dir)).select("source", "chi_square", "df", "chi_p", "cfi", "tli", "rmsea", "rmsea_ci_low", "rmsea_ci_high", "srmr")
 
 
 @query("""SELECT o_orderkey AS source, 'SEX' AS variable, 0.5::DOUBLE AS mean, 0.0::DOUBLE AS min_val, 60.0::DOUBLE AS min_pct, 1.0::DOUBLE AS max_val, 40.0::DOUBLE AS max_pct, true AS looks_binary FROM orders
@@ -127,7 +131,13 @@ def report_summary_statistics(spark, sf_dir):
     FROM orders JOIN customer ON c_custkey = o_custkey""")
 def contrast_summary(spark, sf_dir):
     """Every fourth planned contrast has no report."""
-    reports = _fit_reports(spark, sf_dir)
+    k = F.col("source")
+    start = F.instr("text", "Chi-Square Test for Difference Testing")
+    head, part = F.expr("substring(text, 1, instr(text, 'Chi-Square Test for Difference Testing') - 1)"), F.expr("substring(text, instr(text, 'Chi-Square Test for Difference Testing'))")
+    d = (k % 9).cast("string")
+    compact = F.concat(head, F.lit("DIFFTEST\n  Value  DF  P-Value\n  "), d, F.lit(".5  2  0.0"), d, F.lit("\n"))
+    older = F.concat(head, F.upper(part))
+    reports = _fit_reports(spark, sf_dir).filter(start > 0).withColumn("text", F.when(k % 3 == 0, compact).when(k % 3 == 1, older).otherwise(F.col("text")))
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     planned = table(spark, sf_dir, "orders").join(nation, "o_custkey").select(
         F.col("o_orderkey").alias("source"), F.concat(F.lit("p"), "c_nationkey").alias("predictor"), F.concat(F.lit("equal:"), "o_orderkey").alias("constraint")

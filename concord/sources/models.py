@@ -33,8 +33,8 @@ def factor_spec(assigned: DataFrame, order: Sequence[str], items: DataFrame, par
     """(factor_key, label, n_items, part, item_ids, item_indices) from (id, label).
 
     Keys F1..Fn follow the canonical order of the labels that occur; indices are 1-based
-    positions in ``items`` (id, ord). Item arrays cover ``part_items`` positions each, so a
-    factor of any size is a number of bounded rows; small models have part 0 only.
+    positions in ``items`` (id, ord). At any size a row is the part of a factor that lies in
+    ``part_items`` consecutive positions, numbered from 0.
     """
     ranks = F.array(*[F.lit(o) for o in order])
     rank = F.array_position(ranks, F.col("label"))
@@ -54,11 +54,16 @@ def factor_spec(assigned: DataFrame, order: Sequence[str], items: DataFrame, par
 
 def aligned_vectors(items: DataFrame, vectors: DataFrame, labels: DataFrame, check: bool = True) -> DataFrame:
     """(item columns, vec, label) joined on id; with ``check`` any id missing somewhere is an error."""
-    out = items.join(vectors.select("id", "vec"), "id").join(labels.select("id", "label"), "id")
     if check:
-        for name, other in (("vectors", vectors), ("labels", labels)):
-            gap = items.select("id").join(other.select("id"), "id", "left_anti").limit(1).count()
-            extra = other.select("id").join(items.select("id"), "id", "left_anti").limit(1).count()
-            if gap or extra:
+        # one aggregate: which of the three tables hold an id
+        tables = {"items": items, "vectors": vectors, "labels": labels}
+        flags = None
+        for name, t in tables.items():
+            own = t.select("id", *[F.lit(n == name).alias(n) for n in tables])
+            flags = own if flags is None else flags.unionByName(own)
+        seen = flags.groupBy("id").agg(*[F.max(n).alias(n) for n in tables])
+        short = seen.agg(*[F.count_if(F.col("items") != F.col(n)).alias(n) for n in ("vectors", "labels")]).first()
+        for name in ("vectors", "labels"):
+            if short[name]:
                 raise ValueError(f"items and {name} do not hold the same ids")
-    return out
+    return items.join(vectors.select("id", "vec"), "id").join(labels.select("id", "label"), "id")

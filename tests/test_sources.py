@@ -67,12 +67,13 @@ def test_misaligned_vectors_are_an_error(spark):
 
 
 def test_review_sheets(spark, tmp_path):
-    one = write(tmp_path / "main.csv", "Legend,,\nATT = attention,,\nItem ID,Title,Rater A,Rater B,Agreed\nI1,Bell,ATT,ATT,\nI2,Cup,\"WM, ATT\",FS,HOP\nzz,nothing,FS,FS,\n")
+    one = write(tmp_path / "main.csv", "Legend,,\n" + "ATT = attention,,\n" * 60 + "Item ID,Title,Rater A,Rater B,Agreed\nI1,Bell,ATT,ATT,\nI2,Cup,\"WM, ATT\",FS,HOP\nzz,nothing,FS,FS,\n")
     two = write(tmp_path / "uc.csv", "Item code,Name of title,Rater B answer,Rater A answer\n,  cup ,FS,WM\nI3,Box,,GDPS\n")
     items = spark.createDataFrame([("I1", "Bell"), ("I2", "Cup"), ("I3", "Box")], "id string, title string")
     columns = {"item": ["item"], "title": ["title"], "rater1": ["rater a"], "rater2": ["rater b"], "explicit": ["agreed"]}
     got = {r["id"]: r for r in documents.read_review(spark, {"main": one, "uc": two}, items, columns).collect()}
-    assert set(got) == {"I1", "I2", "I3"}
+    # an id that is not in the item list is kept
+    assert set(got) == {"I1", "I2", "I3", "zz"}
     assert (got["I1"]["rater1"], got["I1"]["rater2"], got["I1"]["is_uc"]) == ("attention", "attention", False)
     assert (got["I2"]["rater1"], got["I2"]["rater2"], got["I2"]["explicit"], got["I2"]["is_uc"]) == ("working_memory", "flexibility_shift", "higher_order_processing", True)
     assert (got["I3"]["rater1"], got["I3"]["rater2"], got["I3"]["is_uc"]) == ("goal_directed_problem_solving", None, True)

@@ -19,9 +19,10 @@ def test_items_are_scored_as_they_arrive(spark, tmp_path, make_items):
 
 
 def test_first_event_per_subject(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:01:00")]
-    df = spark.createDataFrame(rows, "user int, t string").select("user", F.to_timestamp("t").alias("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = drain(first_events(stream, "user", "ts", "1 hour"), "firsts")
-    assert sorted(r["user"] for r in got) == [1, 2]
+    rows = [(1, "2024-01-01 00:05:00", 7), (1, "2024-01-01 00:00:00", 9), (2, "2024-01-01 00:01:00", 4), (1, "2024-01-01 00:00:00", 8), (2, "2023-01-01 00:00:00", 5)]
+    df = spark.createDataFrame(rows, "user int, t string, event int").select("user", F.to_timestamp("t").alias("ts"), "event")
+    for i in range(len(rows)):  # one file per event, latest first for some
+        df.filter(F.col("event") == rows[i][2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(first_events(stream, "user", "ts", ["event"]), "firsts", "complete")
+    assert sorted((r["user"], str(r["ts"]), r["event"]) for r in got) == [(1, "2024-01-01 00:00:00", 8), (2, "2023-01-01 00:00:00", 5)]
