@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import words
+from concord.llm.store import small_batches
 
 WIDTH = 10
 BLOCK_WORDS = 200_000
@@ -128,6 +129,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_
 
 
 def _scanner(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, only_filter: bool, at: int):
+    small_batches(docs)
     blocks = docs.sparkSession.sparkContext.broadcast(_items(benchmark, block_words))
     call = uuid.uuid4().hex
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.components import components
-from concord.llm.store import materialize, partitions_for
+from concord.llm.store import materialize, partitions_for, small_batches
 
 COSINE = 0.93
 LEADING = 6
@@ -211,6 +211,7 @@ def _links(cosine: float):
 
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
+    small_batches(vectors)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     # a zero's sign does not make another vector

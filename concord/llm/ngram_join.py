@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.llm.components import components
-from concord.llm.store import add_rows, materialize, partitions_for
+from concord.llm.store import add_rows, materialize, partitions_for, small_batches
 from concord.runtime import fits
 
 SLOTS = 1 << 20
@@ -284,6 +284,7 @@ def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, class) of every row of ``docs``; ``class`` names the class whatever its ids, null for empty sets."""
+    small_batches(docs)
     docs = docs.select("doc_id", "text")
     eps = 1 - percent / 100
     table = materialize(points(docs, width, percent))

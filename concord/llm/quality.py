@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import words
-from concord.llm.store import add_rows
+from concord.llm.store import add_rows, small_batches
 
 SLOTS = 1 << 15
 DIMS = 32
@@ -30,6 +30,7 @@ BLOCK = 256
 MAX_LABELLED = 20_000
 HIDDEN = 24
 EPOCHS = 400
+POOL_BYTES = 1 << 18  # of text whose word vectors are in memory together
 
 _KINDS = np.where(words.ALNUM, 1, np.where(words.NOT_SPACE & (np.arange(256) > 0x20), 2, 0)).astype(np.uint8)
 
@@ -82,6 +83,7 @@ def context_vectors(docs: DataFrame, slots: int = SLOTS, dims: int = DIMS) -> np
 
     The result has ``slots * dims`` numbers for any corpus, so it may be held on the driver and broadcast.
     """
+    small_batches(docs)
     # a block is 64 KB of sums from each task; most of a small task's are zero and compress
     parts = docs.select("text").mapInArrow(_context_sums(slots, dims), "block int, sums binary")
     matrix = np.zeros((slots // BLOCK, BLOCK * dims), dtype=np.float64)
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
     sample = labelled_sample(docs, labels, label, usable, max_labelled)
     # repeated ids of documents: one of each, so the bound on rows holds
-    table = sample.mapInArrow(words.map_slices(features), "doc_id long, y int, o long, x array<double>")
+    table = sample.mapInArrow(words.map_slices(features, limit=POOL_BYTES), "doc_id long, y int, o long, x array<double>")
     rows = sorted(table.groupBy("doc_id", "y", "o").agg(F.min("x").alias("x")).collect(), key=lambda r: (r["o"], r["doc_id"]))
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), 2 * dims)
     return vectors, fit_network(x, np.array([r["y"] for r in rows], dtype=np.float64))
@@ -192,17 +194,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     """(doc_id, score) of every row of ``docs``: the probability of label 1; null and empty texts have one too."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         table, net = shared.value
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(net.probability(pooled(data, offsets, table)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(words.map_slices(run), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(words.map_slices(run, limit=POOL_BYTES), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose probability reaches ``threshold``, in their own columns and types."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     at = docs.columns.index("text")
 
@@ -210,4 +214,4 @@ def keep_good(docs: DataFrame, vectors: np.ndarray, network: Network, threshold:
         table, net = shared.value
         return rows.filter(pa.array(net.probability(pooled(data, offsets, table)) >= threshold))
 
-    return docs.mapInArrow(words.map_slices(run, at), docs.schema)
+    return docs.mapInArrow(words.map_slices(run, at, POOL_BYTES), docs.schema)

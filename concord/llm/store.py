@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from concord.runtime import materialize, shared_folder
 
-__all__ = ["add_rows", "fold", "materialize", "new_folder", "partitions_for"]
+__all__ = ["add_rows", "fold", "materialize", "new_folder", "partitions_for", "small_batches"]
+
+BATCH_BYTES = 4 << 20
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -20,6 +22,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/concord-{kind}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> None:
+    """Sets the session to send texts to Python tasks in batches of a few MB; Spark's own bound is 64 MB each way."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(df.sparkSession.conf.get(key, "0")).removesuffix("b") or 0) != BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall into no fold (null)."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.store import materialize, partitions_for
+from concord.llm.store import materialize, partitions_for, small_batches
 from concord.llm.warc import filesystem
 
 BLOCK_BYTES = 4 << 20
@@ -53,6 +53,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod
 
     A file is renamed when complete and carries its partition's number, so a task that runs again replaces it.
     """
+    small_batches(docs)
     kind = id_type(eod)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.llm.quality import labelled_sample
-from concord.llm.store import materialize
+from concord.llm.store import materialize, small_batches
 
 MAX_LABELLED = 20_000
 PRIOR_WORDS = 2_000.0
@@ -195,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
     Without documents of both classes no word has a score, and every text gets the smoothed share of label 1.
     """
+    small_batches(docs)
     sample = materialize(labelled_sample(docs, labels, label, usable, max_labelled).dropDuplicates(["doc_id"]).select("doc_id", "text", "y"))
     counts = materialize(
         sample.mapInArrow(_class_counts, "h long, context long, clean long")
@@ -259,6 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ``start`` and ``end`` of a passage are positions in the characters of the text. Null and empty texts
     have no passages and the score of a text without surprise.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 

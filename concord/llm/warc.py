@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from concord.llm.store import materialize
+from concord.llm.store import materialize, small_batches
 
 SCHEMA = (
     "file string, offset long, record_id string, record_type string, target_uri string, warc_date string, refers_to string, "
@@ -79,6 +79,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     ``records``: record_id, record_type, target_uri, warc_date, refers_to, payload_digest, payload_length, payload.
     A file gets its name when complete, from the partition's number, so a task that is run again replaces it.
     """
+    small_batches(records)
     columns = ["record_id", "record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_length", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ class FilePartition(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.split = int(options.get("split_bytes", 128 << 20))
+        self.split = int(options.get("split_bytes", 32 << 20))
         self.payload = options.get("payload", "all")
         self.tests: list[tuple[str, frozenset | None]] = []
 

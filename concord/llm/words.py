@@ -139,12 +139,12 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
-def map_slices(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], text: int = 1) -> Callable:
+def map_slices(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Callable:
     """For ``mapInArrow``: ``fn`` of every slice of every batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, text):
+            for rows, data, offsets in slices(batch, text, limit):
                 yield fn(rows, data, offsets)
 
     return run
