@@ -24,9 +24,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 def small_batches(df: DataFrame) -> None:
     """Sets the session to send texts to Python tasks in batches of a few MB; Spark's own bound is 64 MB each way."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(df.sparkSession.conf.get(key, "0")).removesuffix("b") or 0) != BATCH_BYTES:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def fold(doc_id: str, modulus: int) -> Column:
