@@ -132,7 +132,7 @@ def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
     return out.reshape(2, SLOTS)
 
 
-POINTS = "doc_id long, row long, n long, point long, classes array<int>, keys array<long>"
+POINTS = "doc_id long, row long, n long, point long, classes array<byte>, keys array<long>"
 
 
 def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -153,7 +153,9 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(some):
                     point[some] = words.mix(np.add.reduceat(words.mix(h ^ _SALT), at[some]) + n[some].astype(np.uint64))
                 doc = np.repeat(np.arange(len(n)), n)
-                classes = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).astype(np.int32)
+                classes = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES)
+                # cut at what a byte holds, which keeps differences lower bounds
+                classes = np.minimum(classes, 127).astype(np.int8)
                 together = common.value[0][_slot(h)]
                 keys: list[np.ndarray] = []
                 for d in range(len(n)):
@@ -228,7 +230,7 @@ class _Space:
 
     def near_enough(self, n_a, n_b, c_a, c_b):
         """Whether sizes and class counts leave room for a link: each class differs by at most its part of the symmetric difference."""
-        apart = F.aggregate(F.zip_with(c_a, c_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with(c_a, c_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x.cast("int"))
         # a symmetric difference of s leaves (n_a + n_b - s) / 2 in common at most
         most = (n_a + n_b - apart) / 2
         sizes = 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
@@ -236,10 +238,11 @@ class _Space:
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs that sizes and class counts do not rule out, with their sizes."""
-        a = self.known.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("classes").alias("c_a"))
-        b = self.known.select(F.col("point").alias("b"), F.col("n").alias("n_b"), F.col("classes").alias("c_b"))
-        joined = pairs.join(a, "a").join(b, "b")
-        return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("c_a"), F.col("c_b"))).select("a", "b", "n_a", "n_b")
+        side = lambda end, *columns: self.known.select(F.col("point").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        # sizes first: they are short and rule out most pairs
+        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        joined = sized.join(side("a", "classes"), "a").join(side("b", "classes"), "b")
+        return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("classes_a"), F.col("classes_b"))).select("a", "b", "n_a", "n_b")
 
     def _load(self, needed: DataFrame) -> None:
         """Adds the sets of those ``needed`` points that are not loaded yet."""
