@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "vector_queries", "table_queries", "agreement_queries", "cluster_queries", "spectrum_queries", "text_queries", "stream_queries",
+    "vector_queries", "table_queries", "agreement_queries", "cluster_queries", "spectrum_queries", "text_queries", "stream_queries", "source_queries",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.recode import to_num
+from concord.runtime import broadcast_if_small
 
 NULL_TEXTS = ("", "NA")
 
@@ -42,6 +43,27 @@ def scan_instruments(spark: SparkSession, paths: Mapping[str, str], subject: str
     return out
 
 
+def scan_folder(spark: SparkSession, folder: str, subject: str, pattern: str = "*", depth: int = 1) -> DataFrame:
+    """(source, id) over every instrument file below a folder, in one read.
+
+    The source is the file's name without its ending, or with ``depth`` 2 the name of its folder.
+    Files may order their columns differently; those without the subject column are left out.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter=pattern).select(
+        meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+    )
+    place = F.struct("block", "at")
+    heads = lines.groupBy("path").agg(F.min_by("line", place).alias("header"), F.min(place).alias("first"))
+    heads = heads.withColumn("column", F.array_position(F.split("header", "\t"), subject).cast("int")).filter(F.col("column") > 0)
+    # the header and the value-range row below it stand together at the head of the file
+    data = lines.join(broadcast_if_small(heads), "path").filter((F.col("block") > 0) | (F.col("at") > F.col("first.at") + 1))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -depth), r"\.[^.]*$", "")
+    value = F.get(F.split("line", "\t"), F.col("column") - 1)
+    return data.select(name.alias("source"), F.when(~value.isin(*NULL_TEXTS), value).alias("id"))
+
+
 def write_fixed_matrix(df: DataFrame, path: str, sentinel: int = -999) -> list[str]:
     """Space-delimited values without header or quotes, nulls as the sentinel; returns the names.
 
