@@ -144,12 +144,18 @@ def _closest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return label, np.maximum(best, 0.0)
 
 
+def sub_batch(cells: int) -> int:
+    """Rows at a time, so that rows x cells takes a few dozen MB."""
+    return max(16, min(SUB_BATCH, (4 << 20) // max(cells, 1)))
+
+
 def lloyd(items: DataFrame, centers: np.ndarray, max_iter: int = 300, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Lloyd iterations of all runs together: (centers (runs, k, D), inertia per run).
 
     One job per iteration; tasks send partial sums, the driver holds only the centers.
     """
     runs, k, dims = centers.shape
+    step = sub_batch(runs * k)
     context = items.sparkSession.sparkContext
     inertia = np.zeros(runs)
     for _ in range(max_iter):
@@ -161,8 +167,8 @@ def lloyd(items: DataFrame, centers: np.ndarray, max_iter: int = 300, tol: float
             seen = False
             for batch in batches:
                 whole = matrix(batch.column("vec"))
-                for start in range(0, len(whole), SUB_BATCH):
-                    x = whole[start : start + SUB_BATCH]
+                for start in range(0, len(whole), step):
+                    x = whole[start : start + step]
                     label, gap = _closest(x, c)
                     member = np.zeros((len(x), runs * k))
                     np.put_along_axis(member, label + (np.arange(runs) * k)[None, :], 1.0, axis=1)
@@ -198,6 +204,7 @@ def lloyd(items: DataFrame, centers: np.ndarray, max_iter: int = 300, tol: float
 def label_runs(items: DataFrame, centers: np.ndarray) -> DataFrame:
     """(id, labels ARRAY<INT>): the nearest center of every run."""
     shipped = items.sparkSession.sparkContext.broadcast(centers)
+    step = sub_batch(centers.shape[0] * centers.shape[1])
     schema = T.StructType([items.schema["id"], T.StructField("labels", T.ArrayType(T.IntegerType()))])
 
     def label(batches):
@@ -206,7 +213,7 @@ def label_runs(items: DataFrame, centers: np.ndarray) -> DataFrame:
             if not len(whole):
                 continue
             out = np.concatenate(
-                [_closest(whole[s : s + SUB_BATCH], shipped.value)[0] for s in range(0, len(whole), SUB_BATCH)]
+                [_closest(whole[s : s + step], shipped.value)[0] for s in range(0, len(whole), step)]
             ).astype(np.int32)
             offsets = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
             yield pa.record_batch(

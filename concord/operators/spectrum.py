@@ -23,9 +23,16 @@ from concord.operators.ranking import cumulative_counts
 REPLICATE_BYTES = 64 << 20
 
 
+SPLITS_PER_PARTIAL = 32
+
+
 def per_core(df: DataFrame) -> DataFrame:
-    """Merge scan splits without a shuffle, so there is one partial result per core."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    """Merge scan splits without a shuffle: one partial result per core, or per 32 splits where there are more.
+
+    The tasks grow with the input, so more cores than are registered now can work on it.
+    """
+    splits = df.rdd.getNumPartitions()
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS_PER_PARTIAL), 1))
 
 
 def grouped_gram(items: DataFrame, key: str) -> DataFrame:

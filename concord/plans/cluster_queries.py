@@ -31,24 +31,24 @@ def clusters(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    out = C.kmeans(items(spark, sf_dir).select("id", "vec"), 5, max_iter=50)
+    out = C.kmeans(items(spark, sf_dir).select("id", "vec"), 5, max_iter=300)
     return out.select("id", "label", r6("distance").alias("distance"), r6("confidence").alias("confidence"))
 
 
 @query()
 def kmeans_multistart(spark, sf_dir):
-    out = C.kmeans_multistart(items(spark, sf_dir).select("id", "vec"), 5, starts=3, max_iter=50)
+    out = C.kmeans_multistart(items(spark, sf_dir).select("id", "vec"), 5, starts=10, max_iter=300)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("confidence")).alias("mean_confidence"))
 
 
 @query()
 def choose_cluster_count(spark, sf_dir):
-    return C.choose_k(items(spark, sf_dir).select("id", "vec"), 2, 5, max_iter=30)
+    return C.choose_k(items(spark, sf_dir).select("id", "vec"), 2, 10, max_iter=300)
 
 
 @query()
 def consensus_runs(spark, sf_dir):
-    labelled, runs = C.consensus_runs(items(spark, sf_dir).select("id", "vec"), 5, 20, max_iter=30)
+    labelled, runs = C.consensus_runs(items(spark, sf_dir).select("id", "vec"), 5, 1000, max_iter=300)
     sizes = C.explode_runs(labelled).groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(runs, "run_id").withColumn("inertia", r6("inertia", 4))
 
