@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
+from concord.operators.graph import components, forest
 from concord.operators.similarity import block_join, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
 from concord.runtime import bounded_rows, broadcast_if_small, fits, materialize
@@ -908,8 +909,8 @@ def density_clusters(items: DataFrame, min_sim: float, min_points: int) -> DataF
     Core items have at least ``min_points`` items (self included) within ``min_sim``;
     clusters are connected cores, labelled by their smallest id; a border item joins its
     nearest core. A DBSCAN-type algorithm, not a hierarchy of densities. Neighbour lists
-    are never written: a block pair returns a count, or the smallest neighbouring label,
-    per item, so a region of copies costs no more than any other.
+    are never written: a block pair returns a count per item, and once a spanning forest of
+    the neighbours it holds, so a region of copies costs no more than any other.
     """
     id_type = items.schema["id"].dataType
     counted = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType())])
@@ -924,34 +925,27 @@ def density_clusters(items: DataFrame, min_sim: float, min_points: int) -> DataF
     cores = block_join(data, data, count, counted, sizes=(n_items, n_items)).groupBy("id").agg(F.sum("n").alias("n")).filter(
         F.col("n") >= min_points
     )
-    labelled = materialize(data.join(cores.select("id"), "id").withColumn("label", F.col("id")))
-    n_cores = labelled.count()
-    spread = T.StructType([T.StructField("id", id_type), T.StructField("low", id_type)])
+    core = materialize(data.join(cores.select("id"), "id"))
+    n_cores = core.count()
+    linked = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
-    def lowest(_key, lt, rt):
+    def links(_key, lt, rt):
         if not lt.num_rows or not rt.num_rows:
-            return _empty(spread)
-        rt = rt.sort_by("label")
+            return _empty(linked)
         near = sim_block(lt, rt) >= min_sim
-        has = near.any(axis=1)
-        first = near.argmax(axis=1)
-        return pa.table(
-            [lt["id"].filter(pa.array(has)), rt["label"].take(pa.array(first[has]))], names=["id", "low"]
-        )
-
-    while n_cores:
-        low = block_join(labelled.select("id", "vec"), labelled.select("id", "vec", "label"), lowest, spread, sizes=(n_cores, n_cores))
-        low = low.groupBy("id").agg(F.min("low").alias("low"))
-        # follow the lowest neighbour's own label as well, which halves the remaining depth
-        above = labelled.select(F.col("id").alias("low"), F.col("label").alias("top"))
-        best = F.least("low", "top", "label")
-        labelled = materialize(
-            labelled.select("id", "vec", "label").join(low, "id").join(above, "low").select(
-                "id", "vec", best.alias("label"), (best != F.col("label")).alias("moved")
-            )
-        )
-        if labelled.filter("moved").isEmpty():
-            break
+        names = pa.concat_arrays([lt["id"].combine_chunks(), rt["id"].combine_chunks()])
+        trees = []
+        for at in range(0, len(near), SUB_BATCH):
+            i, j = np.nonzero(near[at : at + SUB_BATCH])
+            if len(i):
+                trees.append(forest(i + at, j + len(near)))
+        tree = np.concatenate(trees) if trees else np.zeros((0, 2), dtype=np.int64)
+        return pa.table([names.take(pa.array(tree[:, 0])), names.take(pa.array(tree[:, 1]))], names=["a", "b"])
+
+    # one pass: a pair of blocks returns a spanning forest of its neighbours, at most as many links as rows
+    found = block_join(core, core, links, linked, sizes=(n_cores, n_cores)) if n_cores else data.sparkSession.createDataFrame([], linked)
+    named = components(found).withColumnRenamed("node", "id")
+    labelled = materialize(core.join(named, "id", "left").select("id", "vec", F.coalesce("component", "id").alias("label")))
     others = data.join(labelled.select("id"), "id", "left_anti")
     border = topk_similar(others, labelled.select("id", "vec"), 1, min_sim=min_sim).select(
         F.col("left_id").alias("id"), F.col("right_id").alias("core")
