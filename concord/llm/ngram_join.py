@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm import words
-from concord.llm.components import components
+from concord.operators.graph import components
 from concord.llm.store import add_rows, materialize, partitions_for, small_batches
 from concord.runtime import fits
 

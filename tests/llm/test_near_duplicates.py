@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from concord.llm import components, grid_join, ngram_join
+from concord.llm import grid_join, ngram_join
+from concord.operators import graph
 from tests.llm.conftest import words_of
 
 
@@ -105,9 +106,9 @@ def test_key_count_leaves_room_for_every_link():
 
 def test_components_of_stars_and_chains(spark):
     links = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(300, 340)] + [(199, 340), (500, 500), (7, 1)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(got.values()) == {1} and 300 in got and 500 not in got
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_vectors(rows, cosine):
