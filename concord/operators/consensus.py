@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.graph import components, forest
-from concord.operators.similarity import block_join, sim_block, topk_similar
+from concord.operators.similarity import block_join, ordered_once, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
 from concord.runtime import bounded_rows, broadcast_if_small, fits, materialize
 
@@ -273,7 +272,7 @@ def coassociation(profiles: DataFrame, min_share: float) -> DataFrame:
         [T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("share", T.DoubleType())]
     )
 
-    def kernel(_key, lt, rt):
+    def kernel(key, lt, rt):
         if not lt.num_rows or not rt.num_rows:
             return _empty(schema)
         a, b = matrix(lt["vec"]), matrix(rt["vec"])
@@ -282,10 +281,10 @@ def coassociation(profiles: DataFrame, min_share: float) -> DataFrame:
         rows, cols = np.nonzero(share >= min_share)
         ids_a, ids_b = lt["id"].take(pa.array(rows)), rt["id"].take(pa.array(cols))
         out = pa.table({"id_a": ids_a, "id_b": ids_b, "share": pa.array(share[rows, cols])})
-        return out.filter(pc.less(out["id_a"], out["id_b"]))
+        return ordered_once(out, key, "id_a", "id_b")
 
     data = profiles.select("id", F.col("labels").alias("vec"))
-    return block_join(data, data, kernel, schema)
+    return block_join(data, data, kernel, schema, half=True)
 
 
 def _empty(schema: T.StructType) -> pa.Table:

@@ -49,22 +49,24 @@ def block_join(
     keys: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     sizes: tuple[int, int] | None = None,
+    half: bool = False,
 ) -> DataFrame:
     """Apply ``kernel(key, left_block, right_block)`` to each pair of blocks.
 
-    ``sizes`` are the row counts (of the largest key) when the caller knows them.
+    ``sizes`` are the row counts (of the largest key) when the caller knows them. ``half``
+    is for a set with itself: of two blocks only (lower, higher) meet, the last two parts of the key.
     """
     rows_left, rows_right = sizes or (largest_part(left, keys), largest_part(right, keys))
     n_left, n_right = block_count(rows_left, block_rows), block_count(rows_right, block_rows)
     left_blocks = (
         left.withColumn("lb", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int"))
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+        .withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), F.lit(n_right - 1))))
     )
     # fresh column identities, so a set can be joined with itself
     right_blocks = (
         right.select(*[F.col(c).alias(c) for c in right.columns])
         .withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int"))
-        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb") if half else F.lit(n_left - 1))))
     )
     group = [*keys, "lb", "rb"]
     # one partition per core or per group, whichever is fewer: AQE would merge these
@@ -87,6 +89,16 @@ def block_join(
     )
 
 
+def ordered_once(pairs: pa.Table, key: tuple, a: str, b: str) -> pa.Table:
+    """The pairs of a half join, each with its smaller id first, and once."""
+    left, right = pairs[a], pairs[b]
+    less = pc.less(left, right)
+    if key[-2].as_py() == key[-1].as_py():
+        return pairs.filter(less)
+    first, second = pc.if_else(less, left, right), pc.if_else(less, right, left)
+    return pairs.set_column(pairs.schema.get_field_index(a), a, first).set_column(pairs.schema.get_field_index(b), b, second)
+
+
 def pair_schema(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [left.schema[k] for k in keys]
     fields.append(T.StructField("left_id", left.schema["id"].dataType))
@@ -129,7 +141,7 @@ def similar_pairs(
     once: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """All pairs with cosine >= ``min_sim``; ``once`` keeps left_id < right_id only."""
+    """All pairs with cosine >= ``min_sim``; ``once`` is for a set with itself and keeps left_id < right_id only."""
     schema = pair_schema(left, right, keys)
     arrow, n_keys = _arrow_schema(schema), len(keys)
 
@@ -139,9 +151,9 @@ def similar_pairs(
         sims = sim_block(lt, rt)
         rows, cols = np.nonzero(sims >= min_sim)
         out = _emit(arrow, key, n_keys, lt, rt, rows, cols, sims[rows, cols])
-        return out.filter(pc.less(out["left_id"], out["right_id"])) if once else out
+        return ordered_once(out, key, "left_id", "right_id") if once else out
 
-    return block_join(left, right, kernel, schema, keys, block_rows)
+    return block_join(left, right, kernel, schema, keys, block_rows, half=once)
 
 
 def block_top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
