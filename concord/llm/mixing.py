@@ -140,9 +140,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken. Identical rows are told apart by nothing, so one of them stands for all their copies."""
     taken = mix(docs, **options).groupBy("row", "doc_id", "source").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    taken = taken.select(F.col("row").alias("__row"), F.col("doc_id").alias("__of"), F.col("source").alias("__from"), F.col("copies").alias("__copies"))
-    # the document's own columns stay together, so none clashes with these
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64("doc_id", "text").alias("__row"))
-    one = keyed.withColumn("__id", F.col("__doc.doc_id")).withColumn("__source", F.col("__doc.source")).dropDuplicates(["__row", "__id", "__source"])
-    joined = one.join(taken, "__row").filter(F.col("__id").eqNullSafe(F.col("__of")) & F.col("__source").eqNullSafe(F.col("__from")))
+    key = lambda row, doc, source: F.xxhash64(row, doc, source, doc.isNull(), source.isNull())
+    taken = taken.select(key(F.col("row"), F.col("doc_id"), F.col("source")).alias("__key"), F.col("copies").alias("__copies"))
+    # the document's own columns stay together, so none clashes with these; one key serves both the choice and the join
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), key(F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("source")).alias("__key")
+    )
+    joined = keyed.dropDuplicates(["__key"]).join(taken, "__key")
     return joined.select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_number"))

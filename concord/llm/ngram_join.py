@@ -179,10 +179,10 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, point, deep) from rows ordered by key and point.
+    """(pivot, point, turn, deep) from rows ordered by key and point.
 
-    Each point meets the first ``LEAF - 1`` points of its keys, so keys of up to ``LEAF`` points are done. The
-    further points of longer keys are the region (deep) of the key's first point.
+    Each point meets the first ``LEAF - 1`` points of its keys, so keys of up to ``LEAF`` points are done; ``turn``
+    is 0 for the first of them. The further points of longer keys are the region (deep) of the key's first point.
     """
     held_key, held = 0, np.zeros(0, dtype=np.int64)  # the first points of the last key, at most LEAF of them
     last = None
@@ -205,14 +205,15 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(start)[np.cumsum(start) - 1]
         place = np.arange(len(k)) - first
         new = np.arange(len(k)) >= carried
-        pivots, points, deep = [], [], []
+        pivots, points, turn, deep = [], [], [], []
         for s in range(LEAF - 1):
             at = np.flatnonzero(new & (place > s))
             pivots.append(p[first[at] + s])
             points.append(p[at])
+            turn.append(np.full(len(at), s, dtype=np.int32))
             deep.append((place[at] >= LEAF - 1) & (s == 0))
         held_key, held = k[-1], p[first[-1] : first[-1] + LEAF]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, deep)], names=["pivot", "point", "deep"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, turn, deep)], names=["pivot", "point", "turn", "deep"])
 
 
 class _Space:
@@ -294,10 +295,18 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     space = _Space(docs, table, width, percent)
     keyed = table.select(F.explode("keys").alias("key"), "point")
     # ordered rows stream through a task, however many share a key
-    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, deep boolean")
-    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.max("deep").alias("deep")))
-    found = space.compare(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"))))
+    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, turn int, deep boolean")
+    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.min("turn").alias("turn"), F.max("deep").alias("deep")))
+    # the first points of the keys first: most of a family is then one class, whose other pairs need no sets
+    pairs = seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "turn")
+    found = space.compare(space.possible(pairs.filter("turn = 0").drop("turn")))
     links = found.filter("linked").select("a", "b")
+    known = components(links)
+    rest = pairs.filter("turn > 0").drop("turn")
+    for end in ("a", "b"):
+        rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
+    apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
+    links = links.unionByName(space.compare(space.possible(rest.filter(apart).select("a", "b"))).filter("linked").select("a", "b"))
     near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
     # a region without the first points of its key, which have met every member
     members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
