@@ -150,16 +150,17 @@ def extend_labels(items: DataFrame, centroids: DataFrame, reference: DataFrame)
     return kept.unionByName(new)
 
 
-def leave_one_out(items: DataFrame, centroids: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def leave_one_out(items: DataFrame, centroids: DataFrame, pool: DataFrame | None = None, max_domains: int = MODEL_ROW_LIMIT) -> DataFrame:
     """Domain centroids against an "unclassified" centroid that excludes the item itself.
 
     ``items`` (id, vec) compete against ``centroids`` (label STRING, vec) and the mean of
     ``pool`` (default: the items) without the item: (sum - x) / (n - 1). Items outside
-    the pool meet the full mean. One aggregate for the pool sum, then one map-only pass.
+    the pool meet the full mean. One aggregate for the pool sum, then one map-only pass, in
+    which every task holds the centroids: more than ``max_domains`` are refused.
     """
     members = items if pool is None else pool
     total = members.agg(F.count(F.lit(1)).alias("n"), sum_vector().alias("s")).first()
-    model_rows = bounded_rows(centroids.select("label", "vec"), MODEL_ROW_LIMIT, "domain centroids")
+    model_rows = bounded_rows(centroids.select("label", "vec"), max_domains, "domain centroids")
     model_rows.sort(key=lambda r: r["label"])
     labels = [r["label"] for r in model_rows]
     spark = items.sparkSession
@@ -240,7 +241,7 @@ def competitor_flags(assigned: DataFrame, ambiguous: float = 0.01, uncertain: fl
 def representatives(items: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """(label, id, sim, rank): the k items nearest each centroid, over all items.
 
-    Each task keeps k per centroid, so what is shuffled is k rows per centroid and task.
+    Each batch keeps k per centroid, so what is shuffled is k rows per centroid and batch.
     """
     model = _model(centroids)
     if model is None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from concord.operators.consensus import ari_from_sums
 from concord.runtime import bounded_rows
 
-MAX_LABELS = 2000
+MAX_CELLS = 16_000
 
 
 def _c2(n: Column) -> Column:
@@ -115,14 +115,14 @@ def kappa(cell: DataFrame, keys: Sequence[str] = (), need_two_labels: bool = Fal
 
 
 def confusion(cell: DataFrame, order: Sequence) -> DataFrame:
-    """Square rater table in canonical order; labels that never occur are left out."""
-    seen = cell.select(F.explode(F.array("a", "b")).alias("l")).distinct()
-    known = {r["l"] for r in bounded_rows(seen, MAX_LABELS, "rater labels")}
-    labels = [c for c in order if c in known] + sorted(known - set(order))
-    ranks = F.array(*[F.lit(c) for c in labels])
-    return contingency(cell, labels, labels).withColumn("row", F.array_position(ranks, F.col("a"))).withColumn(
-        "col", F.array_position(ranks, F.col("b"))
-    )
+    """Square rater table in canonical order; labels that never occur are left out, others follow by name."""
+    given = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("l"))
+    place = F.row_number().over(Window.orderBy(F.when(given > 0, given).otherwise(F.lit(len(order) + 1)), "l"))  # one row per label
+    labels = cell.select(F.explode(F.array("a", "b")).alias("l")).distinct().select("l", place.alias("place"))
+    # the table is every label against every label: that is its size
+    columns = labels.select(F.col("l").alias("b"), F.col("place").alias("col"))
+    grid = labels.select(F.col("l").alias("a"), F.col("place").alias("row")).join(columns)
+    return grid.join(cell, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
 def structural_swaps(cell: DataFrame, share: float = 0.70) -> DataFrame:
@@ -164,13 +164,14 @@ def _assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
-def optimal_mapping(cell: DataFrame) -> DataFrame:
+def optimal_mapping(cell: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """(a, mapped_to, n_matched, n_items, agreement_rate): the 1:1 relabelling with most matches.
 
     Noise labels (below 0) stay out. The data was reduced to k x k cells; only those are
-    collected for the assignment.
+    collected for the assignment, which is one problem over all of them: more than ``max_cells``
+    are refused.
     """
-    rows = bounded_rows(cell.filter("a >= 0 and b >= 0"), MAX_LABELS * 8, "contingency cells")
+    rows = bounded_rows(cell.filter("a >= 0 and b >= 0"), max_cells, "contingency cells")
     left, right = sorted({r["a"] for r in rows}), sorted({r["b"] for r in rows})
     gain = np.zeros((len(left), len(right)))
     for r in rows:
@@ -369,24 +370,31 @@ def pair_intermediacy(items: DataFrame) -> DataFrame:
 def pair_intermediacy_any(items: DataFrame) -> DataFrame:
     """As :func:`pair_intermediacy` with a label array in ``theory``: together if arrays meet.
 
-    Items are first counted by distinct combination of labels; combinations, not items,
-    are paired.
+    Two arrays meet in as many ways as they share subsets, so counting the pairs of every label
+    subset, with the sign of its size, counts each meeting pair once (inclusion and exclusion).
+    An item is one row per subset of its few labels; no pair is formed.
     """
-    full = items.groupBy(F.array_sort("theory").alias("theory"), "empirical", "detected").agg(
+    theory = F.array_sort(F.array_distinct(F.filter("theory", lambda x: x.isNotNull())))
+    full = items.groupBy(F.coalesce(theory, F.array().cast(items.schema["theory"].dataType)).alias("theory"), "empirical", "detected").agg(
         F.count(F.lit(1)).cast("double").alias("n")
-    ).withColumn("c", F.xxhash64(F.to_json(F.struct("theory", "empirical", "detected"))))
-    a, b = full.alias("a"), full.alias("b")
-    pair = a.join(b, F.col("a.c") <= F.col("b.c")).select(
-        F.when(F.col("a.c") == F.col("b.c"), _c2(F.col("a.n"))).otherwise(F.col("a.n") * F.col("b.n")).alias("w"),
-        F.arrays_overlap("a.theory", "b.theory").alias("t"),
-        (F.col("a.empirical") == F.col("b.empirical")).alias("e"), (F.col("a.detected") == F.col("b.detected")).alias("d"),
-    )
-    s = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("w"))), F.lit(0.0))
-    t, e, d = F.col("t"), F.col("e"), F.col("d")
-    return _intermediacy_rows(
-        pair.agg(F.sum("w").alias("all"), s(t).alias("t"), s(e).alias("e"), s(d).alias("d"), s(t & e).alias("te"),
-                 s(t & d).alias("td"), s(e & d).alias("ed"), s(t & e & d).alias("ted"))
     )
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(theory)) - 1), b -> filter(theory, (x, i) -> shiftright(b, i) & 1 = 1))")
+    listed = full.filter(F.size("theory") > 0).select(F.explode(subsets).alias("s"), "empirical", "detected", "n")
+    listed = listed.groupBy("s", "empirical", "detected").agg(F.sum("n").alias("n"))
+
+    def pairs(table: DataFrame, sets: dict[str, list[str]], sign: Column) -> DataFrame:
+        wide = table.withColumns({f"n_{k}": F.sum("n").over(Window.partitionBy(*cols)) for k, cols in sets.items()})
+        out = []
+        for k, cols in sets.items():
+            known = F.lit(True)
+            for c in cols:
+                known = known & F.col(c).isNotNull()
+            out.append(F.coalesce(F.sum(F.when(known, sign * F.col("n") * (F.col(f"n_{k}") - 1) / 2)), F.lit(0.0)).alias(k))
+        return wide.agg(*out, _c2(F.coalesce(F.sum("n"), F.lit(0.0))).alias("all"))
+
+    met = pairs(listed, {"t": ["s"], "te": ["s", "empirical"], "td": ["s", "detected"], "ted": ["s", "empirical", "detected"]}, F.when(F.size("s") % 2 == 1, 1.0).otherwise(-1.0))
+    rest = pairs(full, {"e": ["empirical"], "d": ["detected"], "ed": ["empirical", "detected"]}, F.lit(1.0))
+    return _intermediacy_rows(rest.join(F.broadcast(met.drop("all"))))  # two rows of counts
 
 
 def _intermediacy_rows(base: DataFrame) -> DataFrame:

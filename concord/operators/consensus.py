@@ -22,7 +22,7 @@ from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.graph import components, forest
 from concord.operators.similarity import block_join, ordered_once, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
-from concord.runtime import bounded_rows, broadcast_if_small, fits, materialize
+from concord.runtime import MODEL_ROW_LIMIT, bounded_rows, broadcast_if_small, fits, materialize
 
 MODEL_BYTES = 32 << 20
 SUB_BATCH = 1024
@@ -977,7 +977,7 @@ def extend_warm_start(old: DataFrame, new: DataFrame, centroids: DataFrame, max_
 
     ``old`` is (id, vec, label); ``centroids`` (label INT, vec).
     """
-    rows = sorted(centroids.collect(), key=lambda r: r["label"])
+    rows = sorted(bounded_rows(centroids, MODEL_ROW_LIMIT, "centroids"), key=lambda r: r["label"])
     start = np.array([[r["vec"] for r in rows]], dtype=float)
     every = old.select("id", "vec").unionByName(new.select("id", "vec")).persist()
     centers, _ = lloyd(every, start, max_iter)
