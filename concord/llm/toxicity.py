@@ -3,8 +3,8 @@
 1. Token scores. Words (lower-case runs of letters, digits and non-ASCII bytes) of a bounded sample of
    labelled documents (``max_labelled``) are counted by class, in toxic texts once for each pair of
    neighbours, so copies of one text count once; the log-odds between the classes are smoothed
-   by a Dirichlet prior in proportion to the word's count over **all** documents. Words whose log-odds exceed
-   ``z_least`` standard errors keep their score (at most ``CEILING``); every other word costs ``drift``.
+   by a Dirichlet prior in proportion to the word's count over **all** documents. Words whose log-odds are at
+   least ``LEAST_ODDS`` and ``Z_LEAST`` standard errors keep their score (at most ``CEILING``); every other word costs ``drift``.
 2. Segments. One linear scan finds all maximal scoring segments of a text (disjoint, none can be extended or
    joined to gain). Runs of words without a score are one negative step, so the scan visits scored words only.
 3. Calibration. For scores with a negative mean, the number of segments of score S in n words of clean text
@@ -32,6 +32,7 @@ MAX_LABELLED = 20_000
 PRIOR_WORDS = 2_000.0
 Z_LEAST = 3.0
 LEAST_CONTEXTS = 3
+LEAST_ODDS = 3.0  # twenty times as common in toxic texts: less is what a subject or a language does
 DRIFT = 0.05
 CEILING = 8.0
 EXPECTED_MOST = 0.05
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
         else:
             corpus[np.searchsorted(h, np.array([word], dtype=np.int64).view(np.uint64)[0])] = n
     delta, z = log_odds(toxic, clean, corpus, n_toxic, n_clean, n_corpus)
-    chosen = (z >= Z_LEAST) & (n_toxic > 0) & (n_clean > 0)
+    chosen = (z >= Z_LEAST) & (delta >= LEAST_ODDS) & (n_toxic > 0) & (n_clean > 0)
     scores = np.minimum(delta[chosen], CEILING)
     # the share that the prior gives an unseen word keeps lambda finite
     shares = (clean[chosen] + PRIOR_WORDS * (corpus[chosen] + 1) / (n_corpus + 1) * 0.01) / max(1, n_clean + PRIOR_WORDS * 0.01)
