@@ -3,8 +3,8 @@
 1. Token scores. Words (lower-case runs of letters, digits and non-ASCII bytes) of a bounded sample of
    labelled documents (``max_labelled``) are counted by class, in toxic texts once for each pair of
    neighbours, so copies of one text count once; the log-odds between the classes are smoothed
-   by a Dirichlet prior in proportion to the word's count over **all** documents. Words whose log-odds are at
-   least ``LEAST_ODDS`` and ``Z_LEAST`` standard errors keep their score (at most ``CEILING``); every other word costs ``drift``.
+   by a Dirichlet prior in proportion to the word's count over **all** documents. Words of at least ``LEAST_DOCS``
+   toxic texts whose log-odds reach ``LEAST_ODDS`` and whose uses lie ``Z_LEAST`` deviations off keep their score (at most ``CEILING``); every other word costs ``drift``.
 2. Segments. One linear scan finds all maximal scoring segments of a text (disjoint, none can be extended or
    joined to gain). Runs of words without a score are one negative step, so the scan visits scored words only.
 3. Calibration. For scores with a negative mean, the number of segments of score S in n words of clean text
@@ -29,9 +29,9 @@ from concord.llm.quality import labelled_sample
 from concord.llm.store import materialize, small_batches
 
 MAX_LABELLED = 20_000
-PRIOR_WORDS = 2_000.0
-Z_LEAST = 3.0
-LEAST_CONTEXTS = 3
+PRIOR_WORDS, PRIOR_SHARE = 2_000.0, 0.01  # words of the prior, at most this share of the smaller class
+Z_LEAST = 6.0
+LEAST_DOCS = 3
 LEAST_ODDS = 3.0  # twenty times as common in toxic texts: less is what a subject or a language does
 DRIFT = 0.05
 CEILING = 8.0
@@ -118,7 +118,7 @@ class Model:
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, context, clean): one row per word and pair of neighbours in toxic texts, and counts in clean ones (context null)."""
+    """(hash, context, doc, clean): one row per word, pair of neighbours and toxic text, and counts in clean ones (context null)."""
     for batch in batches:
         for rows, data, offsets in words.slices(batch, 1):
             w = words.split(data, offsets, words.ALNUM)
@@ -131,11 +131,15 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 beside[0, 1:] = np.where(same, w.hash[:-1], 0)
                 beside[1, :-1] = np.where(same, w.hash[1:], 0)
             context = words.mix(beside[0] + np.uint64(1)) + words.mix(words.mix(beside[1]))
-            pair = np.unique(np.stack([w.hash[toxic], context[toxic]]), axis=1)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([h, pair[0]]).view(np.int64)), pa.array(np.concatenate([np.zeros_like(h), pair[1]]).view(np.int64), mask=np.arange(len(h) + pair.shape[1]) < len(h)),
-                pa.array(np.concatenate([n, np.zeros(pair.shape[1], dtype=np.int64)])),
-            ], names=["h", "context", "clean"])
+            docs = rows.column(0).to_numpy()[w.doc[toxic]].view(np.uint64) if toxic.any() else np.zeros(0, dtype=np.uint64)
+            seen = np.unique(np.stack([w.hash[toxic], context[toxic], docs]), axis=1)
+            k = seen.shape[1]
+            none = np.arange(len(h) + k) < len(h)
+            column = lambda values: pa.array(np.concatenate([np.zeros_like(h), values]).view(np.int64), mask=none)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h, seen[0]]).view(np.int64)), column(seen[1]), column(seen[2]), pa.array(np.concatenate([n, np.zeros(k, dtype=np.int64)]))],
+                names=["h", "context", "doc", "clean"],
+            )
 
 
 def _corpus_counts(candidates):
@@ -157,12 +161,22 @@ def _corpus_counts(candidates):
     return run
 
 
+def prior_words(n_toxic: int, n_clean: int) -> float:
+    return max(1.0, min(PRIOR_WORDS, PRIOR_SHARE * min(n_toxic, n_clean)))
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, n_toxic: int, n_clean: int, n_corpus: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds, z) of words between two classes, smoothed by ``PRIOR_WORDS`` prior words of the corpus."""
-    prior = PRIOR_WORDS * (corpus + 1) / (n_corpus + 1)
+    """(log-odds, z) of words between two classes.
+
+    The odds are smoothed by prior words in the shares of the corpus; z says how many standard deviations more
+    of a word's uses are in toxic texts than the classes' sizes let expect.
+    """
+    total = prior_words(n_toxic, n_clean)
+    prior = total * (corpus + 1) / (n_corpus + 1)
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / (n_toxic + PRIOR_WORDS - a)) - np.log(b / (n_clean + PRIOR_WORDS - b))
-    return delta, delta / np.sqrt(1 / a + 1 / b)
+    delta = np.log(a / np.maximum(n_toxic + total - a, 1e-9)) - np.log(b / np.maximum(n_clean + total - b, 1e-9))
+    share, uses = n_toxic / max(1, n_toxic + n_clean), toxic + clean
+    return delta, (toxic - share * uses) / np.sqrt(np.maximum(share * (1 - share) * uses, 1e-9))
 
 
 def decay_rate(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
@@ -199,13 +213,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     small_batches(docs)
     sample = materialize(labelled_sample(docs, labels, label, usable, max_labelled).dropDuplicates(["doc_id"]).select("doc_id", "text", "y"))
     counts = materialize(
-        sample.mapInArrow(_class_counts, "h long, context long, clean long")
-        .groupBy("h", "context").agg(F.sum("clean").alias("clean"))
-        .groupBy("h").agg(F.count("context").alias("toxic"), F.sum("clean").alias("clean"))
+        sample.mapInArrow(_class_counts, "h long, context long, doc long, clean long")
+        .groupBy("h").agg(F.count_distinct("context").alias("toxic"), F.count_distinct("doc").alias("docs"), F.sum("clean").alias("clean"))
     )
     n_toxic, n_clean = (int(v or 0) for v in counts.agg(F.sum("toxic"), F.sum("clean")).first())
-    # a few contexts are not evidence. What is left is bounded by the words of the sample
-    rows = np.array(counts.filter(F.col("toxic") >= LEAST_CONTEXTS).select("h", "toxic", "clean").toPandas().to_numpy(), dtype=np.int64).reshape(-1, 3)
+    # a word of few texts is not evidence. What is left is bounded by the words of the sample
+    rows = np.array(counts.filter(F.col("docs") >= LEAST_DOCS).select("h", "toxic", "clean").toPandas().to_numpy(), dtype=np.int64).reshape(-1, 3)
     h = rows[:, 0].copy().view(np.uint64)
     order = np.argsort(h)
     h, toxic, clean = h[order], rows[order, 1], rows[order, 2]
@@ -220,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     chosen = (z >= Z_LEAST) & (delta >= LEAST_ODDS) & (n_toxic > 0) & (n_clean > 0)
     scores = np.minimum(delta[chosen], CEILING)
     # the share that the prior gives an unseen word keeps lambda finite
-    shares = (clean[chosen] + PRIOR_WORDS * (corpus[chosen] + 1) / (n_corpus + 1) * 0.01) / max(1, n_clean + PRIOR_WORDS * 0.01)
+    unseen = 0.01 * prior_words(n_toxic, n_clean)
+    shares = (clean[chosen] + unseen * (corpus[chosen] + 1) / (n_corpus + 1)) / max(1, n_clean + unseen)
     model = Model(h[chosen], scores, drift, decay_rate(scores, shares, drift))
     return _calibrate(model, sample)
 
