@@ -179,10 +179,10 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, point, turn, deep) from rows ordered by key and point.
+    """(pivot, point, deep) from rows ordered by key and point.
 
-    Each point meets the first ``LEAF - 1`` points of its keys, so keys of up to ``LEAF`` points are done; ``turn``
-    is 0 for the first of them. The further points of longer keys are the region (deep) of the key's first point.
+    Each point meets the first ``LEAF - 1`` points of its keys, so keys of up to ``LEAF`` points are done. The
+    further points of longer keys are the region (deep) of the key's first point.
     """
     held_key, held = 0, np.zeros(0, dtype=np.int64)  # the first points of the last key, at most LEAF of them
     last = None
@@ -205,15 +205,14 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(start)[np.cumsum(start) - 1]
         place = np.arange(len(k)) - first
         new = np.arange(len(k)) >= carried
-        pivots, points, turn, deep = [], [], [], []
+        pivots, points, deep = [], [], []
         for s in range(LEAF - 1):
             at = np.flatnonzero(new & (place > s))
             pivots.append(p[first[at] + s])
             points.append(p[at])
-            turn.append(np.full(len(at), s, dtype=np.int32))
             deep.append((place[at] >= LEAF - 1) & (s == 0))
         held_key, held = k[-1], p[first[-1] : first[-1] + LEAF]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, turn, deep)], names=["pivot", "point", "turn", "deep"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, deep)], names=["pivot", "point", "deep"])
 
 
 class _Space:
@@ -237,13 +236,13 @@ class _Space:
         sizes = 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
         return sizes & F.when(sizes, 100 * most >= self.percent * (n_a + n_b - most))
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) pairs that sizes and class counts do not rule out, with their sizes."""
+    def possible(self, pairs: DataFrame, *kept: str) -> DataFrame:
+        """The (a, b) pairs that sizes and class counts do not rule out, with their sizes and the ``kept`` columns."""
         side = lambda end, *columns: self.known.select(F.col("point").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
         # sizes first: they are short and rule out most pairs
         sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         joined = sized.join(side("a", "classes"), "a").join(side("b", "classes"), "b")
-        return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("classes_a"), F.col("classes_b"))).select("a", "b", "n_a", "n_b")
+        return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("classes_a"), F.col("classes_b"))).select("a", "b", "n_a", "n_b", *kept)
 
     def _load(self, needed: DataFrame) -> None:
         """Adds the sets of those ``needed`` points that are not loaded yet."""
@@ -268,9 +267,13 @@ class _Space:
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of distinct (a, b, n_a, n_b) pairs."""
         pairs = materialize(pairs)
-        self._load(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
-        a = self.sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
-        b = self.sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
+        needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
+        self._load(needed)
+        # only the sets of these pairs are moved; counted first, beyond the bound they are found by a shuffle
+        needed = F.broadcast(needed) if fits(needed, MOST_BROADCAST) else needed
+        sets = self.sets.join(needed, "point", "left_semi")
+        a = sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
+        b = sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
         shared = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("i"))
         union = F.col("total") - F.col("i")
         return materialize(shared.select("a", "b", (1 - F.col("i") / union).alias("distance"), (100 * F.col("i") >= self.percent * union).alias("linked")))
@@ -295,18 +298,21 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     space = _Space(docs, table, width, percent)
     keyed = table.select(F.explode("keys").alias("key"), "point")
     # ordered rows stream through a task, however many share a key
-    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, turn int, deep boolean")
-    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.min("turn").alias("turn"), F.max("deep").alias("deep")))
-    # the first points of the keys first: most of a family is then one class, whose other pairs need no sets
-    pairs = seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "turn")
-    found = space.compare(space.possible(pairs.filter("turn = 0").drop("turn")))
+    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, deep boolean")
+    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.count(F.lit(1)).alias("keys"), F.max("deep").alias("deep")))
+    # each point first meets the pivot it shares most keys with: most of a family is then one class, whose other pairs need no sets
+    pairs = materialize(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "keys"), "keys"))
+    nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a", "n_a", "n_b")).alias("best")).select("best.a", "b", "best.n_a", "best.n_b")
+    found = space.compare(nearest)
     links = found.filter("linked").select("a", "b")
     known = components(links)
-    rest = pairs.filter("turn > 0").drop("turn")
+    rest = pairs
     for end in ("a", "b"):
         rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
     apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
-    links = links.unionByName(space.compare(space.possible(rest.filter(apart).select("a", "b"))).filter("linked").select("a", "b"))
+    others = rest.filter(apart).select("a", "b", "n_a", "n_b").join(found.select("a", "b"), ["a", "b"], "left_anti")
+    more = space.compare(others)
+    links, found = links.unionByName(more.filter("linked").select("a", "b")), found.unionByName(more)
     near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
     # a region without the first points of its key, which have met every member
     members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
