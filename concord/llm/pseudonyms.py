@@ -1,17 +1,22 @@
 """Format-preserving pseudonyms for personal data, in Spark SQL expressions only.
 
-Values are found by one pattern, validated, and permuted within their format by a keyed Feistel network, so a
+Values are found by one pattern a text, validated, and permuted within their format by a keyed Feistel network, so a
 value has the same pseudonym in every document, two values never share one, and the pseudonym is valid itself:
 
 * e-mail addresses: the local part, letter by letter and digit by digit (the domain stays);
 * payment card numbers (13-19 digits with a right check digit, blanks or hyphens allowed): all digits but the
-  last are permuted, the check digit is computed anew. Numbers with a wrong check digit are no cards and stay;
-* IBANs (right modulo 97): country and form stay, check digits are computed anew;
+  last are permuted, the check digit is computed anew. Numbers with a wrong check digit are no cards and stay, but
+  the shorter and later groups in them are tried: the usual layouts (one group, 4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3)
+  at any place, then other groupings (of three digits or more, but for the last group);
+* IBANs (right modulo 97, tried to the end of each group; the country's length goes first): country and form stay,
+  check digits are computed anew;
 * IPv4 addresses (four numbers to 255): permuted among all of them;
 * dates from 1900 to 2099 (``yyyy-mm-dd`` or ``dd.mm.yyyy``, also with ``/`` or ``-``; month first where only
   that is a date): permuted among the days of these years. Others are left;
 * social security numbers (valid area, group and serial): permuted among the valid ones;
-* phone numbers (international, or three groups): the digits after the country code;
+* phone numbers (international, or three groups): the digits after the country code. A following address, date or
+  card is not part of it, nor is a number behind a blank where the country has a fixed length or the groups before
+  are joined by dots or hyphens; in other countries a short number behind a blank cannot be told from a group;
 * hexadecimal secrets of 32 to 64 digits: digits among digits, letters among a-f.
 
 Digit strings and texts are halved; each round adds a keyed hash of one half to the other, character by
@@ -24,7 +29,7 @@ The default key is for tests: keep the real one secret, as it reverses the pseud
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
@@ -32,14 +37,37 @@ FIRST_DAY, DAYS = "1900-01-01", 73049  # 17 * 4297 days to the end of 2099
 
 # possessive and guarded on the left, so a long run without a match is read once
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])"
+_MIDDLE = r"(?:-[0-9]{2}-|\.[0-9]{2}\.|/[0-9]{2}/)"
+DATE = rf"(?<![0-9])(?:[0-9]{{4}}{_MIDDLE}[0-9]{{2}}|[0-9]{{2}}{_MIDDLE}[0-9]{{4}})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PATTERN = "|".join((EMAIL, IBAN, HEX, IP, DATE, SSN, PHONE, CARD))
+
+# check digits are no matter of patterns: these find candidates, of which the valid ones enter the pattern of their text
+GUARDED = r"(?<![0-9A-Za-z])(?:%s)(?![0-9A-Za-z])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+CARD_LAYOUT = "|".join([r"[0-9]{13,19}", *(s.join(f"[0-9]{{{n}}}" for n in sizes) for sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4)) for s in " -")])
+LONG_LAYOUT = "|".join(s.join(f"[0-9]{{{n}}}" for n in (4, 4, 4, 4, 3)) for s in " -")
+CARD_GROUPS = r"[0-9]{3,16}(?:[ -][0-9]{3,16}){0,5}(?:[ -][0-9]{1,16})?"
+
+# a group that begins another value, or more digits than a phone number has left, does not belong to it
+_OWN = f"(?!{IP}|{DATE}|{SSN}|(?:{CARD_LAYOUT})(?![0-9]))"
+# digits after the country code, where a country has one number of them
+NATIONAL = {8: "45|47|65|852", 9: "31|33|34|351|41|420|48|61", 10: "1|44|7|91"}
+_FIXED = "|".join(rf"\+(?:{codes})[ .-]?(?:\(0\)[ .-]?)?\(?{_OWN}[0-9](?:[ .()-]{{0,2}}{_OWN}[0-9]){{{n - 1}}}(?![0-9])" for n, codes in NATIONAL.items())
+# groups behind dots or hyphens, other than those behind the country code, end the number: a blank joins none to them
+_JOINED = rf"(?:(?: (?<!(?<!\+[0-9]{{1,3}})(?<=[0-9])[.-][0-9]{{2,16}} )|[.-]){_OWN})?"
+_ANY = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?{_OWN}[0-9]{{2,4}}(?:{_JOINED}[0-9]{{2,4}}){{1,4}}(?![0-9])"
+PHONE = rf"{_FIXED}|{_ANY}|(?<![0-9])\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])"
+SHAPED = "|".join((HEX, IP, DATE, SSN, PHONE))
+NEVER = "(?!)"
+
+IBAN_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FO18 GL18 NL18 SD18 FK18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 MN20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 OM23 TL23 SO23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+)
 
 
 def _quote(text: str) -> str:
@@ -164,9 +192,46 @@ def pseudonym(m: str, key: str) -> str:
     )
 
 
-def found_values(text: str = "text") -> Column:
-    """The candidate values of a text, in order; none where it has neither digit nor ``@``."""
-    return F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN regexp_extract_all({text}, {_quote(PATTERN)}, 0) ELSE array() END")
+def _starts(text: str, pattern: str) -> str:
+    """SQL: the match of ``pattern`` at each place where it can begin, so also those inside others."""
+    return f"regexp_extract_all({text}, {_quote('(?=(' + GUARDED % pattern + '))')}, 1)"
+
+
+def _prefixes(run: str) -> str:
+    """SQL: the beginnings of a run of groups that end with a group, the longest first."""
+    ends = f"filter(sequence(length({run}), 1, -1), e -> substring({run}, e + 1, 1) IN ('', ' ', '-'))"
+    return f"transform({ends}, e -> substring({run}, 1, e))"
+
+
+def valid_cards(text: str) -> str:
+    """SQL: card numbers in the usual layouts (``usual``), and other groupings where none of these is part of them (``other``)."""
+    right = lambda found: f"filter({found}, w -> length({_plain('w')}) BETWEEN 13 AND 19 AND {_luhn_sum(_plain('w'), 1)} % 10 = 0)"
+    usual = right(f"concat({_starts(text, CARD_LAYOUT)}, {_starts(text, LONG_LAYOUT)})")
+    # in a run of digits that is not spoken for, and in it the groups from any on
+    runs = f"filter(regexp_extract_all({text}, {_quote(EMAIL + '|' + SHAPED + '|' + GUARDED % CARD)}, 0), w -> {_is('w', CARD)})"
+    parts = f"flatten(transform({_starts(text, CARD_GROUPS)}, run -> {_prefixes('run')}))"
+    other = f"filter({right(f'concat({runs}, {parts})')}, w -> NOT exists(u, y -> instr(w, y) > 0))"
+    longest = f"array_sort(array_distinct({other}), (y, z) -> length(z) - length(y))"
+    return _once(f"array_distinct({usual})", "u", f"named_struct('usual', u, 'other', {longest})")
+
+
+def valid_ibans(text: str) -> str:
+    """SQL: the IBANs of a text; of several with one beginning the one of the country's length first, then the longest."""
+    plain = "replace(w, ' ', '')"
+    right = f"length({plain}) BETWEEN 15 AND 34 AND {_mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
+    usual = f"instr({_quote(IBAN_LENGTHS)}, concat(substring(w, 1, 2), length({plain}))) > 0"
+    ordered = _once(f"filter({_prefixes('run')}, w -> {right})", "u", f"concat(filter(u, w -> {usual}), filter(u, w -> NOT {usual}))")
+    return f"array_distinct(flatten(transform({_starts(text, IBAN)}, run -> {ordered})))"
+
+
+def pattern_of(text: str) -> str:
+    """SQL: the pattern of a text's values. Values with check digits are in it as they are, if they are valid."""
+    literal = lambda values: f"CASE WHEN size({values}) > 0 THEN concat('(?<![0-9A-Za-z])(?:', array_join({values}, '|'), ')(?![0-9A-Za-z])') ELSE {_quote(NEVER)} END"
+    none = "cast(array() AS array<string>)"
+    ibans = f"CASE WHEN {text} RLIKE {_quote(IBAN.replace('{11,30}', '{11}'))} THEN {valid_ibans(text)} ELSE {none} END"
+    cards = f"CASE WHEN {text} RLIKE {_quote(CARD.replace('{12,18}', '{12}'))} THEN {valid_cards(text)} ELSE named_struct('usual', {none}, 'other', {none}) END"
+    joined = f"concat({_quote(EMAIL + '|')}, {literal('iban')}, '|', {literal('card.usual')}, {_quote('|' + SHAPED + '|')}, {literal('card.other')})"
+    return _once(ibans, "iban", _once(cards, "card", joined))
 
 
 def pseudonymise(docs: DataFrame, key: str = "test key", text: str = "text", count: str | None = None) -> DataFrame:
@@ -175,8 +240,10 @@ def pseudonymise(docs: DataFrame, key: str = "test key", text: str = "text", cou
     ``count`` names a further column for the number of values that changed.
     """
     # expressions that are used twice get a projection of their own, behind which the optimiser does not repeat them
-    staged = docs.withColumn("__found", found_values(text)).withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    staged = staged.withColumn("__gaps", F.expr(f"CASE WHEN size(__found) > 0 THEN split({text}, {_quote(PATTERN)}, -1) END"))
+    staged = docs.withColumn("__pattern", F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN {pattern_of(text)} END"))
+    staged = staged.withColumn("__found", F.expr(f"CASE WHEN __pattern IS NOT NULL THEN regexp_extract_all({text}, __pattern, 0) ELSE array() END"))
+    staged = staged.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
+    staged = staged.withColumn("__gaps", F.expr(f"CASE WHEN size(__found) > 0 THEN split({text}, __pattern, -1) END"))
     joined = F.expr("array_join(transform(arrays_zip(__gaps, __new), x -> concat(x.__gaps, coalesce(x.__new, ''))), '')")
     out = F.when(F.size("__found") > 0, joined).otherwise(F.col(text))
     changed = F.expr("size(filter(arrays_zip(__found, __new), x -> x.__found <> x.__new))")

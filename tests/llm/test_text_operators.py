@@ -143,6 +143,24 @@ def test_equal_values_stay_linked_and_invalid_ones_stay(spark):
     assert got[7] == "no data " * 20_000 + "x" * 200_000
 
 
+def test_neighbours_do_not_hide_values(spark):
+    card, other, phone, iban = "4111 1111 1111 1111", "5500 0000 0000 0004", "+1 (826) 555-4081", "DE89 3704 0044 0532 0130 00"
+    # each part is a value of its own or stays
+    parts = [
+        (phone, " ", "190.137.223.204"), (phone, " ", "2024-01-15"), (phone, " 77"), ("+1 826 555 4081", " ", "190.137.223.204"), ("+49 30 1234567", " ", "2024-01-15"),
+        ("+49-30-1234567", " 2024"), ("+44 20 7946 0958", " 12"), ("+49 30 1234567", " ", card), (phone, " ", "123-45-6789"), (phone, ".", "15.01.2024"), ("+49 30 1234-5678",), ("+49-30 1234567",),
+        (card, " 12/27"), ("4111111111111111", " 123"), ("7 ", "4111111111111111"), ("1234 ", card), (card, " ", other), (card, "-", "2024-01-15"), ("12 ", "378282246310005"),
+        ("3782 822463 10005", " 12/27"), ("123456 ", "41111111 11111111", " 1"), ("4111111111111112 ", "4111111111111111"), (iban, " BIC COBADEFF"), ("AB12 ", iban, " 2024"), (iban, " ", card),
+        ("AB12 3456 7890 1234 ", card),
+    ]
+    alone = sorted({p for row in parts for p in row})
+    new = dict(zip(alone, swapped(spark, *alone), strict=True))
+    plain = {" ", "-", ".", " 77", " 2024", " 12", " 12/27", " 123", "7 ", "1234 ", "12 ", "123456 ", " 1", "4111111111111112 ", " BIC COBADEFF", "AB12 ", "AB12 3456 7890 1234 "}
+    assert {p for p in alone if new[p] == p} == plain
+    for row, got in zip(parts, swapped(spark, *("".join(r) for r in parts)), strict=True):
+        assert got == "".join(new[p] for p in row), row
+
+
 def test_permutations_are_one_to_one(spark):
     ips = [f"10.0.{i // 256}.{i % 256}" for i in range(600)]
     assert len(set(swapped(spark, *ips))) == 600
