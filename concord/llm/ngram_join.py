@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from concord.llm import words
 from concord.operators.graph import components
 from concord.llm.store import add_rows, materialize, partitions_for, small_batches
-from concord.runtime import fits
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
@@ -48,7 +47,6 @@ CLASSES = 128
 PIVOTS = 16
 LEAF = 8
 SALTS = 16
-MOST_BROADCAST = 1_000_000  # rows of three numbers
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -257,9 +255,8 @@ class _Space:
 
         chosen = materialize(missing.join(self.known, "point").select("point", "id", "row"))
         texts = self.docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("row"), "text")
-        # counted first; beyond the bound the texts are shuffled to the names
-        chosen = F.broadcast(chosen) if fits(chosen, MOST_BROADCAST) else chosen
-        loaded = texts.join(chosen, ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run), "point long, shingles array<long>")
+        # names of documents are as many as documents: the texts are shuffled to them at any size, none go through the driver
+        loaded = texts.join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run), "point long, shingles array<long>")
         # a repeated row gives its point's set twice
         loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")))
         self.sets = loaded if self.sets is None else self.sets.unionByName(loaded)
@@ -269,9 +266,8 @@ class _Space:
         pairs = materialize(pairs)
         needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
         self._load(needed)
-        # only the sets of these pairs are moved; counted first, beyond the bound they are found by a shuffle
-        needed = F.broadcast(needed) if fits(needed, MOST_BROADCAST) else needed
-        sets = self.sets.join(needed, "point", "left_semi")
+        # only the sets of these pairs are moved
+        sets = self.sets.join(needed.hint("merge"), "point", "left_semi")
         a = sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
         b = sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
         shared = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("i"))
@@ -362,8 +358,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("one")).select("one.doc_id", "one.row")
     kept = materialize(first.unionByName(classes.filter("class IS NULL").select("doc_id", "row")).distinct())
     again = not classes.groupBy("doc_id", "row").count().filter("count > 1").isEmpty()
-    kept = (F.broadcast(kept) if fits(kept, MOST_BROADCAST) else kept).select(F.col("doc_id").alias("__kept"), F.col("row").alias("__kept_row"))
+    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("row").alias("__kept_row"))
     # the document's own columns stay together, so none clashes with these
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64("text").alias("__row"), F.col("doc_id").alias("__id"))
-    joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__row") == F.col("__kept_row")))
+    joined = keyed.join(kept.hint("merge"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__row") == F.col("__kept_row")))
     return (joined.dropDuplicates(["__id", "__row"]) if again else joined).select("__doc.*")

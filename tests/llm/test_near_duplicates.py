@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -96,6 +97,17 @@ def test_keep_one_of_each_class(clashing, no_docs):
     assert ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_names_of_documents_are_not_broadcast(spark, monkeypatch):
+    called = []
+    real = ngram_join.F.broadcast
+    monkeypatch.setattr(ngram_join.F, "broadcast", lambda df: called.append(sys._getframe(1).f_globals["__name__"]) or real(df))
+    rows = families(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.keep_one(docs, 3, 80)
+    assert out.count() < len(rows)
+    assert ngram_join.__name__ not in called and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_key_count_leaves_room_for_every_link():
     for percent in (50, 80, 90):
         for n in range(1, 200):
