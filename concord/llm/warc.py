@@ -10,11 +10,12 @@ without it are inflated to find the next one. Plain files are stepped over by Co
 by one task and written by one, so its size is the partition's: repartition before writing if need be.
 
 Defined cases: a null payload is an empty one; a null URI has no header and reads back as null; control
-characters and blanks in URIs are percent-encoded; an empty folder gives no rows; a truncated last record raises.
+characters and blanks in URIs are percent-encoded; an empty folder gives no rows; a truncated last record raises, also where it is stepped over; headers have any length.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import urllib.parse
@@ -41,6 +42,7 @@ HEADER_COLUMNS = {
 }
 CHUNK = 1 << 20
 HEAD = 1 << 12
+HEAD_STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -107,6 +109,8 @@ class _Stream:
 
     def __init__(self, source):
         self.source, self.buffer, self.start = source, b"", 0
+        self.size = source.seek(0, io.SEEK_END)
+        source.seek(0)
 
     def peek(self, n: int) -> bytes:
         while len(self.buffer) < n:
@@ -120,7 +124,7 @@ class _Stream:
         if n <= len(self.buffer):
             self.buffer = self.buffer[n:]
         else:
-            self.source.seek(self.start + n)
+            self.source.seek(min(self.start + n, self.size))
             self.buffer = b""
         self.start += n
 
@@ -142,8 +146,25 @@ def _headers(head: bytes) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
-def _inflate_head(data: bytes) -> bytes:
-    return zlib.decompressobj(31).decompress(data, 1 << 16)
+def _head(stream: _Stream, packed: bool) -> bytes:
+    """The record's beginning, up to the blank line behind its headers at least, however long they are."""
+    inflater = zlib.decompressobj(31)
+    text, n, pending, scanned = bytearray(), 0, b"", 0
+    while True:
+        if packed and pending:
+            text += inflater.decompress(pending, HEAD_STEP)
+        else:
+            chunk = b"" if inflater.eof else stream.peek(n + max(HEAD, n))[n:]
+            if not chunk:
+                raise ValueError("not a WARC record") if inflater.eof else EOFError("the last record is cut off")
+            n += len(chunk)
+            text += inflater.decompress(chunk, HEAD_STEP) if packed else chunk
+        pending = inflater.unconsumed_tail
+        if not text.startswith(b"WARC/"[: len(text)]):
+            raise ValueError("not a WARC record")
+        if text.find(b"\r\n\r\n", max(0, scanned - 3)) >= 0:
+            return bytes(text)
+        scanned = len(text)
 
 
 def read_records(source, wanted, decode) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
@@ -155,18 +176,15 @@ def read_records(source, wanted, decode) -> Iterator[tuple[int, dict[str, str],
             return
         at = stream.start
         if first == b"\x1f\x8b":
-            head = stream.peek(HEAD)
+            head = stream.peek(20)
+            if len(head) < 20:
+                raise EOFError("the last record is cut off")
             length = None
             if head[3] & 4 and head[12:14] == b"sl":
                 length = struct.unpack("<I", head[16:20])[0]
-            text = _inflate_head(head)
-            while b"\r\n\r\n" not in text and len(head) < 1 << 24:
-                grown = stream.peek(2 * len(head))
-                if len(grown) == len(head):
-                    break
-                head = grown
-                text = _inflate_head(head)
-            fields, begin = _headers(text)
+                if at + length > stream.size:
+                    raise EOFError("the last record is cut off")
+            fields, begin = _headers(_head(stream, True))
             keep = wanted(fields)
             body = None
             if length is None or (keep and decode(fields)):
@@ -181,18 +199,12 @@ def read_records(source, wanted, decode) -> Iterator[tuple[int, dict[str, str],
                 body = b"".join(parts)
             stream.skip(length)
         else:
-            head = stream.peek(HEAD)
-            while b"\r\n\r\n" not in head and len(head) < 1 << 24:
-                grown = stream.peek(2 * len(head))
-                if len(grown) == len(head):
-                    break
-                head = grown
-            fields, begin = _headers(head)
+            fields, begin = _headers(_head(stream, False))
             length = begin + int(fields["content-length"]) + 4
+            if at + length - 4 > stream.size:
+                raise EOFError("the last record is cut off")
             keep = wanted(fields)
             body = stream.peek(length) if keep and decode(fields) else None
-            if body is not None and len(body) < length - 4:
-                raise EOFError("the last record is cut off")
             stream.skip(length)
         if keep:
             yield at, fields, None if body is None or not decode(fields) else body[begin : begin + int(fields["content-length"])]

@@ -57,6 +57,26 @@ def test_unwanted_payloads_are_stepped_over():
         list(warc.read_records(io.BytesIO(gzip.compress(body)[:-40]), lambda f: True, lambda f: True))
 
 
+def test_long_headers_and_cut_records():
+    import gzip
+
+    rng = random.Random(8)
+    uri = "http://h/" + "".join(rng.choice("abcdefghij0123456789") for _ in range(300_000)) + "ü" * 100_000
+    first, last = warc.record("response", "a", uri, "d", "x", b"p" * 100, 100, None), warc.record("response", "b", "u", "d", "x", b"q" * 50_000, 50_000, None)
+    for pack in (warc.member, gzip.compress, bytes):
+        data = pack(first) + pack(last)
+        for decoded in (True, False):
+            got = list(warc.read_records(io.BytesIO(data), lambda f: True, lambda f: decoded))  # noqa: B023
+            assert [f["warc-record-id"] for _, f, _ in got] == ["<a>", "<b>"] and len(got[0][1]["warc-target-uri"]) == 9 + 300_000 + 600_000
+            # in the payload, in the headers, and in the first bytes
+            for left in (len(data) - 12, len(pack(first)) + 30, len(pack(first)) + 3):
+                with pytest.raises(EOFError):
+                    list(warc.read_records(io.BytesIO(data[:left]), lambda f: True, lambda f: decoded))  # noqa: B023
+    for other in (b"no record" * 100, gzip.compress(b"no record" * 100), gzip.compress(b"WARC/1.1 without an end")):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(other), lambda f: True, lambda f: True))
+
+
 def test_token_counts_equal_the_encoder(spark, clashing, no_docs):
     folder = new_folder(spark, "test")
     places = token_counts.write_tokens(clashing.repartition(2), folder)
