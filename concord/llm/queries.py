@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, grid_join, lattice, mixing, ngram_join, pseudonyms, quality, token_counts, toxicity, warc
+from concord.llm import decontaminate, filter_audit, grid_join, lattice, line_dedup, mixing, ngram_join, pseudonyms, quality, token_counts, toxicity, vector_codes, warc
 from concord.llm.store import fold, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,72 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), in_fold(10, 0))
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+shared AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 3),
+marked AS (SELECT r, doc_id, pos, line, shared.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM l LEFT JOIN shared USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _codes_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """The rounds one after the other: parts to their nearest entries, entries to the floor of their parts' means."""
+    # the parts first, then a table of entries for each round
+    steps = [f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+x AS MATERIALIZED (SELECT r, p, j, v[p * (len(v) // {parts}) + j + 1] AS c FROM k, range({parts}) AS a(p), range((SELECT max(len(v)) FROM k) // {parts}) AS b(j)),
+e0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, c FROM x WHERE r <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT r, p, e, sum((x.c - e{i}.c) * (x.c - e{i}.c))::BIGINT AS d FROM x JOIN e{i} USING (p, j) GROUP BY r, p, e) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (SELECT p, e, j, sum(c) AS s, count(*) AS n FROM x JOIN a{i} USING (r, p) GROUP BY p, e, j),
+e{i + 1} AS MATERIALIZED (SELECT p, e, j, CASE WHEN n IS NULL THEN c ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS c FROM e{i} LEFT JOIN m{i} USING (p, e, j))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) FROM e{rounds}) AS codebooks_sha256
+FROM k JOIN (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r) USING (r)
+"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_name(books)).alias("codebooks_sha256"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END)
+        || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+    FROM f LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s AS (SELECT filter_order, i AS step, filter_order[i] AS filter, filter_order[:i - 1] AS before FROM o, range(1, 6) AS u(i)),
+k AS (SELECT part, filter_order, step, filter, n, n_good, n_toxic, fails, contains(fails, filter) AS f,
+        len(regexp_replace(before, '[^' || CASE WHEN fails = '' THEN '-' ELSE fails END || ']', '', 'g')) > 0 AS earlier FROM m, s),
+c AS (SELECT part, filter_order, step, any_value(filter) AS filter, coalesce(sum(n) FILTER (NOT f AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (f AND NOT earlier), 0) AS removed,
+        coalesce(sum(n) FILTER (f AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+        coalesce(sum(n_good) FILTER (f AND NOT earlier), 0) AS good_lost, coalesce(sum(n_toxic) FILTER (f AND NOT earlier), 0) AS toxic_lost FROM k GROUP BY 1, 2, 3)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM c
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.masks(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(masks, table(spark, sf_dir, "labels"))

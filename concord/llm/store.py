@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from concord.runtime import materialize, shared_folder
 
-__all__ = ["add_rows", "fold", "materialize", "new_folder", "partitions_for", "small_batches"]
+__all__ = ["add_rows", "fold", "join_shared", "materialize", "new_folder", "partitions_for", "small_batches"]
 
 BATCH_BYTES = 4 << 20
 
@@ -37,6 +37,19 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+HOT = 1024
+
+
+def join_shared(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str) -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, one row for each of its ``keys``, none null; ``n`` names its column of how many rows have the key.
+
+    Keys of more than 1 / HOT of the ``total`` rows are fewer than HOT: these are broadcast, so the rows of a key that
+    holds a third of the table are not sent to one task. The others are shuffled. Column ``n`` is left out.
+    """
+    hot, cold = F.broadcast(table.filter(F.col(n) * HOT > total).drop(n)), table.filter(F.col(n) * HOT <= total).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, how))
+
+
 def add_rows(rows: DataFrame, kind: type = np.int64, blocks: int = 1) -> dict[int, np.ndarray]:
     """Sums of the arrays in (block int, sums binary) rows, by block.
 
