@@ -10,7 +10,7 @@ fractional document, and these are combined over a reduction tree of fan-in ``FA
 random numbers come from hashes of the rows and ``seed``, not from partitions or tasks, so reruns agree.
 
 Sizes are counts of ``[^\\x20\\x09-\\x0D]+`` (null: 0). Documents without words are not taken. Sources without
-words have target 0. Identical rows are interchangeable.
+words have target 0.
 """
 
 from __future__ import annotations
@@ -109,6 +109,11 @@ def _round_group(seed: int, level: int, last: bool):
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, source, row, size, source_size, target, copies) of every row; ``row`` is a hash of id and text."""
     sizes = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("row"), word_count().alias("size")))
+    return _rounded(sizes, weights, cap, seed, bucket_rows)
+
+
+def _rounded(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``sizes`` (doc_id, source, row, size and more) with source_size, target and copies."""
     targets = materialize(source_targets(sizes, weights, cap))
     due = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # whole copies that are a rounding error away count as whole
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
     o = F.xxhash64(F.col("row"), F.lit(seed))
     rows = (
         sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select("doc_id", "source", "row", "size", "source_size", "target", whole.cast("long").alias("copies"),
+        .select(*sizes.columns, "source_size", "target", whole.cast("long").alias("copies"),
                 F.greatest(due - whole, F.lit(0.0)).alias("p"), o.alias("o"), F.pmod(o, buckets).alias("bucket"), F.lit(True).alias("open"))
     )
     most = targets.agg(F.max(F.ceil(F.col("n_rows") / bucket_rows))).first()[0] or 1
@@ -134,17 +139,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "row", "size", "source_size", "target", "copies")
+    return out.select(*sizes.columns, "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken. Identical rows are told apart by nothing, so one of them stands for all their copies."""
-    taken = mix(docs, **options).groupBy("row", "doc_id", "source").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    key = lambda row, doc, source: F.xxhash64(row, doc, source, doc.isNull(), source.isNull())
-    taken = taken.select(key(F.col("row"), F.col("doc_id"), F.col("source")).alias("__key"), F.col("copies").alias("__copies"))
-    # the document's own columns stay together, so none clashes with these; one key serves both the choice and the join
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), key(F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("source")).alias("__key")
+    """The mix itself: rows of ``docs``, each as often as it is taken, numbered by ``copy_number``.
+
+    Rows are numbered and written once, so each is taken by itself: rows that agree in some or in all columns are
+    different rows. The random order comes from a hash of all columns that can be hashed, so reruns agree.
+    """
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # the document's own columns stay together, so none clashes with these
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("row"), F.monotonically_increasing_id().alias("id")
     )
-    joined = keyed.dropDuplicates(["__key"]).join(taken, "__key")
-    return joined.select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_number"))
+    own = materialize(own)
+    sizes = own.select(F.col("__doc.doc_id").alias("doc_id"), F.col("__doc.source").alias("source"), "row", word_count("__doc.text").alias("size"), "id")
+    taken = _rounded(materialize(sizes), **options).filter("copies > 0").select("id", "copies")
+    return own.join(taken, "id").select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_number"))

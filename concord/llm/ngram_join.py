@@ -47,6 +47,8 @@ CLASSES = 128
 PIVOTS = 16
 LEAF = 8
 SALTS = 16
+SLICE_BYTES = 1 << 18  # of text whose words are in a task's memory together
+STEPS = 1000
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,10 +112,10 @@ def _slot_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SLOTS), dtype=np.int64)
         for batch in batches:
-            for _, data, offsets in words.slices(batch, 0):
+            for _, data, offsets in words.slices(batch, 0, SLICE_BYTES):
                 h, _, _ = shingles(data, offsets, width)
-                total[0] += np.bincount(_slot(h), minlength=SLOTS)
-                total[1] += np.bincount(_slot(words.split(data, offsets).hash), minlength=SLOTS)
+                np.add.at(total[0], _slot(h), 1)
+                np.add.at(total[1], _slot(words.split(data, offsets).hash), 1)
         rows = total.reshape(-1, BLOCK)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["block", "sums"])
@@ -121,11 +123,16 @@ def _slot_counts(width: int):
     return run
 
 
-def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """(2 x SLOTS) occurrences of shingles and of words in all texts, by hash slot; as many numbers for any corpus."""
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of STEPS to a doubling, in two bytes each; only their order is used."""
+    return np.rint(np.log2(1.0 + counts) * STEPS).astype(np.uint16)
+
+
+def slot_levels(docs: DataFrame, width: int) -> np.ndarray:
+    """(2 x SLOTS) levels of the occurrences of shingles and of words in all texts, by hash slot; as many numbers for any corpus."""
     parts = docs.select("text").mapInArrow(_slot_counts(width), "block int, sums binary")
-    out = np.zeros((2 * SLOTS // BLOCK, BLOCK), dtype=np.int64)
-    for block, sums in add_rows(parts, blocks=len(out)).items():
+    out = np.zeros((2 * SLOTS // BLOCK, BLOCK), dtype=np.uint16)
+    for block, sums in add_rows(parts, blocks=len(out), finish=_level, out=np.uint16).items():
         out[block] = sums
     return out.reshape(2, SLOTS)
 
@@ -138,12 +145,12 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     A task gives the keys of a point once, with its first document of that set.
     """
-    common = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, width))
+    common = docs.sparkSession.sparkContext.broadcast(slot_levels(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for rows, data, offsets in words.slices(batch, 1):
+            for rows, data, offsets in words.slices(batch, 1, SLICE_BYTES):
                 h, at, least = shingle_sets(data, offsets, width, common.value[1])
                 n = np.diff(at)
                 point = np.zeros(len(n), dtype=np.uint64)
@@ -256,7 +263,7 @@ class _Space:
         chosen = materialize(missing.join(self.known, "point").select("point", "id", "row"))
         texts = self.docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("row"), "text")
         # names of documents are as many as documents: the texts are shuffled to them at any size, none go through the driver
-        loaded = texts.join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run), "point long, shingles array<long>")
+        loaded = texts.join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run, 1, SLICE_BYTES), "point long, shingles array<long>")
         # a repeated row gives its point's set twice
         loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")))
         self.sets = loaded if self.sets is None else self.sets.unionByName(loaded)

@@ -234,17 +234,26 @@ def pattern_of(text: str) -> str:
     return _once(ibans, "iban", _once(cards, "card", joined))
 
 
-def pseudonymise(docs: DataFrame, key: str = "test key", text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with the personal data of ``text`` replaced; all columns and rows are kept.
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, or it with underscores behind, whatever columns there are."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
-    ``count`` names a further column for the number of values that changed.
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with the personal data of ``text`` replaced under the secret ``key``; all columns and rows are kept.
+
+    ``count`` names a further column for the number of values that changed. Columns may have any names.
     """
+    pattern, found, new, gaps = (_unused(name, docs.columns) for name in ("__pattern", "__found", "__new", "__gaps"))
     # expressions that are used twice get a projection of their own, behind which the optimiser does not repeat them
-    staged = docs.withColumn("__pattern", F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN {pattern_of(text)} END"))
-    staged = staged.withColumn("__found", F.expr(f"CASE WHEN __pattern IS NOT NULL THEN regexp_extract_all({text}, __pattern, 0) ELSE array() END"))
-    staged = staged.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    staged = staged.withColumn("__gaps", F.expr(f"CASE WHEN size(__found) > 0 THEN split({text}, __pattern, -1) END"))
-    joined = F.expr("array_join(transform(arrays_zip(__gaps, __new), x -> concat(x.__gaps, coalesce(x.__new, ''))), '')")
-    out = F.when(F.size("__found") > 0, joined).otherwise(F.col(text))
-    changed = F.expr("size(filter(arrays_zip(__found, __new), x -> x.__found <> x.__new))")
+    staged = docs.withColumn(pattern, F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN {pattern_of(text)} END"))
+    staged = staged.withColumn(found, F.expr(f"CASE WHEN {pattern} IS NOT NULL THEN regexp_extract_all({text}, {pattern}, 0) ELSE array() END"))
+    staged = staged.withColumn(new, F.expr(f"transform({found}, m -> {pseudonym('m', key)})"))
+    staged = staged.withColumn(gaps, F.expr(f"CASE WHEN size({found}) > 0 THEN split({text}, {pattern}, -1) END"))
+    joined = F.expr(f"array_join(transform(arrays_zip({gaps}, {new}), x -> concat(x.{gaps}, coalesce(x.{new}, ''))), '')")
+    out = F.when(F.size(found) > 0, joined).otherwise(F.col(text))
+    changed = F.expr(f"size(filter(arrays_zip({found}, {new}), x -> x.{found} <> x.{new}))")
     return staged.select(*[out.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], *([changed.alias(count)] if count else []))

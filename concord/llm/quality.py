@@ -182,13 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
     def features(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         x = pooled(data, offsets, shared.value)
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "o", "x"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "o", "x"])
 
     sample = labelled_sample(docs, labels, label, usable, max_labelled)
     # repeated ids of documents: one of each, so the bound on rows holds
-    table = sample.mapInArrow(words.map_slices(features, limit=POOL_BYTES), "doc_id long, y int, o long, x array<double>")
+    table = sample.mapInArrow(words.map_slices(features, limit=POOL_BYTES), "doc_id long, y int, o long, x binary")
     rows = sorted(table.groupBy("doc_id", "y", "o").agg(F.min("x").alias("x")).collect(), key=lambda r: (r["o"], r["doc_id"]))
-    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), 2 * dims)
+    shared.destroy()
+    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float64).reshape(len(rows), 2 * dims)
     return vectors, fit_network(x, np.array([r["y"] for r in rows], dtype=np.float64))
 
 

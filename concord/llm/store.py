@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,10 @@ def join_shared(rows: DataFrame, table: DataFrame, keys: list[str], n: str, tota
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, how))
 
 
-def add_rows(rows: DataFrame, kind: type = np.int64, blocks: int = 1) -> dict[int, np.ndarray]:
-    """Sums of the arrays in (block int, sums binary) rows, by block.
+def add_rows(
+    rows: DataFrame, kind: type = np.int64, blocks: int = 1, finish: Callable[[np.ndarray], np.ndarray] | None = None, out: type | None = None
+) -> dict[int, np.ndarray]:
+    """Sums of the arrays in (block int, sums binary) rows, by block; ``finish`` turns a sum into an array of kind ``out`` where it is summed.
 
     Tasks send arrays of one fixed size for a fixed set of blocks, and the sums are as large: a model that the
     driver may hold whatever the input. A summing task holds one array for each of its blocks.
@@ -63,8 +65,10 @@ def add_rows(rows: DataFrame, kind: type = np.int64, blocks: int = 1) -> dict[in
             for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(sums, dtype=kind)
                 held[block] = held[block] + part if block in held else part
+        if finish is not None:
+            held = {block: finish(v) for block, v in held.items()}
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "sums"])
 
     summed = rows.repartition(max(1, min(partitions_for(rows), blocks)), "block").mapInArrow(run, "block int, sums binary")
-    return {block: np.frombuffer(sums, dtype=kind) for block, sums in summed.collect()}
+    return {block: np.frombuffer(sums, dtype=out or kind) for block, sums in summed.collect()}

@@ -162,3 +162,12 @@ def test_mixture_of_odd_rows(clashing, no_docs):
     assert out.columns == [*clashing.columns, "copy_number"]
     assert out.count() == sum(r.copies for r in got)
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
+
+
+def test_rows_that_agree_are_taken_each_by_itself(spark):
+    # two rows that differ in one column only, and two that agree in all
+    rows = [(1, "a b c", "en", "s"), (1, "a b c", "de", "s"), (2, "d e f", "en", "s"), (2, "d e f", "en", "s"), (3, "x " * 12, "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(docs, weights=(1,)).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == sorted((r[0], r[2]) for r in rows)
+    assert all(r["copy_number"] == 1 for r in got)

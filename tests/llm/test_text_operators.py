@@ -170,13 +170,20 @@ def test_permutations_are_one_to_one(spark):
 
 
 def test_columns_and_rows_are_kept(clashing, no_docs):
-    out = pseudonyms.pseudonymise(clashing, count="changed")
+    out = pseudonyms.pseudonymise(clashing, "k", count="changed")
     assert out.columns == [*clashing.columns, "changed"] and out.count() == clashing.count()
-    assert pseudonyms.pseudonymise(no_docs).count() == 0
+    assert pseudonyms.pseudonymise(no_docs, "k").count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_columns_named_as_the_operators_own_stay(spark):
+    names = ("__pattern", "__found", "__new", "__gaps", "__FOUND_")
+    df = spark.createDataFrame([(1, "write to ada@example.org now")], "doc_id long, text string").select("*", *[F.lit("kept").alias(n) for n in names])
+    row = pseudonyms.pseudonymise(df, "k").first()
+    assert [row[n] for n in names] == ["kept"] * len(names) and "ada@example.org" not in row["text"]
+
+
 # ------------------------------------------------------------------ language model
 
 
