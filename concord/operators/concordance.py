@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.operators.consensus import ari_from_sums
-from concord.runtime import bounded_rows
+from concord.operators.similarity import block_join
+from concord.runtime import bounded_rows, materialize
 
 MAX_CELLS = 16_000
+# an item of up to so many labels is a row for each subset of them
+SUBSET_LABELS = 10
+LABEL_COLUMNS = 2048
 
 
 def _c2(n: Column) -> Column:
@@ -371,16 +376,19 @@ def pair_intermediacy_any(items: DataFrame) -> DataFrame:
     """As :func:`pair_intermediacy` with a label array in ``theory``: together if arrays meet.
 
     Two arrays meet in as many ways as they share subsets, so counting the pairs of every label
-    subset, with the sign of its size, counts each meeting pair once (inclusion and exclusion).
-    An item is one row per subset of its few labels; no pair is formed.
+    subset, with the sign of its size, counts each meeting pair once (inclusion and exclusion):
+    a row per subset for items of up to ``SUBSET_LABELS`` labels. Distinct arrays of more labels
+    meet the others in blocks, which return four sums. No pair is written in either form.
     """
     theory = F.array_sort(F.array_distinct(F.filter("theory", lambda x: x.isNotNull())))
-    full = items.groupBy(F.coalesce(theory, F.array().cast(items.schema["theory"].dataType)).alias("theory"), "empirical", "detected").agg(
-        F.count(F.lit(1)).cast("double").alias("n")
+    full = materialize(
+        items.groupBy(F.coalesce(theory, F.array().cast(items.schema["theory"].dataType)).alias("theory"), "empirical", "detected")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
+    labels = F.size("theory")
+    few, many = full.filter((labels > 0) & (labels <= SUBSET_LABELS)), full.filter(labels > SUBSET_LABELS)
     subsets = F.expr("transform(sequence(1, shiftleft(1, size(theory)) - 1), b -> filter(theory, (x, i) -> shiftright(b, i) & 1 = 1))")
-    listed = full.filter(F.size("theory") > 0).select(F.explode(subsets).alias("s"), "empirical", "detected", "n")
-    listed = listed.groupBy("s", "empirical", "detected").agg(F.sum("n").alias("n"))
+    listed = few.select(F.explode(subsets).alias("s"), "empirical", "detected", "n").groupBy("s", "empirical", "detected").agg(F.sum("n").alias("n"))
 
     def pairs(table: DataFrame, sets: dict[str, list[str]], sign: Column) -> DataFrame:
         wide = table.withColumns({f"n_{k}": F.sum("n").over(Window.partitionBy(*cols)) for k, cols in sets.items()})
@@ -392,9 +400,64 @@ def pair_intermediacy_any(items: DataFrame) -> DataFrame:
             out.append(F.coalesce(F.sum(F.when(known, sign * F.col("n") * (F.col(f"n_{k}") - 1) / 2)), F.lit(0.0)).alias(k))
         return wide.agg(*out, _c2(F.coalesce(F.sum("n"), F.lit(0.0))).alias("all"))
 
-    met = pairs(listed, {"t": ["s"], "te": ["s", "empirical"], "td": ["s", "detected"], "ted": ["s", "empirical", "detected"]}, F.when(F.size("s") % 2 == 1, 1.0).otherwise(-1.0))
+    met = pairs(listed, {"t": ["s"], "te": ["s", "empirical"], "td": ["s", "detected"], "ted": ["s", "empirical", "detected"]}, F.when(F.size("s") % 2 == 1, 1.0).otherwise(-1.0)).drop("all")
+    n_many, n_few = many.count(), few.count()
+    if n_many:
+        met = met.unionByName(_meeting_sums(many, many, (n_many, n_many), half=True))
+        if n_few:
+            met = met.unionByName(_meeting_sums(many, few, (n_many, n_few), half=False))
+    met = met.agg(*[F.sum(c).alias(c) for c in met.columns])
     rest = pairs(full, {"e": ["empirical"], "d": ["detected"], "ed": ["empirical", "detected"]}, F.lit(1.0))
-    return _intermediacy_rows(rest.join(F.broadcast(met.drop("all"))))  # two rows of counts
+    return _intermediacy_rows(rest.join(F.broadcast(met)))  # two rows of counts
+
+
+def _meeting(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    """Whether label arrays share a label: products of 0/1 columns, a bounded number of labels at a time."""
+    a, b = left.combine_chunks(), right.combine_chunks()
+    codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.to_numpy()
+    rows_a, rows_b = np.repeat(np.arange(len(a)), np.diff(a.offsets)), np.repeat(np.arange(len(b)), np.diff(b.offsets))
+    codes_a, codes_b = codes[: len(rows_a)], codes[len(rows_a) :]
+    shared = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, int(codes.max(initial=-1)) + 1, LABEL_COLUMNS):
+        sides = []
+        for rows, own, n in ((rows_a, codes_a, len(a)), (rows_b, codes_b, len(b))):
+            here = (own >= at) & (own < at + LABEL_COLUMNS)
+            side = np.zeros((n, LABEL_COLUMNS), dtype=np.float32)
+            side[rows[here], own[here] - at] = 1.0
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    return shared > 0
+
+
+def _equal(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    codes = pa.concat_arrays([left.combine_chunks(), right.combine_chunks()]).dictionary_encode().indices
+    known = codes.fill_null(-1).to_numpy()
+    a, b = known[: len(left)], known[len(left) :]
+    return (a[:, None] == b[None, :]) & (a >= 0)[:, None]
+
+
+def _meeting_sums(left: DataFrame, right: DataFrame, sizes: tuple[int, int], half: bool) -> DataFrame:
+    """(t, te, td, ted): weighted pairs whose arrays meet, also with equal labels on the other sides; ``half`` is for a set with itself."""
+    named = lambda df: df.withColumn("id", F.xxhash64("theory", "empirical", "detected"))
+
+    def kernel(key, lt, rt):
+        n_l, n_r = lt["n"].to_numpy(), rt["n"].to_numpy()
+        # a block with itself has each pair twice, and each row with itself
+        twice = half and key[-2].as_py() == key[-1].as_py()
+        met = _meeting(lt["theory"], rt["theory"])
+        same = {"e": _equal(lt["empirical"], rt["empirical"]), "d": _equal(lt["detected"], rt["detected"])}
+        known = {s: lt[c].is_valid().to_numpy() for s, c in (("e", "empirical"), ("d", "detected"))}
+        out = {}
+        for name in ("t", "te", "td", "ted"):
+            together, own = met, np.ones(len(n_l), dtype=bool)
+            for s in name[1:]:
+                together, own = together & same[s], own & known[s]
+            total = float(n_l @ (together @ n_r))
+            out[name] = [(total - float(n_l[own].sum())) / 2 if twice else total]
+        return pa.table(out)
+
+    sums = block_join(named(left), named(right), kernel, "t double, te double, td double, ted double", sizes=sizes, half=half)
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums.columns])
 
 
 def _intermediacy_rows(base: DataFrame) -> DataFrame:

@@ -302,6 +302,17 @@ def pair_intermediacy_any_factor(spark, sf_dir):
     return L.pair_intermediacy_any(_three(spark, sf_dir).join(every, "id")).withColumn("share", r6("share"))
 
 
+# customers under the suppliers that they buy from: some forty labels each
+@query(f"""WITH x AS (SELECT o_custkey AS id, list(DISTINCT l_suppkey) AS theory, any_value(c_nationkey) AS empirical, any_value(c_mktsegment) AS detected
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+    pr AS (SELECT list_has_any(i.theory, j.theory) AS t, i.empirical = j.empirical AS e, i.detected = j.detected AS d FROM x i JOIN x j ON i.id < j.id) {_pair_rows('pr')}""")
+def pair_intermediacy_many_labels(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = lines.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("l_suppkey").alias("theory"))
+    sides = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("empirical"), F.col("c_mktsegment").alias("detected"))
+    return L.pair_intermediacy_any(bought.join(sides, "c_custkey")).withColumn("share", r6("share"))
+
+
 def _three(spark, sf_dir):
     p = _empirical(spark, sf_dir).select("id", F.col("label").alias("empirical"))
     return detected(spark, sf_dir).select("id", F.col("label").alias("detected")).join(p, "id")

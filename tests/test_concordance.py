@@ -144,3 +144,25 @@ def test_fisher_table_pools_raters(spark):
     row = L.fisher_table(df, ["r1", "r2"], "ref", "grp", ("p", "e")).first()
     assert (row["first_disagree"], row["first_agree"], row["second_disagree"], row["second_agree"]) == (1, 2, 1, 1)
     assert row["odds_ratio"] == pytest.approx(0.5) and row["p_value"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("sizes", [(1, 32), (2, 40, 12), (15,)])
+def test_pairs_of_items_of_any_number_of_labels(spark, sizes):
+    rng = np.random.default_rng(7)
+    theory = [sorted({int(v) for v in rng.integers(0, 90, size=sizes[i % len(sizes)])}) for i in range(60)]
+    theory[3], theory[4] = [], theory[5]
+    emp, det = ([None if v == 3 else int(v) for v in rng.integers(0, 4, size=60)] for _ in range(2))
+    df = spark.createDataFrame([(i, theory[i], emp[i], det[i]) for i in range(60)], "id int, theory array<int>, empirical int, detected int")
+    got = {r["quantity"]: r["n"] for r in L.pair_intermediacy_any(df.repartition(3)).collect()}
+    same = lambda x, i, j: x[i] is not None and x[i] == x[j]
+    rows = [(bool(set(theory[i]) & set(theory[j])), same(emp, i, j), same(det, i, j)) for i, j in itertools.combinations(range(60), 2)]
+    assert got["together_theory"] == sum(t for t, _, _ in rows)
+    assert got["consensus_together"] == sum(t and e for t, e, _ in rows)
+    assert got["consensus_together_kept"] == sum(t and e and d for t, e, d in rows)
+    assert got["resolved_to_theory"] == sum(t != e and d == t for t, e, d in rows)
+
+
+def test_an_item_of_32_labels_meets_two_of_one(spark):
+    rows = [(1, list(range(32)), 1, 1), (2, [0], 2, 2), (3, [31], 3, 3)]
+    df = spark.createDataFrame(rows, "id int, theory array<int>, empirical int, detected int")
+    assert {r["quantity"]: r["n"] for r in L.pair_intermediacy_any(df).collect()}["together_theory"] == 2
