@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -961,17 +961,6 @@ def select_grid(results: DataFrame) -> DataFrame:
     return results.agg(F.max_by(F.struct(*results.columns), order).alias("r")).select("r.*")
 
 
-def spectral(items: DataFrame, k: int, neighbours: int = 10, max_iter: int = 30) -> DataFrame:
-    """(id, label): power-iteration clustering on the clipped, symmetric neighbour graph."""
-    near = topk_similar(items, items, neighbours, min_sim=1e-9, exclude_same=True)
-    edges = near.select(
-        F.least("left_id", "right_id").alias("src"), F.greatest("left_id", "right_id").alias("dst"), "sim"
-    ).groupBy("src", "dst").agg(F.max("sim").alias("weight"))
-    return PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", weightCol="weight").assignClusters(
-        edges
-    ).select("id", F.col("cluster").alias("label"))
-
-
 def extend_warm_start(old: DataFrame, new: DataFrame, centroids: DataFrame, max_iter: int = 300) -> DataFrame:
     """(id, label): Lloyd from given centroids on old and new items, old labels then restored.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.operators import consensus as C
+from concord.operators import spectral as SP
 from concord.operators.centroid import averaged_concepts as average_two
 from concord.operators.centroid import concept_texts as concept_text_rows
 from concord.operators.centroid import group_centroids
@@ -158,7 +159,32 @@ def best_grid_setting(spark, sf_dir):
 
 @query()
 def spectral_clusters(spark, sf_dir):
-    return C.spectral(items(spark, sf_dir).select("id", "vec"), 3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """The neighbour graph of all items, cut into as many clusters as the widest gap of its spectrum says."""
+    e = items(spark, sf_dir).select("id", "vec")
+    found, pairs, k = SP.spectral_clusters(SP.neighbour_edges(e), e.select("id"))
+    return found.withColumn("k", F.lit(k)).withColumn("gap", r6(F.lit(SP.eigengap(pairs.values, 2, 10)[1])))
+
+
+# nations that trade: what customers of one order from suppliers of the other, in thousands of lines
+@query("""WITH t AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) / 1000.0::DOUBLE AS w
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+    m AS (SELECT a AS i, b AS j, w FROM t UNION ALL SELECT b, a, w FROM t UNION ALL SELECT n_nationkey, n_nationkey, 1.0::DOUBLE FROM nation), d AS (SELECT i, sqrt(sum(w)) AS d FROM m GROUP BY i),
+    x AS (SELECT m.i, m.j, w / (p.d * q.d) AS w FROM m JOIN d p ON m.i = p.i JOIN d q ON m.j = q.i), y AS (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM x a JOIN x b ON a.j = b.i GROUP BY 1, 2)
+    SELECT (SELECT count(*) FROM nation) AS n_values, (round((SELECT sum(w) FROM x WHERE i = j), 6) + 0.0) AS trace, (round((SELECT sum(w * w) FROM x), 6) + 0.0) AS squares,
+    (round((SELECT sum(x.w * y.w) FROM x JOIN y USING (i, j)), 6) + 0.0) AS cubes, (round((SELECT sum(w * w) FROM y), 6) + 0.0) AS fourth, 1.0::DOUBLE AS largest, true AS converged""")
+def spectral_moments(spark, sf_dir):
+    """Sums of powers of all eigenvalues are traces of powers of the matrix."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = lines.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg((F.count(F.lit(1)) / 1000.0).alias("weight"))
+    links, roots = SP.normalised(edges, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")))
+    pairs = SP.leading_eigenpairs(links, roots, 25)
+    rows = spark.createDataFrame([(float(v), float(x)) for v, x in zip(pairs.values, pairs.residuals)], "v double, residual double")
+    v = F.col("v")
+    return rows.agg(
+        F.count(v).alias("n_values"), r6(F.sum(v)).alias("trace"), r6(F.sum(v * v)).alias("squares"), r6(F.sum(v * v * v)).alias("cubes"), r6(F.sum(v * v * v * v)).alias("fourth"),
+        r6(F.max(v)).alias("largest"), (F.max("residual") < 1e-6).alias("converged"),
+    )
 
 
 @query(f"""WITH RECURSIVE {E}, {centroid_cte('start', 'e', 'label', 'label < 5')},

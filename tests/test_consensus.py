@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import consensus as C
+from concord.operators.spectral import neighbour_edges, spectral_clusters
 from concord.operators.spectrum import mix64
 
 
@@ -185,9 +186,9 @@ def test_strategies_find_the_blobs(make_items, spark):
 
 
 def test_spectral_separates_blocks(make_items, rng):
-    """Power iteration is approximate: nearly all items on their side is enough."""
     x = np.concatenate([rng.normal(size=(30, 3)) * 0.1 + [1, 0, 0], rng.normal(size=(15, 3)) * 0.3 + [0, 0, 1]])
-    got = {r["id"]: r["label"] for r in C.spectral(make_items(x), 2, neighbours=8).collect()}
+    items = make_items(x)
+    got = {r["id"]: r["label"] for r in spectral_clusters(neighbour_edges(items, 8), items.select("id"), k=2)[0].collect()}
     side = np.array([got[i] for i in range(45)])
     hits = (side[:30] == side[0]).sum() + (side[30:] == 1 - side[0]).sum()
     assert max(hits, 45 - hits) >= 40
