@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.graph import components, forest
+from concord.operators.linkage import FINISH_CLUSTERS, average_merges, finish_linkage
 from concord.operators.similarity import block_join, ordered_once, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
 from concord.runtime import MODEL_ROW_LIMIT, bounded_rows, broadcast_if_small, fits, materialize
@@ -30,7 +31,6 @@ SUB_BATCH = 1024
 MODEL_RUNS = 100_000
 MODEL_CELLS = 2_000_000
 RUN_GROUP = 100
-FINISH_CLUSTERS = 64
 
 
 # ------------------------------------------------------------------ k-means
@@ -522,8 +522,7 @@ def average_linkage(profiles: DataFrame) -> DataFrame:
 
     The average co-association of two clusters is the inner product of their mean one-hot
     profiles, so a cluster is one vector and no pair table exists. Items with the same
-    profile merge first, at 1.0. Each round merges all reciprocal nearest neighbours,
-    which for average linkage gives the sequential dendrogram.
+    profile merge first, at 1.0; the rest is :func:`average_merges`.
     """
     labels = profiles.select(F.explode(F.array_distinct("labels")).alias("label")).distinct()
     codes = sorted(r["label"] for r in labels.collect())  # at most k values
@@ -537,65 +536,7 @@ def average_linkage(profiles: DataFrame) -> DataFrame:
         profiles.groupBy("labels").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
         .select("id", one_hot.alias("vec"), "size")
     )
-    return _agglomerate_profiles(active)
-
-
-def _agglomerate_profiles(active: DataFrame) -> DataFrame:
-    spark = active.sparkSession
-    id_type = active.schema["id"].dataType
-    merges, step = None, 0
-    schema = T.StructType(
-        [T.StructField("child", id_type), T.StructField("parent", id_type), T.StructField("sim", T.DoubleType()),
-         T.StructField("step", T.LongType())]
-    )
-    while (n := active.count()) > FINISH_CLUSTERS:
-        vec = active.select("id", "vec")
-        nearest = topk_similar(vec, vec, 1, metric="dot", exclude_same=True, sizes=(n, n))
-        back = nearest.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
-        pairs = nearest.join(back, ["left_id", "right_id"]).filter("left_id < right_id").select(
-            F.col("right_id").alias("id"), F.col("left_id").alias("parent"), "sim"
-        )
-        moved = active.select("id", "vec", "size").join(pairs, "id", "left").select(
-            F.coalesce("parent", "id").alias("id"), "vec", "size", F.when(F.col("parent").isNotNull(), F.col("id")).alias("child"), "sim"
-        )
-        # one table per round: the new clusters, each naming the cluster it took in
-        active = materialize(
-            moved.groupBy("id").agg(
-                vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("size").cast("double"))).alias("vec"),
-                F.sum("size").alias("size"), F.max("child").alias("child"), F.max("sim").alias("sim"),
-            )
-        )
-        taken = active.filter("child is not null").select("child", F.col("id").alias("parent"), "sim", F.lit(step).cast("long").alias("step"))
-        merges = taken if merges is None else merges.unionByName(taken)
-        step += 1
-    # at most FINISH_CLUSTERS cluster profiles remain: the top of the dendrogram
-    rows = sorted(active.collect(), key=lambda r: r["id"])
-    vec = np.array([r["vec"] for r in rows])
-    top = _finish_linkage([r["id"] for r in rows], np.array([r["size"] for r in rows]), vec @ vec.T, "average", step, -np.inf)
-    top = spark.createDataFrame(top, schema)
-    return top if merges is None else merges.unionByName(top)
-
-
-def _finish_linkage(ids: list, sizes: np.ndarray, sims: np.ndarray, linkage: str, step: int, floor: float) -> list[tuple]:
-    """Sequential merges of a bounded remainder of clusters, while similarity exceeds ``floor``."""
-    s, n = np.array(sims, dtype=float), sizes.astype(float)
-    np.fill_diagonal(s, -np.inf)
-    out = []
-    for _ in range(len(ids) - 1):
-        flat = int(np.where(np.tri(len(ids), dtype=bool), -np.inf, np.round(s, 9)).argmax())
-        i, j = divmod(flat, len(ids))
-        if not s[i, j] > floor:
-            break
-        out.append((ids[j], ids[i], float(round(s[i, j], 9)), step))
-        joined = {
-            "average": (s[i] * n[i] + s[j] * n[j]) / (n[i] + n[j]), "complete": np.minimum(s[i], s[j]),
-        }[linkage]
-        s[i, :], s[:, i] = joined, joined
-        s[j, :], s[:, j] = -np.inf, -np.inf
-        s[i, i] = -np.inf
-        n[i] += n[j]
-        step += 1
-    return out
+    return average_merges(active)
 
 
 def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
@@ -624,7 +565,7 @@ def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
             sims, sizes = np.zeros((len(ids), len(ids))), np.ones(len(ids))
             for r in rows:
                 sims[at[r["a"]], at[r["b"]]], sizes[at[r["a"]]] = r["sim"], r["na"]
-            top = nodes.sparkSession.createDataFrame(_finish_linkage(ids, sizes, sims, linkage, step, 0.0), schema)
+            top = nodes.sparkSession.createDataFrame(finish_linkage(ids, sizes, sims, linkage, step, 0.0), schema)
             return top if merges is None else merges.unionByName(top)
         best = active.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("minus"), F.col("b"))).alias("t")).select(
             "a", F.col("t.b").alias("b"), (-F.col("t.minus")).alias("sim")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +37,42 @@ def _local_folder(application_id: str) -> str:
     return tempfile.mkdtemp(prefix=f"concord-{application_id}-")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+# folders of the tables that each open block of ``intermediate_tables`` has written
+_open_blocks: list[list[str]] = []
+
+
+def materialize(df: DataFrame, result: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Unlike cached blocks the table survives lost executors, and its file sizes
-    give the planner real statistics for the next join.
+    give the planner real statistics for the next join. ``result`` names a table
+    that stays when the block of :func:`intermediate_tables` around it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/concord-{uuid.uuid4().hex}"
+    # the result of a block is an intermediate table of the block around it
+    around = _open_blocks[:-1] if result else _open_blocks
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes inside the block when it ends, but for its results.
+
+    What the block returns must stand on its results alone: they are written by then, so no job needs the others.
+    """
+    _open_blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open_blocks.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fits(df: DataFrame, limit: int = MODEL_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit
