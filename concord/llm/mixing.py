@@ -145,15 +145,16 @@ def _rounded(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, numbered by ``copy_number``.
 
-    Rows are numbered and written once, so each is taken by itself: rows that agree in some or in all columns are
-    different rows. The random order comes from a hash of all columns that can be hashed, so reruns agree.
+    A row is named by 128 bits of hashes of all its columns, but for maps, and of which of them are null. Rows that agree in
+    all of these are interchangeable: one of them stands for all their copies.
     """
-    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    # the document's own columns stay together, so none clashes with these
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("row"), F.monotonically_increasing_id().alias("id")
-    )
-    own = materialize(own)
-    sizes = own.select(F.col("__doc.doc_id").alias("doc_id"), F.col("__doc.source").alias("source"), "row", word_count("__doc.text").alias("size"), "id")
-    taken = _rounded(materialize(sizes), **options).filter("copies > 0").select("id", "copies")
-    return own.join(taken, "id").select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_number"))
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = [*own, *[c.isNull() for c in own]]
+    name = [F.xxhash64(*whole).alias("row"), F.xxhash64(F.lit(1), *whole).alias("row_2")]
+    sizes = materialize(docs.select("doc_id", "source", *name, word_count().alias("size")))
+    taken = _rounded(sizes, **options).groupBy("row", "row_2").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = taken.select(F.col("row").alias("__row"), F.col("row_2").alias("__row_2"), F.col("copies").alias("__copies"))
+    # the document's own columns stay together, so none clashes with these; the names serve both the choice and the join
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), name[0].alias("__row"), name[1].alias("__row_2"))
+    joined = keyed.dropDuplicates(["__row", "__row_2"]).join(taken, ["__row", "__row_2"])
+    return joined.select("__doc.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_number"))

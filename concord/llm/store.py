@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.runtime import materialize, shared_folder
+from concord.runtime import intermediate_tables, materialize, shared_folder
 
-__all__ = ["add_rows", "fold", "join_shared", "materialize", "new_folder", "partitions_for", "small_batches"]
+__all__ = ["add_rows", "fold", "intermediate_tables", "join_shared", "materialize", "new_folder", "partitions_for", "small_batches"]
 
 BATCH_BYTES = 4 << 20
 
