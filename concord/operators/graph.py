@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.runtime import materialize
+from concord.runtime import intermediate_tables, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,21 +16,22 @@ def components(links: DataFrame) -> DataFrame:
     of the links by what they point to; links within a node go. A star of any size is one round. Minima are
     aggregated before they are shuffled, and a node of many links is a skewed join of narrow rows at most.
     """
-    edges = materialize(links.select("a", "b").filter("a <> b").distinct())
-    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
-        down = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
-        jump = down.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        to = materialize(down.join(jump, "to").select("node", F.col("further").alias("to")))
-        jump = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        to = materialize(to.join(jump, "to").select("node", F.col("further").alias("to")))
-        labels = materialize(
-            labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        )
-        a, b = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = materialize(edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
+    with intermediate_tables(links.sparkSession):
+        edges = materialize(links.select("a", "b").filter("a <> b").distinct())
+        labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+        while not edges.isEmpty():
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
+            down = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
+            jump = down.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            to = materialize(down.join(jump, "to").select("node", F.col("further").alias("to")))
+            jump = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            to = materialize(to.join(jump, "to").select("node", F.col("further").alias("to")))
+            labels = materialize(
+                labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            )
+            a, b = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+            edges = materialize(edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        return materialize(labels, result=True)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
