@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.operators.graph import components
-from concord.llm.store import add_rows, materialize, partitions_for, small_batches
+from concord.llm.store import add_rows, intermediate_tables, materialize, partitions_for, small_batches
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
@@ -250,7 +250,7 @@ class _Space:
         return joined.filter(self.near_enough(F.col("n_a"), F.col("n_b"), F.col("classes_a"), F.col("classes_b"))).select("a", "b", "n_a", "n_b", *kept)
 
     def _load(self, needed: DataFrame) -> None:
-        """Adds the sets of those ``needed`` points that are not loaded yet."""
+        """Adds the sets of those ``needed`` points that are not loaded yet; they outlast the comparison that needs them first."""
         missing = materialize(needed if self.sets is None else needed.join(self.sets.select("point"), "point", "left_anti"))
         if self.sets is not None and missing.isEmpty():
             return
@@ -265,21 +265,22 @@ class _Space:
         # names of documents are as many as documents: the texts are shuffled to them at any size, none go through the driver
         loaded = texts.join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run, 1, SLICE_BYTES), "point long, shingles array<long>")
         # a repeated row gives its point's set twice
-        loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")))
+        loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")), result=True)
         self.sets = loaded if self.sets is None else self.sets.unionByName(loaded)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of distinct (a, b, n_a, n_b) pairs."""
-        pairs = materialize(pairs)
-        needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
-        self._load(needed)
-        # only the sets of these pairs are moved
-        sets = self.sets.join(needed.hint("merge"), "point", "left_semi")
-        a = sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
-        b = sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
-        shared = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("i"))
-        union = F.col("total") - F.col("i")
-        return materialize(shared.select("a", "b", (1 - F.col("i") / union).alias("distance"), (100 * F.col("i") >= self.percent * union).alias("linked")))
+        with intermediate_tables(pairs.sparkSession):
+            pairs = materialize(pairs)
+            needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
+            self._load(needed)
+            # only the sets of these pairs are moved
+            sets = self.sets.join(needed.hint("merge"), "point", "left_semi")
+            a = sets.select(F.col("point").alias("a"), F.col("shingles").alias("s_a"))
+            b = sets.select(F.col("point").alias("b"), F.col("shingles").alias("s_b"))
+            shared = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("i"))
+            union = F.col("total") - F.col("i")
+            return materialize(shared.select("a", "b", (1 - F.col("i") / union).alias("distance"), (100 * F.col("i") >= self.percent * union).alias("linked")), result=True)
 
 
 def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,64 +296,66 @@ def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, class) of every row of ``docs``; ``class`` names the class whatever its ids, null for empty sets."""
     small_batches(docs)
-    docs = docs.select("doc_id", "text")
-    eps = 1 - percent / 100
-    table = materialize(points(docs, width, percent))
-    space = _Space(docs, table, width, percent)
-    keyed = table.select(F.explode("keys").alias("key"), "point")
-    # ordered rows stream through a task, however many share a key
-    seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, deep boolean")
-    seeds = materialize(seeds.groupBy("pivot", "point").agg(F.count(F.lit(1)).alias("keys"), F.max("deep").alias("deep")))
-    # each point first meets the pivot it shares most keys with: most of a family is then one class, whose other pairs need no sets
-    pairs = materialize(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "keys"), "keys"))
-    nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a", "n_a", "n_b")).alias("best")).select("best.a", "b", "best.n_a", "best.n_b")
-    found = space.compare(nearest)
-    links = found.filter("linked").select("a", "b")
-    known = components(links)
-    rest = pairs
-    for end in ("a", "b"):
-        rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
-    apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
-    others = rest.filter(apart).select("a", "b", "n_a", "n_b").join(found.select("a", "b"), ["a", "b"], "left_anti")
-    more = space.compare(others)
-    links, found = links.unionByName(more.filter("linked").select("a", "b")), found.unionByName(more)
-    near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
-    # a region without the first points of its key, which have met every member
-    members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
-    members = members.join(space.known.select("point", "n", "classes"), "point")
-    count = PIVOTS
-    while True:
-        labels = components(links)
-        members = _live(members, labels)
-        if members.isEmpty():
-            break
-        # pivots come from outside the largest class, whose own pairs are settled; a limited rank, so only so many leave a task
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.col("rest").desc(), F.col("near").asc_nulls_last(), F.xxhash64("point", "region"), "point"))
-        chosen = materialize(members.withColumn("rank", rank).filter((F.col("rank") <= count) & F.col("rest")))
-        p = chosen.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"p_{c}") for c in ("point", "near", "label", "n", "classes")])
-        window = F.col("near").isNull() | F.col("p_near").isNull() | (F.abs(F.col("near") - F.col("p_near")) <= eps + 1e-9)
-        # a large region's members are dealt to several tasks, its few pivots are copied to each
-        met = members.withColumn("salt", F.pmod(F.hash("point"), F.lit(SALTS))).join(p, ["region", "salt"]).filter(
-            (F.col("label") != F.col("p_label")) & window & space.near_enough(F.col("n"), F.col("p_n"), F.col("classes"), F.col("p_classes"))
+    with intermediate_tables(docs.sparkSession):
+        docs = docs.select("doc_id", "text")
+        eps = 1 - percent / 100
+        table = materialize(points(docs, width, percent))
+        space = _Space(docs, table, width, percent)
+        keyed = table.select(F.explode("keys").alias("key"), "point")
+        # ordered rows stream through a task, however many share a key
+        seeds = keyed.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "point").mapInArrow(_pivots, "pivot long, point long, deep boolean")
+        seeds = materialize(seeds.groupBy("pivot", "point").agg(F.count(F.lit(1)).alias("keys"), F.max("deep").alias("deep")))
+        # each point first meets the pivot it shares most keys with: most of a family is then one class, whose other pairs need no sets
+        pairs = materialize(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "keys"), "keys"))
+        nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a", "n_a", "n_b")).alias("best")).select("best.a", "b", "best.n_a", "best.n_b")
+        found = space.compare(nearest)
+        links = found.filter("linked").select("a", "b")
+        known = components(links)
+        rest = pairs
+        for end in ("a", "b"):
+            rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
+        apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
+        others = rest.filter(apart).select("a", "b", "n_a", "n_b").join(found.select("a", "b"), ["a", "b"], "left_anti")
+        more = space.compare(others)
+        links, found = links.unionByName(more.filter("linked").select("a", "b")), found.unionByName(more)
+        near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
+        # a region without the first points of its key, which have met every member
+        members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
+        members = members.join(space.known.select("point", "n", "classes"), "point")
+        count = PIVOTS
+        while True:
+            labels = components(links)
+            members = _live(members, labels)
+            if members.isEmpty():
+                break
+            # pivots come from outside the largest class, whose own pairs are settled; a limited rank, so only so many leave a task
+            rank = F.row_number().over(Window.partitionBy("region").orderBy(F.col("rest").desc(), F.col("near").asc_nulls_last(), F.xxhash64("point", "region"), "point"))
+            chosen = materialize(members.withColumn("rank", rank).filter((F.col("rank") <= count) & F.col("rest")))
+            p = chosen.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"p_{c}") for c in ("point", "near", "label", "n", "classes")])
+            window = F.col("near").isNull() | F.col("p_near").isNull() | (F.abs(F.col("near") - F.col("p_near")) <= eps + 1e-9)
+            # a large region's members are dealt to several tasks, its few pivots are copied to each
+            met = members.withColumn("salt", F.pmod(F.hash("point"), F.lit(SALTS))).join(p, ["region", "salt"]).filter(
+                (F.col("label") != F.col("p_label")) & window & space.near_enough(F.col("n"), F.col("p_n"), F.col("classes"), F.col("p_classes"))
+            )
+            first = F.col("point") < F.col("p_point")
+            pairs = met.select(
+                F.least("point", "p_point").alias("a"), F.greatest("point", "p_point").alias("b"),
+                F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"), F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b"),
+            ).distinct()
+            more = space.compare(pairs)
+            links = links.unionByName(more.filter("linked").select("a", "b"))
+            members = members.join(chosen.select("region", "point"), ["region", "point"], "left_anti")
+            count *= PIVOTS
+        # classes of points, then the smallest id of each class
+        named = space.known.select("point").join(labels.withColumnRenamed("node", "point"), "point", "left").select("point", F.coalesce("component", "point").alias("class"))
+        ids = table.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("least"))
+        named = materialize(named.join(ids, "point"))
+        least = materialize(named.groupBy("class").agg(F.min("least").alias("component_id")))
+        of_point = materialize(named.join(least, "class").select("point", "component_id", "class"))
+        out = table.select("doc_id", "row", "n", "point").join(of_point, "point", "left").select(
+            "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("point").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class"
         )
-        first = F.col("point") < F.col("p_point")
-        pairs = met.select(
-            F.least("point", "p_point").alias("a"), F.greatest("point", "p_point").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"), F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b"),
-        ).distinct()
-        more = space.compare(pairs)
-        links = links.unionByName(more.filter("linked").select("a", "b"))
-        members = members.join(chosen.select("region", "point"), ["region", "point"], "left_anti")
-        count *= PIVOTS
-    # classes of points, then the smallest id of each class
-    named = space.known.select("point").join(labels.withColumnRenamed("node", "point"), "point", "left").select("point", F.coalesce("component", "point").alias("class"))
-    ids = table.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("least"))
-    named = materialize(named.join(ids, "point"))
-    least = materialize(named.groupBy("class").agg(F.min("least").alias("component_id")))
-    of_point = materialize(named.join(least, "class").select("point", "component_id", "class"))
-    return table.select("doc_id", "row", "n", "point").join(of_point, "point", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("point").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class"
-    )
+        return materialize(out, result=True)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -360,11 +363,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Texts without words are in no class and all stay, but of rows that agree in id and text one stays.
     """
-    classes = materialize(linked_classes(docs, width, percent))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("one")).select("one.doc_id", "one.row")
-    kept = materialize(first.unionByName(classes.filter("class IS NULL").select("doc_id", "row")).distinct())
-    again = not classes.groupBy("doc_id", "row").count().filter("count > 1").isEmpty()
+    with intermediate_tables(docs.sparkSession):
+        classes = linked_classes(docs, width, percent)
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+        first = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("one")).select("one.doc_id", "one.row")
+        kept = materialize(first.unionByName(classes.filter("class IS NULL").select("doc_id", "row")).distinct(), result=True)
+        again = not classes.groupBy("doc_id", "row").count().filter("count > 1").isEmpty()
     kept = kept.select(F.col("doc_id").alias("__kept"), F.col("row").alias("__kept_row"))
     # the document's own columns stay together, so none clashes with these
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64("text").alias("__row"), F.col("doc_id").alias("__id"))
