@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -533,30 +533,115 @@ def _align(phi: np.ndarray) -> list[float]:
 # --------------------------------------------------------------------- choosing k
 
 
-def cross_validated_rank(
-    similarities: DataFrame, ks: list[int], folds: int = 5, iterations: int = 10, reg: float = 0.01
-) -> DataFrame:
-    """(k, mean_mse, se, chosen) from ALS fits of held-out (i, j, sim) entries.
+HOLD_CLASSES = 20
+HOLD_SUMS = 3
 
-    ``similarities`` has integer ids i, j; folds come from the pair's hash. The chosen k is
-    the smallest within one standard error of the best mean error. A low-rank ALS fit
-    stands in for a dense gradient solver.
+
+def held_out(fold: int, classes: int = HOLD_CLASSES, sums: int = HOLD_SUMS) -> np.ndarray:
+    """(classes x classes): whether entries of two item classes are held out in a fold.
+
+    An entry (i, j) is held out by the sum of its items' classes: ``sums`` of the ``classes`` remainders, others in
+    each fold. With classes of equal size that is the share ``sums / classes`` of all entries, in every row alike.
+    """
+    remainder = np.add.outer(np.arange(classes), np.arange(classes)) % classes
+    return (remainder - sums * fold) % classes < sums
+
+
+def class_grams(items: DataFrame, item_class: Column, classes: int = HOLD_CLASSES) -> np.ndarray:
+    """(classes x D x D) Gram matrices of the vectors by class: all that a fit of any rank and fold needs."""
+    rows = grouped_gram(items.select(item_class.cast("int").alias("class"), F.col("vec").cast("array<double>").alias("vec")), "class").collect()
+    dims = int(round(math.sqrt(len(rows[0]["g"])))) if rows else 0
+    out = np.zeros((classes, dims, dims))
+    for r in rows:
+        out[r["class"]] = np.array(r["g"]).reshape(dims, dims)
+    return out
+
+
+def masked_maps(grams: np.ndarray, k: int, fold: int, iterations: int = 30, ridge: float = 1e-9) -> np.ndarray:
+    """(classes x D x k): rank-k loadings ``x @ map[class]`` of the items, fitted to the entries that a fold leaves.
+
+    An item's least-squares loadings against the others' are ``(sum u u^T)^-1 sum u s``. As s is an inner product of
+    vectors, both sums are over classes, less those held out with the item's own: the same small matrices for a whole
+    class, applied to the item's vector. Loadings of both sides are the same, so a step goes half way. It starts from
+    the leading eigenvectors of the whole matrix.
+    """
+    classes, dims, _ = grams.shape
+    values, vecs = np.linalg.eigh(grams.sum(axis=0))
+    maps = np.repeat(vecs[:, np.argsort(values)[::-1][:k]][None], classes, axis=0)
+    train = (~held_out(fold, classes)).astype(float)
+    for _ in range(iterations):
+        cross = grams @ maps
+        u = np.einsum("cdk,cdl->ckl", maps, cross)
+        left = np.tensordot(train, u, axes=1)
+        right = np.tensordot(train, cross, axes=1)
+        left = left + ridge * np.trace(left, axis1=1, axis2=2)[:, None, None] * np.eye(k)
+        fitted = np.linalg.solve(left, right.transpose(0, 2, 1)).transpose(0, 2, 1)
+        step = (fitted - maps) / 2
+        maps = maps + step
+        if np.abs(step).max() <= 1e-10 * max(np.abs(maps).max(), 1e-300):
+            break
+    return maps
+
+
+def held_out_errors(items: DataFrame, item_class: Column, grams: np.ndarray, fits: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int, float]]:
+    """(k, fold, mse) over the held-out entries i <> j of each fit, maps as of :func:`masked_maps`.
+
+    The squared error of two classes' entries follows from their Gram matrices; the entries of items with
+    themselves, which those contain, are summed in one pass over the items for all fits together.
+    """
+    classes = len(grams)
+    keys = sorted(fits)
+    shipped = items.sparkSession.sparkContext.broadcast([fits[key] for key in keys])
+
+    def own(batches):
+        total = np.zeros((classes, len(keys) + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, of = matrix(batch.column("vec")), batch.column("class").to_numpy()
+            for c in np.unique(of):
+                rows = x[of == c]
+                length = (rows * rows).sum(axis=1)
+                total[c, -1] += len(rows)
+                for f, maps in enumerate(shipped.value):
+                    total[c, f] += ((length - ((rows @ maps[c]) ** 2).sum(axis=1)) ** 2).sum()
+        yield pa.record_batch([pa.array(np.arange(classes, dtype=np.int32)), vectors(total)], names=["class", "part"])
+
+    data = items.select(item_class.cast("int").alias("class"), F.col("vec").cast("array<double>").alias("vec"))
+    sums = per_core(data).mapInArrow(own, "class int, part array<double>").groupBy("class").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    diagonal = np.zeros((classes, len(keys) + 1))
+    for r in sums.collect():
+        diagonal[r["class"]] = r["part"]
+    shipped.destroy()
+    sizes = diagonal[:, -1]
+    out = []
+    for place, (k, fold) in enumerate(keys):
+        maps, held = fits[(k, fold)], held_out(fold, classes)
+        cross = grams @ maps
+        u = np.einsum("cdk,cdl->ckl", maps, cross)
+        squares = np.tensordot(grams, grams, axes=([1, 2], [1, 2])) - 2 * np.tensordot(cross, cross, axes=([1, 2], [1, 2])) + np.tensordot(u, u, axes=([1, 2], [1, 2]))
+        own_held = np.diag(held)
+        entries = sizes @ held @ sizes - sizes[own_held].sum()
+        if entries > 0:
+            out.append((k, fold, float(max((squares * held).sum() - diagonal[own_held, place].sum(), 0.0) / entries)))
+    return out
+
+
+def cross_validated_rank(items: DataFrame, k_max: int = 20, folds: int = 6, item_class: Column | None = None, iterations: int = 30) -> DataFrame:
+    """(k, mean_mse, se, chosen) of rank-k fits of the whole similarity matrix, ranks 1 to ``k_max``, on held-out entries.
+
+    The similarities are inner products of (id, vec). Items are in classes by a hash of the id (or ``item_class``, from 0 to
+    ``HOLD_CLASSES`` - 1), and a fold holds out ``HOLD_SUMS / HOLD_CLASSES`` of all entries (:func:`held_out`), so neither fit nor
+    error needs a pair: one Gram aggregate by class and one pass for the diagonal serve all ranks and folds. The diagonal is
+    in the fit and not in the errors. The chosen k is the smallest within one standard error of the best.
     """
-    from pyspark.ml.recommendation import ALS
-
-    tagged = similarities.withColumn("fold", F.pmod(F.xxhash64("i", "j"), F.lit(folds))).persist()
-    errors = []
-    for k in ks:
-        for fold in range(folds):
-            model = ALS(
-                rank=k, maxIter=iterations, regParam=reg, userCol="i", itemCol="j", ratingCol="sim",
-                seed=fold, coldStartStrategy="drop",
-            ).fit(tagged.filter(F.col("fold") != fold))
-            scored = model.transform(tagged.filter(F.col("fold") == fold))
-            mse = scored.agg(F.avg((F.col("sim") - F.col("prediction")) ** 2)).first()[0]
-            errors.append((k, fold, float(mse)))
-    tagged.unpersist()
-    return one_se_rule(similarities.sparkSession.createDataFrame(errors, "k int, fold int, mse double"))
+    if item_class is None:
+        item_class = F.pmod(F.xxhash64("id"), F.lit(HOLD_CLASSES))
+    grams = class_grams(items, item_class)
+    ranks = range(1, min(k_max, grams.shape[1]) + 1)
+    fits = {(k, fold): masked_maps(grams, k, fold, iterations) for k in ranks for fold in range(folds)}
+    errors = held_out_errors(items, item_class, grams, fits)
+    return one_se_rule(items.sparkSession.createDataFrame(errors, "k int, fold int, mse double"))
 
 
 def one_se_rule(errors: DataFrame) -> DataFrame:

@@ -144,11 +144,56 @@ def test_choice_among_selectors(spark):
     assert {r["g"]: r["k"] for r in D.majority_rank(votes, ["g"]).collect()} == {"x": 2, "y": 4, "z": 5}
 
 
-def test_cross_validated_rank_runs(make_items, spark, structured):
-    s = structured @ structured.T
-    rows = [(i, j, float(s[i, j])) for i in range(40) for j in range(i)]
-    out = D.cross_validated_rank(spark.createDataFrame(rows, "i int, j int, sim double"), [1, 3], folds=2, iterations=5).collect()
-    assert sum(r["chosen"] for r in out) == 1 and {r["k"] for r in out} == {1, 3}
+@pytest.fixture
+def ranked(rng):
+    """300 vectors of four directions in eight dimensions, and little else."""
+    return rng.normal(size=(300, 4)) @ np.linalg.qr(rng.normal(size=(8, 4)))[0].T + 0.05 * rng.normal(size=(300, 8))
+
+
+def test_held_out_share_is_that_of_each_row():
+    for fold in range(6):
+        held = D.held_out(fold)
+        assert (held == held.T).all() and (held.sum(axis=1) == 3).all()
+    assert (sum(D.held_out(f).astype(int) for f in range(6)) <= 1).all()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_masked_fit_solves_the_normal_equations(make_items, ranked, k):
+    of = np.arange(300) % 20
+    items = make_items(ranked)
+    grams = D.class_grams(items, F.col("id") % 20)
+    maps = D.masked_maps(grams, k, fold=2, iterations=400)
+    u, s = np.einsum("id,idk->ik", ranked, maps[of]), ranked @ ranked.T
+    train = ~D.held_out(2)[of][:, of]
+    # each row is the least-squares answer to the others', over the entries that are left
+    for i in (0, 7, 19, 123):
+        want = np.linalg.lstsq(u[train[i]], s[i, train[i]], rcond=None)[0]
+        assert np.allclose(u[i], want, atol=1e-4)
+    other = train & ~np.eye(300, dtype=bool)
+    base = np.linalg.eigh(s)
+    top = base[1][:, ::-1][:, :k] * np.sqrt(base[0][::-1][:k])
+    # no worse on these entries than the best fit to the whole matrix
+    assert ((s - u @ u.T) ** 2)[other].mean() <= ((s - top @ top.T) ** 2)[other].mean() * 1.001
+
+
+def test_errors_are_those_of_the_held_out_pairs(make_items, ranked):
+    of = np.arange(300) % 20
+    items = make_items(ranked)
+    grams = D.class_grams(items, F.col("id") % 20)
+    fits = {(k, fold): D.masked_maps(grams, k, fold) for k in (1, 4) for fold in (0, 5)}
+    for k, fold, mse in D.held_out_errors(items, F.col("id") % 20, grams, fits):
+        u = np.einsum("id,idk->ik", ranked, fits[(k, fold)][of])
+        held = D.held_out(fold)[of][:, of] & ~np.eye(300, dtype=bool)
+        assert mse == pytest.approx(((ranked @ ranked.T - u @ u.T) ** 2)[held].mean(), rel=1e-6)
+
+
+def test_cross_validation_shows_the_rank(make_items, rng):
+    # four directions, and noise of many others
+    x = rng.normal(size=(300, 4)) @ np.linalg.qr(rng.normal(size=(120, 4)))[0].T + 0.1 * rng.normal(size=(300, 120))
+    out = {r["k"]: r for r in D.cross_validated_rank(make_items(x), k_max=7).collect()}
+    error = [out[k]["mean_mse"] for k in range(1, 8)]
+    assert sum(r["chosen"] for r in out.values()) == 1 and not any(out[k]["chosen"] for k in (1, 2, 3))
+    assert error[3] < error[2] / 50 and error[6] > 0.9 * error[3]
 
 
 def test_principal_components(make_items, structured):
