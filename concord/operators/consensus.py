@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.graph import components, forest
 from concord.operators.linkage import FINISH_CLUSTERS, average_merges, finish_linkage
-from concord.operators.similarity import block_join, ordered_once, sim_block, topk_similar
+from concord.operators.similarity import BLOCK_ROWS, block_join, ordered_once, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
 from concord.runtime import MODEL_ROW_LIMIT, bounded_rows, broadcast_if_small, fits, materialize
 
@@ -265,26 +265,74 @@ def _one_hot(labels: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (labels[:, :, None] == codes[None, None, :]).reshape(len(labels), -1).astype(np.float32)
 
 
+def _shares(lt: pa.Table, rt: pa.Table) -> np.ndarray:
+    a, b = matrix(lt["vec"]), matrix(rt["vec"])
+    codes = np.unique(np.concatenate([a.ravel(), b.ravel()]))
+    return np.round((_one_hot(a, codes) @ _one_hot(b, codes).T).astype(float) / a.shape[1], 9)
+
+
+def run_bands(runs: int, min_share: float) -> list[tuple[int, int]]:
+    """(first run, number) of bands of runs, one of which is equal throughout in any two profiles of at least ``min_share``.
+
+    Such profiles differ in ``runs - m`` runs at most, ``m`` being the least number of equal labels: of one band more
+    than that, one has no difference. No bands where any two profiles have the share.
+    """
+    least = next((m for m in range(runs + 1) if round(m / runs, 9) >= min_share), runs + 1)
+    n = min(runs - least + 1, runs) if least else 0
+    cuts = [i * runs // n for i in range(n + 1)] if n > 0 else []
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def coassociation(profiles: DataFrame, min_share: float) -> DataFrame:
-    """(id_a, id_b, share) for pairs a < b whose share of equal labels is >= ``min_share``."""
+    """(id_a, id_b, share) for pairs a < b whose share of equal labels is >= ``min_share``.
+
+    Only profiles that agree in one of :func:`run_bands` throughout are compared, in blocks, and in the first
+    such band only. All profiles meet where the groups of equal bands would cost more than that; the pairs are the same.
+    """
     id_type = profiles.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("share", T.DoubleType())]
     )
 
-    def kernel(key, lt, rt):
+    def pairs(key, lt, rt, share, keep):
+        rows, cols = np.nonzero(keep)
+        out = pa.table({"id_a": lt["id"].take(pa.array(rows)), "id_b": rt["id"].take(pa.array(cols)), "share": pa.array(share[rows, cols])})
+        return ordered_once(out, key, "id_a", "id_b")
+
+    def every(key, lt, rt):
         if not lt.num_rows or not rt.num_rows:
             return _empty(schema)
-        a, b = matrix(lt["vec"]), matrix(rt["vec"])
-        codes = np.unique(np.concatenate([a.ravel(), b.ravel()]))
-        share = np.round((_one_hot(a, codes) @ _one_hot(b, codes).T).astype(float) / a.shape[1], 9)
-        rows, cols = np.nonzero(share >= min_share)
-        ids_a, ids_b = lt["id"].take(pa.array(rows)), rt["id"].take(pa.array(cols))
-        out = pa.table({"id_a": ids_a, "id_b": ids_b, "share": pa.array(share[rows, cols])})
-        return ordered_once(out, key, "id_a", "id_b")
+        share = _shares(lt, rt)
+        return pairs(key, lt, rt, share, share >= min_share)
 
     data = profiles.select("id", F.col("labels").alias("vec"))
-    return block_join(data, data, kernel, schema, half=True)
+    first = data.select(F.size("vec").alias("runs")).first()
+    bands = run_bands(first["runs"], min_share) if first else []
+    if not bands:
+        return block_join(data, data, every, schema, half=True)
+    codes = F.array(*[F.xxhash64(F.slice("vec", a + 1, n)) for a, n in bands])
+    coded = data.select("id", "vec", codes.alias("codes"))
+    groups = materialize(coded.select(F.posexplode("codes").alias("band", "code")).groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    cost = groups.agg(F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0.0
+    rows = data.count()
+    if cost > float(rows) ** 2:
+        return block_join(data, data, every, schema, half=True, sizes=(rows, rows))
+
+    def banded(key, lt, rt):
+        if not lt.num_rows or not rt.num_rows:
+            return _empty(schema)
+        share = _shares(lt, rt)
+        keep = share >= min_share
+        a, b = (t["codes"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (lt, rt))
+        # a pair that agrees in an earlier band is found there
+        for band in range(key[0].as_py()):
+            keep &= a[:, band][:, None] != b[:, band][None, :]
+        return pairs(key, lt, rt, share, keep)
+
+    spread = coded.select("id", "vec", "codes", F.posexplode("codes").alias("band", "code"))
+    count = F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")
+    spread = spread.join(groups.select("band", "code", count), ["band", "code"])
+    return block_join(spread, spread, banded, schema, keys=["band", "code"], half=True, sizes=(rows, rows), blocks="blocks")
 
 
 def _empty(schema: T.StructType) -> pa.Table:

@@ -50,23 +50,27 @@ def block_join(
     block_rows: int = BLOCK_ROWS,
     sizes: tuple[int, int] | None = None,
     half: bool = False,
+    blocks: str | None = None,
 ) -> DataFrame:
     """Apply ``kernel(key, left_block, right_block)`` to each pair of blocks.
 
     ``sizes`` are the row counts (of the largest key) when the caller knows them. ``half``
     is for a set with itself: of two blocks only (lower, higher) meet, the last two parts of the key.
+    ``blocks`` names a column with the number of blocks of a row's own key, so that rows of small
+    keys are not copied as often as those of the largest.
     """
     rows_left, rows_right = sizes or (largest_part(left, keys), largest_part(right, keys))
     n_left, n_right = block_count(rows_left, block_rows), block_count(rows_right, block_rows)
+    of = lambda n: F.col(blocks) if blocks else F.lit(n)
     left_blocks = (
-        left.withColumn("lb", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int"))
-        .withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), F.lit(n_right - 1))))
+        left.withColumn("lb", F.pmod(F.xxhash64("id"), of(n_left)).cast("int"))
+        .withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), (of(n_right) - 1).cast("int"))))
     )
     # fresh column identities, so a set can be joined with itself
     right_blocks = (
         right.select(*[F.col(c).alias(c) for c in right.columns])
-        .withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int"))
-        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb") if half else F.lit(n_left - 1))))
+        .withColumn("rb", F.pmod(F.xxhash64("id"), of(n_right)).cast("int"))
+        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb") if half else (of(n_left) - 1).cast("int"))))
     )
     group = [*keys, "lb", "rb"]
     # one partition per core or per group, whichever is fewer: AQE would merge these

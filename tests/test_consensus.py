@@ -207,3 +207,21 @@ def test_warm_start_restores_old_labels(make_items, spark, rng):
     centroids = spark.createDataFrame([(0, [5.0, 0.0]), (1, [-5.0, 0.0])], "label int, vec array<double>")
     got = {r["id"]: r["label"] for r in C.extend_warm_start(old, new, centroids).collect()}
     assert got[9] == 1 and all(got[i] == (0 if i < 10 else 1) for i in range(0, 20, 2))
+
+
+@pytest.mark.parametrize("min_share", [0.34, 0.75, 0.99, 1.0])
+def test_banded_coassociation_is_exact(spark, rng, min_share):
+    base = rng.integers(0, 4, size=(6, 12))
+    labels = np.where(rng.random((120, 12)) < 0.2, rng.integers(0, 4, size=(120, 12)), base[rng.integers(0, 6, 120)])
+    labels[7] = labels[8] = labels[9]
+    df = spark.createDataFrame([(i, [int(v) for v in labels[i]]) for i in range(120)], "id long, labels array<int>")
+    got = {(r["id_a"], r["id_b"]): r["share"] for r in C.coassociation(df, min_share).collect()}
+    share = (labels[:, None] == labels[None]).mean(axis=2).round(9)
+    want = {(i, j): share[i, j] for i in range(120) for j in range(i + 1, 120) if share[i, j] >= min_share}
+    assert got == pytest.approx(want)
+
+
+def test_bands_hold_every_run_and_leave_one_without_a_difference():
+    assert C.run_bands(12, 0.75) == [(0, 3), (3, 3), (6, 3), (9, 3)]
+    assert C.run_bands(10, 1.0) == [(0, 10)] and C.run_bands(10, 0.0) == [] and len(C.run_bands(1000, 0.75)) == 251
+    assert sum(n for _, n in C.run_bands(1000, 0.75)) == 1000
