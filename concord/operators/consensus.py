@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from concord.functions.vectors import confidence, euclidean, matrix, vectors
 from concord.operators.graph import components, forest
-from concord.operators.linkage import FINISH_CLUSTERS, average_merges, finish_linkage
+from concord.operators.linkage import FINISH_CLUSTERS, average_merges, complete_merges
 from concord.operators.similarity import BLOCK_ROWS, block_join, ordered_once, sim_block, topk_similar
 from concord.operators.spectrum import mix64, per_core
 from concord.runtime import MODEL_ROW_LIMIT, bounded_rows, broadcast_if_small, fits, materialize
@@ -565,13 +565,8 @@ def run_summary(runs: DataFrame, pair_ari: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ consensus cut
 
 
-def average_linkage(profiles: DataFrame) -> DataFrame:
-    """Merge table (child, parent, sim, step) of average linkage on co-association.
-
-    The average co-association of two clusters is the inner product of their mean one-hot
-    profiles, so a cluster is one vector and no pair table exists. Items with the same
-    profile merge first, at 1.0; the rest is :func:`average_merges`.
-    """
+def _profile_vectors(profiles: DataFrame) -> DataFrame:
+    """(id, vec, size): the one-hot vector of each different profile, under its smallest id; inner products are shares of equal labels."""
     labels = profiles.select(F.explode(F.array_distinct("labels")).alias("label")).distinct()
     codes = sorted(r["label"] for r in labels.collect())  # at most k values
     runs = profiles.select(F.size("labels")).first()[0]
@@ -580,76 +575,25 @@ def average_linkage(profiles: DataFrame) -> DataFrame:
     one_hot = F.flatten(
         F.transform("labels", lambda x: F.transform(code_array, lambda c: F.when(c == x, F.lit(unit)).otherwise(F.lit(0.0))))
     )
-    active = materialize(
+    return materialize(
         profiles.groupBy("labels").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
         .select("id", one_hot.alias("vec"), "size")
     )
-    return average_merges(active)
 
 
-def edge_linkage(edges: DataFrame, nodes: DataFrame, linkage: str) -> DataFrame:
-    """Merge table from an explicit pair table (id_a, id_b, share); absent pairs count as 0.
+def average_linkage(profiles: DataFrame) -> DataFrame:
+    """Merge table (child, parent, sim, step) of average linkage on co-association.
 
-    Rounds of reciprocal nearest clusters, exact for the reducible linkages ``complete`` and
-    ``average``; single linkage has its own form, :func:`single_linkage_cut`.
+    The average co-association of two clusters is the inner product of their mean one-hot
+    profiles, so a cluster is one vector and no pair table exists. Items with the same
+    profile merge first, at 1.0; the rest is :func:`average_merges`.
     """
-    if linkage not in ("complete", "average"):
-        raise ValueError(f"unknown linkage {linkage}")
-    both = edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("share").alias("sim"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    active = materialize(both.filter("sim > 0").withColumn("na", F.lit(1.0)).withColumn("nb", F.lit(1.0)))
-    id_type = nodes.schema["id"].dataType
-    schema = T.StructType(
-        [T.StructField("child", id_type), T.StructField("parent", id_type), T.StructField("sim", T.DoubleType()),
-         T.StructField("step", T.LongType())]
-    )
-    merges, step = None, 0
-    while True:
-        few = active.select("a").distinct().limit(FINISH_CLUSTERS + 1).count()
-        if few <= FINISH_CLUSTERS:
-            rows = active.collect()  # at most FINISH_CLUSTERS^2 cluster pairs
-            ids = sorted({r["a"] for r in rows})
-            at = {c: i for i, c in enumerate(ids)}
-            sims, sizes = np.zeros((len(ids), len(ids))), np.ones(len(ids))
-            for r in rows:
-                sims[at[r["a"]], at[r["b"]]], sizes[at[r["a"]]] = r["sim"], r["na"]
-            top = nodes.sparkSession.createDataFrame(finish_linkage(ids, sizes, sims, linkage, step, 0.0), schema)
-            return top if merges is None else merges.unionByName(top)
-        best = active.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("minus"), F.col("b"))).alias("t")).select(
-            "a", F.col("t.b").alias("b"), (-F.col("t.minus")).alias("sim")
-        )
-        back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        pairs = materialize(
-            best.join(back, ["a", "b"]).filter("a < b")
-            .select(F.col("b").alias("child"), F.col("a").alias("parent"), "sim", F.lit(step).cast("long").alias("step"))
-        )
-        merges = pairs if merges is None else merges.unionByName(pairs)
-        move_a = pairs.select(F.col("child").alias("a"), F.col("parent").alias("pa"))
-        move_b = pairs.select(F.col("child").alias("b"), F.col("parent").alias("pb"))
-        moved = (
-            active.join(move_a, "a", "left").join(move_b, "b", "left")
-            .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"), "sim", "na", "nb")
-            .filter("a <> b")
-        )
-        # total sizes of the new clusters: old sizes plus what moved in
-        sizes = active.select(F.col("a"), F.col("na")).distinct().join(move_a, "a", "left").groupBy(
-            F.coalesce("pa", "a").alias("a")
-        ).agg(F.sum("na").alias("total"), F.count(F.lit(1)).alias("parts"))
-        grouped = moved.groupBy("a", "b").agg(
-            F.min("sim").alias("lo"), F.count(F.lit(1)).alias("seen"),
-            F.sum(F.col("sim") * F.col("na") * F.col("nb")).alias("mass"),
-        )
-        sa = sizes.select("a", F.col("total").alias("na"), F.col("parts").alias("parts_a"))
-        sb = sizes.select(F.col("a").alias("b"), F.col("total").alias("nb"), F.col("parts").alias("parts_b"))
-        whole = F.col("seen") == F.col("parts_a") * F.col("parts_b")
-        value = {
-            "complete": F.when(whole, F.col("lo")).otherwise(F.lit(0.0)),
-            "average": F.round(F.col("mass") / (F.col("na") * F.col("nb")), 9),
-        }[linkage]
-        active = materialize(
-            grouped.join(sa, "a").join(sb, "b").select("a", "b", value.alias("sim"), "na", "nb").filter("sim > 0")
-        )
-        step += 1
+    return average_merges(_profile_vectors(profiles))
+
+
+def complete_linkage(profiles: DataFrame) -> DataFrame:
+    """As :func:`average_linkage`, of complete linkage: the least co-association of two clusters' items."""
+    return complete_merges(_profile_vectors(profiles))
 
 
 def _jump(parent: DataFrame) -> DataFrame:
@@ -768,8 +712,8 @@ def number_clusters(roots: DataFrame) -> DataFrame:
 
 def consensus_cut(profiles: DataFrame, k: int, linkage: str = "average") -> DataFrame:
     """(id, cluster): the co-association dendrogram cut into k clusters."""
-    if linkage == "average":
-        merges = average_linkage(profiles)
+    if linkage in ("average", "complete"):
+        merges = average_linkage(profiles) if linkage == "average" else complete_linkage(profiles)
         leaders = profiles.groupBy("labels").agg(F.min("id").alias("leader"))
         nodes = leaders.select(F.col("leader").alias("id"))
         roots = cut_merges(merges, nodes, k)
@@ -777,9 +721,9 @@ def consensus_cut(profiles: DataFrame, k: int, linkage: str = "average") -> Data
         spread = every.join(roots.withColumnRenamed("id", "leader"), "leader").select("id", "root")
         return number_clusters(spread)
     nodes = profiles.select("id")
-    if linkage == "single":
-        return number_clusters(single_linkage_cut(coassociation(profiles, 1e-9), nodes, k))
-    return number_clusters(cut_merges(edge_linkage(coassociation(profiles, 1e-9), nodes, linkage), nodes, k))
+    if linkage != "single":
+        raise ValueError(f"unknown linkage {linkage}")
+    return number_clusters(single_linkage_cut(coassociation(profiles, 1e-9), nodes, k))
 
 
 # ------------------------------------------------------------------ quality and density

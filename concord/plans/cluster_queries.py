@@ -10,7 +10,7 @@ from concord.operators import spectral as SP
 from concord.operators.centroid import averaged_concepts as average_two
 from concord.operators.centroid import concept_texts as concept_text_rows
 from concord.operators.centroid import group_centroids
-from concord.operators.linkage import average_merges
+from concord.operators.linkage import average_merges, complete_merges
 from concord.plans.base import E, centroid_cte, items, query, r, r6, table
 from concord.runtime import materialize
 
@@ -128,11 +128,11 @@ def consensus_cut_average(spark, sf_dir):
 
 
 # suppliers by what the nations' customers spend with them: merges one at a time, on all pairs
-@query("""WITH RECURSIVE spent AS (SELECT l_suppkey AS id, c_nationkey AS nation, sum(l_extendedprice) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+_MERGES = """WITH RECURSIVE spent AS (SELECT l_suppkey AS id, c_nationkey AS nation, sum(l_extendedprice) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
     unit AS (SELECT id, nation, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM spent), ids AS (SELECT DISTINCT id FROM unit), dots AS (SELECT p.id AS a, q.id AS b, sum(p.x * q.x) AS s FROM unit p JOIN unit q ON p.nation = q.nation AND p.id < q.id GROUP BY 1, 2),
     st(step, a, b, s, na, nb, ma, mb) AS (SELECT 0, p.id, q.id, coalesce(s, 0.0)::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, -1, -1 FROM ids p JOIN ids q ON p.id < q.id LEFT JOIN dots ON a = p.id AND b = q.id
         UNION ALL (WITH best AS (SELECT a AS x, b AS y, na + nb AS n FROM st ORDER BY round(s, 9) DESC, a, b LIMIT 1)
-        SELECT any_value(step) + 1, a, b, sum(s * w) / sum(w), max(na), max(nb), any_value(x), any_value(y) FROM (
+        SELECT any_value(step) + 1, a, b, {joined}, max(na), max(nb), any_value(x), any_value(y) FROM (
             SELECT step, least(CASE WHEN a = y THEN x ELSE a END, CASE WHEN b = y THEN x ELSE b END) AS a, greatest(CASE WHEN a = y THEN x ELSE a END, CASE WHEN b = y THEN x ELSE b END) AS b, s,
                 CASE WHEN a IN (x, y) THEN na WHEN b IN (x, y) THEN nb ELSE 1 END AS w, x, y,
                 CASE WHEN a IN (x, y) THEN CASE WHEN least(CASE WHEN a = y THEN x ELSE a END, CASE WHEN b = y THEN x ELSE b END) = x THEN n ELSE nb END
@@ -142,16 +142,29 @@ def consensus_cut_average(spark, sf_dir):
             FROM st, best WHERE NOT (a = x AND b = y)) GROUP BY a, b)),
     merges AS (SELECT DISTINCT step, ma, mb FROM st WHERE step BETWEEN 1 AND (SELECT count(*) FROM ids) - 8),
     up(id, root) AS (SELECT id, id FROM ids UNION ALL SELECT up.id, merges.ma FROM up JOIN merges ON merges.mb = up.root),
-    roots AS (SELECT id, min(root) AS root FROM up GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots""")
-def average_linkage_cut(spark, sf_dir):
-    """Suppliers in eight clusters of average linkage, by the unit vectors of the nations' spending."""
+    roots AS (SELECT id, min(root) AS root FROM up GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots"""
+
+
+def _spending(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     spent = lines.groupBy(F.col("l_suppkey").alias("id"), "c_nationkey").agg(F.sum("l_extendedprice").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c_nationkey", "x"))).alias("x"))
     vec = l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: F.coalesce(F.col("x")[n], F.lit(0.0)).cast("double")))
-    units = materialize(spent.select("id", vec.alias("vec"), F.lit(1).cast("long").alias("size")))
+    return materialize(spent.select("id", vec.alias("vec"), F.lit(1).cast("long").alias("size")))
+
+
+@query(_MERGES.format(joined="sum(s * w) / sum(w)"))
+def average_linkage_cut(spark, sf_dir):
+    """Suppliers in eight clusters of average linkage, by the unit vectors of the nations' spending."""
+    units = _spending(spark, sf_dir)
     return C.number_clusters(C.cut_merges(average_merges(units), units.select("id"), 8))
 
 
+@query(_MERGES.format(joined="min(s)"))
+def complete_linkage_cut(spark, sf_dir):
+    units = _spending(spark, sf_dir)
+    return C.number_clusters(C.cut_merges(complete_merges(units), units.select("id"), 8))
+
+
 @query()
 def consensus_cut_single(spark, sf_dir):
     return C.consensus_cut(materialize(profiles(spark, sf_dir)), 5, "single")
