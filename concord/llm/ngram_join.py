@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.operators.graph import components
-from concord.llm.store import add_rows, intermediate_tables, materialize, partitions_for, small_batches
+from concord.llm.store import add_rows, intermediate_tables, materialize, may_match, partitions_for, small_batches
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
@@ -49,7 +49,6 @@ LEAF = 8
 SALTS = 16
 SLICE_BYTES = 1 << 18  # of text whose words are in a task's memory together
 STEPS = 1000
-NAME_SLOTS = 1 << 24
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -221,19 +220,6 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, points, deep)], names=["pivot", "point", "deep"])
 
 
-def _slotted(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose (id, row) falls into a slot of those of ``chosen``: all of these, and some others.
-
-    The bitmap of ``NAME_SLOTS`` bits is as large for any corpus: a row of 4 KB for 32,768 slots, to be broadcast.
-    """
-    slot = F.pmod(F.xxhash64("id", "row"), F.lit(NAME_SLOTS)) + 1
-    place = [F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("place")]
-    marked = materialize(chosen.select(*place).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")))
-    kept = texts.select("*", *place).join(F.broadcast(marked), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 AS int) + 1, 1)")), 16, 10).cast("int")
-    return kept.filter(F.expr("shiftleft(1, cast(place % 8 AS int))").bitwiseAND(byte) != 0).select(*texts.columns)
-
-
 class _Space:
     """Points with their sizes and class counts, and the sets of those that were compared."""
 
@@ -278,7 +264,7 @@ class _Space:
         texts = self.docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("row"), "text")
         # names of documents are as many as documents: the texts are shuffled to them at any size, none go through the driver;
         # most texts that are not needed stay where they are, by a bitmap of the names' slots
-        loaded = _slotted(texts, chosen).join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run, 1, SLICE_BYTES), "point long, shingles array<long>")
+        loaded = may_match(texts, chosen, ["id", "row"]).join(chosen.hint("merge"), ["id", "row"]).select("point", "text").mapInArrow(words.map_slices(run, 1, SLICE_BYTES), "point long, shingles array<long>")
         # a repeated row gives its point's set twice
         loaded = materialize(loaded.groupBy("point").agg(F.first("shingles").alias("shingles")), result=True)
         self.sets = loaded if self.sets is None else self.sets.unionByName(loaded)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from concord.runtime import intermediate_tables, materialize, shared_folder
 
-__all__ = ["add_rows", "fold", "intermediate_tables", "join_shared", "materialize", "new_folder", "partitions_for", "small_batches"]
+__all__ = ["add_rows", "fold", "intermediate_tables", "join_shared", "materialize", "may_match", "new_folder", "partitions_for", "small_batches"]
 
 BATCH_BYTES = 4 << 20
 
@@ -50,6 +50,23 @@ def join_shared(rows: DataFrame, table: DataFrame, keys: list[str], n: str, tota
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, how))
 
 
+KEY_SLOTS = 1 << 24
+
+
+def may_match(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose ``keys`` fall into a slot of those of ``others``: all that match one of these, and some more.
+
+    For a join whose other side lacks most of the rows, which are then not shuffled. No key is sent anywhere: what is
+    broadcast is a bitmap of ``KEY_SLOTS`` bits, as large for any input (2 MB, a row of 4 KB for 32,768 slots).
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(KEY_SLOTS)) + 1
+    place = [F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__place")]
+    marked = materialize(others.select(*place).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__bits")))
+    kept = rows.select("*", *place).join(F.broadcast(marked), "__bucket")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__place div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    return kept.filter(F.expr("shiftleft(1, cast(__place % 8 AS int))").bitwiseAND(byte) != 0).select(*rows.columns)
+
+
 def add_rows(
     rows: DataFrame, kind: type = np.int64, blocks: int = 1, finish: Callable[[np.ndarray], np.ndarray] | None = None, out: type | None = None
 ) -> dict[int, np.ndarray]:

@@ -199,3 +199,14 @@ def test_equal_average_search_finds_the_first_nearest_entry():
         index, best = vector_codes.nearest(x, entries)
         all_pairs = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
         assert (index == all_pairs.argmin(axis=1)).all() and (best == all_pairs.min(axis=1)).all()
+
+
+def test_rows_that_match_are_never_left_out(spark, monkeypatch):
+    from concord.llm import store
+
+    monkeypatch.setattr(store, "KEY_SLOTS", 1 << 14)
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 3 > 0, F.xxhash64("id")).alias("name"))
+    others = rows.filter("id % 40 = 0")
+    kept = store.may_match(rows, others, ["id", "name"])
+    assert kept.columns == rows.columns and kept.join(others, "id", "left_semi").count() == 500 and kept.count() < 2000
+    assert store.may_match(rows, others.limit(0), ["id", "name"]).count() == 0
