@@ -54,6 +54,14 @@ def scoring_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", back[0]["points"].alias("points"), X.compact_scoring(back).alias("compact"))
 
 
+@query("""SELECT o_orderkey, u.pos::INT AS pos, CASE u.pos WHEN 0 THEN o_orderpriority ELSE 'by ' || o_custkey END AS criteria, NULL::INT AS points FROM orders, range(2) AS u(pos)""")
+def scoring_bullets(spark, sf_dir):
+    """A scoring without points: its lines, bullets taken off."""
+    text = F.concat(F.lit("Scoring:\n - "), "o_orderpriority", F.lit("\n\n\u2022  by "), F.col("o_custkey").cast("string"), F.lit("  \n"))
+    entries = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(X.scoring_entries(text)).alias("pos", "entry"))
+    return entries.select("o_orderkey", "pos", "entry.criteria", "entry.points")
+
+
 @query("""SELECT p_partkey, p_name || '.' || CASE WHEN p_partkey % 3 <> 0 THEN ' Materials: ' || p_brand || '.' ELSE '' END || CASE WHEN p_partkey % 5 <> 0 THEN ' Description: ' || p_type || '.' ELSE '' END || ' Scoring: ' || p_size AS item_text FROM part""")
 def composed_texts(spark, sf_dir):
     k = F.col("p_partkey")
