@@ -13,6 +13,8 @@ forest of its links, never the links themselves, so a dense group costs no more
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component link with nothing, nor do
 vectors without a label or of different lengths. Each row counts for itself, also with a repeated vec_id.
+Labels may have any type that Spark can hash: whole numbers are compared as they are, others (texts, fractions,
+dates) by a 64-bit hash of the value; NaN equals NaN, as in Spark's own comparisons.
 The component's name is its smallest vec_id; a vector without an id takes the name of the others, or null.
 """
 
@@ -22,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.operators.graph import components, forest
 from concord.llm.store import materialize, partitions_for, small_batches
@@ -51,6 +54,13 @@ def usable(vector: str = "embedding", label: str = "label"):
     return F.coalesce(F.col(label).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def label_number(rows: DataFrame, label: str = "label") -> Column:
+    """A long that is equal where labels are equal, null where they are."""
+    if isinstance(rows.schema[label].dataType, T.IntegralType):
+        return F.col(label).cast("long")
+    return F.when(F.col(label).isNotNull(), F.xxhash64(label))
+
+
 def directions(points: DataFrame) -> dict[int, np.ndarray]:
     """(size, leading directions) for each vector size of a sample of ``SAMPLE`` points, the first by hash."""
     rows = points.select("vec", "point").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).collect()
@@ -195,7 +205,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     small_batches(vectors)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
-    rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    rows = vectors.select("vec_id", "embedding", label_number(vectors).alias("label"))
     # a zero's sign does not make another vector
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))
     rows = rows.withColumn("point", F.when(usable(), F.xxhash64("label", plain)))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import sys
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -162,3 +163,10 @@ def test_grid_join_without_usable_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert grid_join.linked_vectors(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in grid_join.linked_vectors(spark.createDataFrame([(4, None, 1)], schema)).collect()] == [(4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.4, 1.4, None]), ("string", ["a", "b", "b", None]), ("decimal(3,1)", [Decimal("1.2"), Decimal("1.4"), Decimal("1.4"), None]), ("smallint", [1, 2, 2, None])])
+def test_grid_join_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 2.0], label) for i, label in enumerate(labels)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    assert sorted(tuple(r) for r in grid_join.linked_vectors(df).collect()) == [(0, 0, 0, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
