@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from concord.functions import stats as N
 from concord.functions import text as X
 from concord.functions.recode import format_id
 from concord.operators import checks as Q
-from concord.operators import growth
+from concord.operators import encoders, growth
 from concord.operators import reports as T
 from concord.plans.base import query, r, r6, table
 
@@ -81,6 +82,50 @@ def text_vectors(spark, sf_dir):
     return X.text_features(d, 1 << 10).select("id", F.size("vec").alias("dims"), r6(l2_norm(F.col("vec"))).alias("norm"))
 
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, unnest({_WORDS}) AS word FROM documents),
+    c AS (SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 4096 AS b, count(*) AS n FROM w GROUP BY 1, 2),
+    f AS (SELECT b, count(*) AS df FROM c GROUP BY 1),
+    t AS (SELECT id, b, n * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS w FROM c JOIN f USING (b)),
+    u AS (SELECT id, count(*) AS cells, sum(w) / sqrt(sum(w * w)) AS total, sum(w * b) / sqrt(sum(w * w)) AS moment, max(w) / sqrt(sum(w * w)) AS largest FROM t GROUP BY id)
+    SELECT doc_id AS id, coalesce(cells, 0)::INT AS cells, {r('coalesce(total, 0)', 4)} AS total, {r('coalesce(moment, 0)', 2)} AS moment, {r('coalesce(largest, 0)')} AS largest
+    FROM documents LEFT JOIN u ON doc_id = id""")
+def hashed_text_vectors(spark, sf_dir):
+    """Size, sum, first moment and largest weight of each document's TF-IDF vector."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    v = encoders.hashed_tfidf(d)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    moment = add(F.zip_with("buckets", "weights", lambda b, w: b * w))
+    return v.select(
+        "id", F.size("buckets").alias("cells"), r6(add("weights"), 4).alias("total"), r6(moment, 2).alias("moment"),
+        r6(F.coalesce(F.array_max("weights"), F.lit(0.0))).alias("largest"),
+    )
+
+
+def _letter_shares():
+    """A model of 26 numbers: how often each letter stands in a text, scaled to length one."""
+
+    def encode(texts):
+        rows = np.stack([np.bincount(np.frombuffer(t.encode(), dtype=np.uint8), minlength=256)[97:123] for t in texts]).astype(float)
+        return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+
+    return encode
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, i, length(text) - length(replace(text, chr(97 + i::INT), '')) AS n FROM documents, range(26) AS u(i) WHERE text IS NOT NULL),
+    m AS (SELECT id, sqrt(sum(n * n)) AS norm, sum(n) AS total, sum(n * i) AS moment FROM c GROUP BY id)
+    SELECT doc_id AS id, {r('CASE WHEN norm > 0 THEN total / norm ELSE 0 END')} AS total, {r('CASE WHEN norm > 0 THEN moment / norm ELSE 0 END')} AS moment
+    FROM documents JOIN m ON doc_id = id""")
+def encoded_texts(spark, sf_dir):
+    """Vectors of a plugged-in model."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    v = encoders.encode_texts(d, "letter shares", _letter_shares)
+    moment = F.aggregate(F.transform("vec", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return v.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(moment).alias("moment"))
+
+
 # ------------------------------------------------------------------ reports
 
 
