@@ -106,6 +106,47 @@ def source_overlap(ids: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_SIZE = 12
+
+
+def id_sketches(ids: DataFrame, keys: Sequence[str] = ("source",), size: int = SKETCH_SIZE) -> DataFrame:
+    """(keys, sketch) from (keys, id): a theta sketch of the distinct ids of each key, of at most 2^size hashes.
+
+    Partial sketches are made before the shuffle, so a key that holds a third of the ids sends a few KB a task. The
+    table can be stored by source and day, and merged later (:func:`sketched_overlap`) without reading ids again.
+    """
+    return ids.filter("id IS NOT NULL").groupBy(*keys).agg(F.theta_sketch_agg("id", size).alias("sketch"))
+
+
+def sketched_overlap(sketches: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """(kind, name, n, error) as :func:`source_overlap`, estimated from any number of sketches for each source.
+
+    ``error`` is the standard error: of the count itself for one source and for all together, and of the
+    union's count for what sources share. Up to 2^size ids are counted exactly. Ids that are null do not count.
+    """
+    whole = sketches.groupBy("source").agg(F.theta_union_agg("sketch", size).alias("sketch"))
+    names = whole.agg(F.array_sort(F.collect_set("source"))).scalar()
+    share = F.lit(1 / (2**size - 2) ** 0.5)
+    estimate = lambda c: F.theta_sketch_estimate(c)
+    common, union = F.theta_intersection_agg("sketch").alias("common"), F.theta_union_agg("sketch", size).alias("union")
+
+    def counted(kind: str, name: Column, shown: Column, of: Column) -> list[Column]:
+        exact = estimate(of) <= 2**size
+        return [F.lit(kind).alias("kind"), name.alias("name"), estimate(shown).alias("n"), F.when(exact, 0.0).otherwise(estimate(of) * share).alias("error")]
+
+    # grouped, since nothing has no intersection: without sources there is no row
+    sketch, everything = F.col("sketch"), whole.groupBy(F.lit("all").alias("name")).agg(common, union)
+    # a pair's two sketches meet under its name; there are as many pairs as those of sources
+    pair = F.concat_ws("&", F.least("source", "other"), F.greatest("source", "other"))
+    pairs = whole.withColumn("other", F.explode(names)).filter("source <> other").groupBy(pair.alias("pair")).agg(common, union)
+    return (
+        whole.select(*counted("source", F.col("source"), sketch, sketch))
+        .unionByName(everything.select(*counted("any", F.lit("all"), F.col("union"), F.col("union"))))
+        .unionByName(everything.select(*counted("every", F.lit("all"), F.col("common"), F.col("union"))))
+        .unionByName(pairs.select(*counted("pair", F.col("pair"), F.col("common"), F.col("union"))))
+    )
+
+
 def strict_date(col: Column, fmt: str = "MM/dd/yyyy") -> Column:
     """Date by one format; a non-null text that does not parse stops the job."""
     parsed = F.try_to_timestamp(col, F.lit(fmt)).cast("date")
@@ -267,10 +308,10 @@ def binary_associations(df: DataFrame, cols: Sequence[str], exact: bool = True)
 
 
 def line_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, r, slope, intercept, p): Pearson r and least squares line per stratum."""
+    """(keys, n, r, slope, intercept, p): Pearson r and least squares line per stratum; no r and p where a column is constant."""
     known = F.col(x).isNotNull() & F.col(y).isNotNull()
     fit = df.filter(known).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"),
+        F.count(F.lit(1)).alias("n"), (F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias("r"), F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
     )
     r, n = F.col("r"), F.col("n")
@@ -278,6 +319,22 @@ def line_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFra
     return fit.withColumn("p", F.when(n > 2, t_pvalue(t, (n - 2).cast("double"))))
 
 
+def line_fit_before_and_after(df: DataFrame, y: str, adjusted: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, then r, slope, intercept, p of ``y`` on ``x``, and the same of ``adjusted`` on ``x``, each with _before or _after).
+
+    How much of an association an adjustment takes away, by stratum: both lines are fitted to the same rows, those
+    with all three values. Strata without such rows are absent; a stratum with a constant column has no r and no p.
+    """
+    both = df.filter(F.col(y).isNotNull() & F.col(adjusted).isNotNull())
+    names = ["r", "slope", "intercept", "p"]
+    stacked = both.select(*keys, x, F.explode(F.array(
+        F.struct(F.lit("before").alias("of"), F.col(y).cast("double").alias("value")), F.struct(F.lit("after").alias("of"), F.col(adjusted).cast("double").alias("value"))
+    )).alias("v")).select(*keys, x, "v.of", "v.value")
+    fits = line_fit(stacked, "value", x, [*keys, "of"])
+    pick = lambda c, of: F.max(F.when(F.col("of") == of, F.col(c))).alias(f"{c}_{of}")
+    return fits.groupBy(*keys).agg(F.max("n").alias("n"), *[pick(c, of) for of in ("before", "after") for c in names])
+
+
 def effect_panel(effects: DataFrame, factors: Sequence[str], significant: DataFrame) -> DataFrame:
     """(key, est_<f>, z_<f>, p_<f>..., significant): one row per key; GENERAL is the one-factor model.
 

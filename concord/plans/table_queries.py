@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import recode as P
@@ -9,6 +12,7 @@ from concord.operators import describe as A
 from concord.operators import ranking as W
 from concord.operators import tables as J
 from concord.plans.base import query, r, r6, table
+from concord.runtime import materialize
 from concord.sources import models
 
 # ------------------------------------------------------------------ recodes
@@ -437,6 +441,26 @@ def instrument_counts(spark, sf_dir):
     return A.source_overlap(ids)
 
 
+@query(f"""WITH x AS (SELECT DISTINCT source, id FROM {_SRC}), k AS (SELECT id, count(*) AS c FROM x GROUP BY id)
+    SELECT *, true AS within FROM (
+    SELECT 'source' AS kind, source AS name, count(*) AS n FROM x GROUP BY source UNION ALL SELECT 'any', 'all', count(*) FROM k UNION ALL SELECT 'every', 'all', count(*) FILTER (c = 3) FROM k
+    UNION ALL SELECT 'pair', a.source || '&' || b.source, count(*) FROM x a JOIN x b ON a.id = b.id AND a.source < b.source GROUP BY ALL)""")
+def sketched_instrument_counts(spark, sf_dir):
+    """Counts from sketches stored by source and part, next to the exact ones; four standard errors are allowed."""
+    ids = _sources(spark, sf_dir)
+    sketches = materialize(A.id_sketches(ids, ["source", "part"]))
+    found = A.sketched_overlap(sketches).withColumnRenamed("n", "estimate")
+    within = F.abs(F.col("estimate") - F.col("n")) <= 4 * F.col("error") + 0.5
+    return A.source_overlap(ids.select("source", "id")).join(found, ["kind", "name"], "left").select("kind", "name", "n", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+def _sources(spark, sf_dir):
+    """(source, part, id): customers by nation, orders and events by month."""
+    kinds = [("customer", "c_custkey", "c_nationkey"), ("orders", "o_custkey", "month(o_orderdate)"), ("events", "user_id", "month(ts)")]
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.expr(part).cast("int").alias("part"), F.col(i).alias("id")) for name, i, part in kinds]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("""SELECT 'all' AS scope, min(o_orderdate)::DATE::VARCHAR AS first, max(o_orderdate)::DATE::VARCHAR AS last, count(*) AS n FROM orders
     UNION ALL SELECT 'subset', min(o_orderdate)::DATE::VARCHAR, max(o_orderdate)::DATE::VARCHAR, count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def date_ranges(spark, sf_dir):
@@ -548,6 +572,21 @@ def stratified_line_fit(spark, sf_dir):
     return out.select("l_returnflag", "n", r6("r").alias("r"), r6("slope", 3).alias("slope"), r6("intercept", 3).alias("intercept"))
 
 
+_TAKEN = "(SELECT l_returnflag, l_linestatus, l_quantity AS x, l_extendedprice AS y, l_extendedprice - 900 * l_quantity AS z FROM lineitem)"
+
+
+@query(f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {r('corr(y, x)')} AS r_before, {r('regr_slope(y, x)', 3)} AS slope_before, {r('corr(z, x)')} AS r_after,
+    {r('regr_slope(z, x)', 3)} AS slope_after FROM {_TAKEN} GROUP BY 1, 2""")
+def line_fit_adjustment(spark, sf_dir):
+    """Price on quantity by stratum, before and after a price per piece is taken off."""
+    line = table(spark, sf_dir, "lineitem").withColumn("z", F.col("l_extendedprice") - 900 * F.col("l_quantity"))
+    out = A.line_fit_before_and_after(line, "l_extendedprice", "z", "l_quantity", ["l_returnflag", "l_linestatus"])
+    return out.select(
+        "l_returnflag", "l_linestatus", "n", r6("r_before").alias("r_before"), r6("slope_before", 3).alias("slope_before"), r6("r_after").alias("r_after"),
+        r6("slope_after", 3).alias("slope_after"),
+    )
+
+
 _NUM = "(SELECT l_quantity AS q, l_extendedprice AS p, CASE WHEN l_linenumber < 5 THEN l_discount END AS d, 7 AS k FROM lineitem)"
 
 
