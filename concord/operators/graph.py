@@ -50,3 +50,54 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[new]
     moved = root != np.arange(len(nodes))
     return np.stack([nodes[moved], nodes[root[moved]]], axis=1)
+
+
+def _joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components ``comp`` of nodes after the links between the components ``a`` and ``b``."""
+    moved = forest(a, b)
+    to = np.arange(len(comp))
+    to[moved[:, 0]] = moved[:, 1]
+    return to[comp]
+
+
+def least_forest(n: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) between nodes 0..n-1 make the spanning forest of least ``keys``, all different."""
+    comp, held, taken = np.arange(n), np.arange(len(keys)), []
+    while True:
+        held = held[comp[a[held]] != comp[b[held]]]
+        if not len(held):
+            return np.concatenate(taken) if taken else held
+        best = np.full(n, np.iinfo(np.int64).max)
+        for end in (a, b):
+            np.minimum.at(best, comp[end[held]], keys[held])
+        own = held[(keys[held] == best[comp[a[held]]]) | (keys[held] == best[comp[b[held]]])]
+        taken.append(own)
+        comp = _joined(comp, comp[a[own]], comp[b[own]])
+
+
+def least_block_forest(n: int, keys: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) places of the spanning forest of least ``keys`` of a matrix of links.
+
+    ``rows`` and ``cols`` name its nodes among 0..n-1. A place that is the largest integer is no link; the two places
+    of one pair may have the same key, all others differ.
+    """
+    none = np.iinfo(np.int64).max
+    comp, found = np.arange(n), []
+    while True:
+        ends_a, ends_b = comp[rows], comp[cols]
+        open_keys = np.where(ends_a[:, None] == ends_b[None, :], none, keys)
+        by_row, by_col = open_keys.argmin(axis=1), open_keys.argmin(axis=0)
+        i = np.concatenate([np.arange(len(rows)), by_col])
+        j = np.concatenate([by_row, np.arange(len(cols))])
+        value = open_keys[i, j]
+        best = np.full(n, none)
+        np.minimum.at(best, ends_a[i], value)
+        np.minimum.at(best, ends_b[j], value)
+        own = np.flatnonzero((value < none) & ((value == best[ends_a[i]]) | (value == best[ends_b[j]])))
+        if not len(own):
+            break
+        own = own[np.unique(value[own], return_index=True)[1]]
+        found.append((i[own], j[own]))
+        comp = _joined(comp, comp[rows[i[own]]], comp[cols[j[own]]])
+    empty = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([f[side] for f in found]) if found else empty for side in (0, 1))

@@ -225,3 +225,23 @@ def test_bands_hold_every_run_and_leave_one_without_a_difference():
     assert C.run_bands(12, 0.75) == [(0, 3), (3, 3), (6, 3), (9, 3)]
     assert C.run_bands(10, 1.0) == [(0, 10)] and C.run_bands(10, 0.0) == [] and len(C.run_bands(1000, 0.75)) == 251
     assert sum(n for _, n in C.run_bands(1000, 0.75)) == 1000
+
+
+def test_coassociation_forest_is_that_of_all_pairs(spark, rng):
+    # many equal shares, groups of equal profiles, and items that share nothing with most others
+    labels = rng.integers(0, 3, size=(150, 4))
+    labels[100:] = labels[rng.integers(0, 40, 50)]
+    labels[:6] = np.arange(24).reshape(6, 4) + 10
+    profiles = spark.createDataFrame([(int(i), [int(v) for v in row]) for i, row in enumerate(rng.permutation(labels))], "id long, labels array<int>")
+    want = {tuple(r) for r in C.spanning_forest(C.coassociation(profiles, 1e-9), profiles.select("id"))[0].collect()}
+    assert {tuple(r) for r in C.coassociation_forest(profiles).collect()} == want
+    assert len(want) == 150 - 1 - 6
+
+
+def test_single_cut_writes_no_pairs(spark, rng, monkeypatch):
+    # items of few profiles: the pairs of their copies are never listed
+    monkeypatch.setattr(C, "coassociation", lambda *_: pytest.fail("lists pairs of items"))
+    labels = rng.integers(0, 2, size=(300, 3))
+    profiles = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(labels)], "id long, labels array<int>")
+    got = C.consensus_cut(profiles, 2, "single").collect()
+    assert len(got) == 300 and {r["cluster"] for r in got} == {0, 1}
