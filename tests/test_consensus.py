@@ -245,3 +245,16 @@ def test_single_cut_writes_no_pairs(spark, rng, monkeypatch):
     profiles = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(labels)], "id long, labels array<int>")
     got = C.consensus_cut(profiles, 2, "single").collect()
     assert len(got) == 300 and {r["cluster"] for r in got} == {0, 1}
+
+
+def test_settled_runs_leave_the_iterations(spark, rng, make_items, monkeypatch):
+    x = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(40, 3)) + 2])
+    items = make_items(x).persist()
+    start = np.stack([x[[0, 50]], x[[1, 2]], x[[3, 60]]])
+    alone = [C.lloyd(items, start[i : i + 1]) for i in range(3)]
+    start[0] = alone[0][0][0]  # this run has nothing to do
+    cells = []
+    monkeypatch.setattr(C, "sub_batch", lambda n: cells.append(n) or 64)
+    centers, inertia = C.lloyd(items, start)
+    assert cells[0] == 6 and min(cells) < 6 and cells == sorted(cells, reverse=True)
+    assert np.allclose(centers, np.concatenate([c for c, _ in alone])) and np.allclose(inertia, [v[0] for _, v in alone])
