@@ -166,3 +166,18 @@ def test_an_item_of_32_labels_meets_two_of_one(spark):
     rows = [(1, list(range(32)), 1, 1), (2, [0], 2, 2), (3, [31], 3, 3)]
     df = spark.createDataFrame(rows, "id int, theory array<int>, empirical int, detected int")
     assert {r["quantity"]: r["n"] for r in L.pair_intermediacy_any(df).collect()}["together_theory"] == 2
+
+
+def test_arrays_meet_at_their_first_shared_label(spark, monkeypatch):
+    # customers of separate regions: only those under one label are compared, and each pair once
+    from concord.operators import concordance as L
+    rng = np.random.default_rng(11)
+    rows = [(i, [int(v) for v in rng.choice(60, int(rng.integers(3, 9)), replace=False) + 60 * (i % 9)], int(rng.integers(0, 3)), int(rng.integers(0, 3))) for i in range(120)]
+    rows += [(200 + i, *rows[i][1:]) for i in range(15)]
+    items = spark.createDataFrame(rows, "id long, theory array<long>, empirical long, detected long")
+    want = sorted(map(tuple, L.pair_intermediacy_any(items).collect()), key=repr)
+    monkeypatch.setattr(L, "SUBSET_LABELS", 4)
+    keys, join = [], L.block_join
+    monkeypatch.setattr(L, "block_join", lambda *a, **k: keys.append(k.get("keys")) or join(*a, **k))
+    assert sorted(map(tuple, L.pair_intermediacy_any(items).collect()), key=repr) == want
+    assert keys == [["label"], ["label"]]
