@@ -258,3 +258,8 @@ def test_settled_runs_leave_the_iterations(spark, rng, make_items, monkeypatch):
     centers, inertia = C.lloyd(items, start)
     assert cells[0] == 6 and min(cells) < 6 and cells == sorted(cells, reverse=True)
     assert np.allclose(centers, np.concatenate([c for c, _ in alone])) and np.allclose(inertia, [v[0] for _, v in alone])
+
+
+def test_blocks_of_sums_do_not_multiply_with_the_rows():
+    copies = [-(-n // C._wide_block(n, 60, 12)) for n in (10_000, 100_000, 600_000)]
+    assert max(copies) <= 20 and C._wide_block(600_000, 100_000, 12) == C.SUB_BATCH
