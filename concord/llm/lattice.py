@@ -1,12 +1,13 @@
 """Language-model scores by a subword lattice.
 
-A token's probability comes from three places, each a proper distribution over all words, mixed causally:
-
-* words counted in the training documents keep ``(c - d) / N``, absolute discounting with ``d`` from the numbers
-  of words seen once and twice. Classes of documents (languages) have counts of their own, which fall back on
-  all documents; a text's probability is the mixture over the classes, so its own class is not read;
-* the discounted mass goes to words that were never counted, by the **marginal over all segmentations** of the
-  word into pieces of a public vocabulary: ``sum over paths of prod q(piece)``, a forward recursion in log space
+A token's probability is the sum over all paths of its lattice, which has two kinds of arcs; a third place is mixed
+in causally. Each is a proper distribution over all words:
+
+* an arc over the whole word, if the training documents hold it: ``(c - d) / N``, absolute discounting with ``d``
+  from the numbers of words seen once and twice. Classes of documents (languages) have counts of their own, which
+  fall back on all documents; a text's probability is the mixture over the classes, so its own class is not read;
+* the discounted mass goes to the arcs of pieces, for every word, counted or not: the **marginal over all
+  segmentations** of the word into pieces of a public vocabulary: ``sum over paths of prod q(piece)``, a forward recursion in log space
   over the lattice of its bytes. The scores begin with the vocabulary's own: merges are ranked by how common
   they are, so a piece weighs ``1 / (rank + PIECE_SHIFT)``, single bytes a fixed share, and a word's end
   ``STOP``. ``ROUNDS`` rounds of expected piece counts then fit them to the words that the training documents
@@ -33,7 +34,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +86,7 @@ def _by_length(tokens: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.array([len(t) for t in tokens], dtype=np.int64)
     for length in np.unique(lengths):
         same = np.flatnonzero(lengths == length)
-        step = max(1, (1 << 19) // (int(length) + 2))
+        step = max(1, (1 << 17) // (int(length) + 2))
         for at in range(0, len(same), step):
             rows = same[at : at + step]
             yield rows, np.frombuffer(b"".join(b" " + tokens[i] for i in rows), dtype=np.uint8).reshape(len(rows), length + 1)
@@ -215,18 +215,18 @@ def _chunk(name: int, parts: list, n_classes: int) -> pa.RecordBatch:
     of = np.repeat(kind, lengths)
     by_class = np.bincount(local[of >= 0] * n_classes + of[of >= 0], minlength=len(h) * n_classes).reshape(len(h), n_classes)
     counts = by_class.sum(axis=1)
-    # the bytes of words that the chunk's training documents hold once at most; others are counted words
-    ends = np.cumsum([len(w.hash) for w in split])
-    names: list[bytes | None] = [None] * len(h)
-    for place_, at in zip(np.flatnonzero(counts <= 1), first[counts <= 1], strict=True):
-        k = int(np.searchsorted(ends, at, side="right"))
-        i = at - (ends[k - 1] if k else 0)
-        names[place_] = split[k].data[split[k].start[i] : split[k].end[i]].tobytes()
+    # the bytes of every word: all go through the lattice
+    shift = np.cumsum([0, *[len(w.data) for w in split]])
+    data = np.concatenate([w.data for w in split])
+    start, end = (np.concatenate([getattr(w, side) + at for w, at in zip(split, shift)])[first] for side in ("start", "end"))
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    spelt = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], end - start)]
+    names = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(spelt)])
     # counts up to the last class with any
     size = np.where(counts > 0, n_classes - np.argmax(by_class[:, ::-1] > 0, axis=1), 0)
     flat = by_class[np.arange(n_classes)[None, :] < size[:, None]]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-    own = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), lists, pa.array(names, pa.binary())], names=["h", "n", "word"])
+    own = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), lists, names], names=["h", "n", "word"])
     kinds = {"chunk": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "classes": pa.list_(pa.int32()), "lengths": pa.list_(pa.int64()), "tokens": pa.binary()}
     row = {"chunk": name, "doc_ids": ids, "held": (kind < 0).tolist(), "classes": kind.tolist(), "lengths": lengths.tolist(), "tokens": zlib.compress(local.astype("<i4").tobytes(), 1)}
     return pa.RecordBatch.from_arrays(
@@ -304,7 +304,8 @@ class Counts:
         if self.total == 0:
             return np.where(np.arange(len(all_c)) == len(all_c) - 1, np.log(STOP), np.log(1 - STOP) + spelled)[None, :]
         with np.errstate(divide="ignore"):
-            common = np.where(all_c > 0, np.log(np.maximum(all_c - d, 0) / self.total), np.log(max(d * self.kinds, d) / self.total) + spelled)
+            # the arc of the whole word, and all paths of pieces
+            common = np.logaddexp(np.log(np.maximum(all_c - d, 0) / self.total), np.log(max(d * self.kinds, d) / self.total) + spelled)
             # a class falls back on all documents with the mass that discounting leaves it
             back = np.log(d * self.distinct / np.maximum(self.tokens, 1))[:, None] + common[None, :]
             own = np.log(np.maximum(c - d, 0) / np.maximum(self.tokens, 1)[:, None])
@@ -326,8 +327,7 @@ def _scorer(known: Counts, vocabulary: str, scores, n_classes: int):
                 c[k, at] = counted.column(f"c{k}").to_numpy()
             c[:, n_words] = known.ends
             spelled = np.full(n_words + 1, -np.inf)
-            unknown = counted.filter(pc.equal(counted.column("c"), 0))
-            spelled[unknown.column("at").to_numpy()] = spelling(unknown.column("word").to_pylist(), pieces(vocabulary)[0], scores.value)
+            spelled[at] = spelling(counted.column("word").to_pylist(), pieces(vocabulary)[0], scores.value)
             stated = known.logs(c, spelled)
             plain = np.exp(stated)
             base = np.log10((c.sum(axis=0) + 0.1) / (known.total + 0.1 * (known.kinds + 1)))
@@ -394,9 +394,7 @@ def score(docs: DataFrame, held_out: Column, classes: str | None = "lang", vocab
     per = [F.sum(F.coalesce(F.get("n", F.lit(k)), F.lit(0))).over(everywhere).alias(f"c{k}") for k in range(n_classes)]
     counted = sent.select("chunk", "at", "word", *per, first.alias("first"), (F.aggregate("n", F.lit(0), lambda s, x: s + x) == 1).alias("holds"))
     total = sum((F.col(f"c{k}") for k in range(1, n_classes)), F.col("c0"))
-    # the bytes are of use for words not counted, and for words counted once where that is
-    spelt = (F.col("c") == 0) | ((F.col("c") == 1) & F.col("holds"))
-    counted = counted.withColumn("c", total).select("chunk", "at", "c", *[f"c{k}" for k in range(n_classes)], "first", F.when(spelt, F.col("word")).alias("word"))
+    counted = counted.withColumn("c", total).select("chunk", "at", "c", *[f"c{k}" for k in range(n_classes)], "first", "holds", "word")
     counted = materialize(counted)
     once = F.col("first")
     facts = counted.filter(once).agg(
@@ -411,8 +409,8 @@ def score(docs: DataFrame, held_out: Column, classes: str | None = "lang", vocab
     v = np.array([int(facts[f"v{k}"]) for k in range(n_classes)]) + (per_class > 0)
     discount = min(0.95, max(0.05, facts["once"] / (facts["once"] + 2 * facts["twice"]))) if facts["once"] + facts["twice"] else 0.5
     known = Counts(n, v, per_class, discount, int(n.sum()), int(facts["kinds"]) + int(per_class.sum() > 0))
-    fitted = docs.sparkSession.sparkContext.broadcast(fit_pieces(counted.filter("c = 1 AND word IS NOT NULL"), vocabulary))
-    scores = packed.drop("words", "classes").groupBy("chunk").cogroup(counted.drop("first").groupBy("chunk")).applyInArrow(
+    fitted = docs.sparkSession.sparkContext.broadcast(fit_pieces(counted.filter("c = 1 AND holds"), vocabulary))
+    scores = packed.drop("words", "classes").groupBy("chunk").cogroup(counted.drop("first", "holds").groupBy("chunk")).applyInArrow(
         _scorer(known, vocabulary, fitted, n_classes), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -245,6 +245,26 @@ def test_scores_without_training_or_rows(spark, clashing, no_docs):
     assert len(rows) == clashing.count() and all(np.isfinite(r.score) and r.n_known == 0 for r in rows)
 
 
+def test_counted_words_go_through_the_lattice(spark):
+    docs = spark.createDataFrame([(1, "ab ab"), (3, "cd cd"), (4, "ab"), (6, "zz")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice.score(docs, F.col("doc_id") % 2 == 0, classes=None).collect()}
+    keys, own = lattice.pieces(lattice.VOCABULARY)
+    spelled = dict(zip(("ab", "zz"), np.exp(lattice.spelling([b"ab", b"zz"], keys, own)), strict=True))
+    # two words of two uses and two ends: 6 tokens of 3 kinds, discount 0.05; no word is held once, so the pieces' scores are their own
+    counted, left = 1.95 / 6, 0.05 * 3 / 6
+    end = counted + left * counted
+    assert got[4] == pytest.approx(math.log10(counted + left * (counted + left * spelled["ab"])) + math.log10(end), abs=1e-12)
+    assert got[6] == pytest.approx(math.log10(left * left * spelled["zz"]) + math.log10(end), abs=1e-9)
+
+
+def test_stated_probabilities_add_up_to_one():
+    # three counted words, two others and the end; spellings are a distribution over the five words
+    spelled = np.log([0.3, 0.2, 0.1, 0.25, 0.15, 1e-300])
+    c = np.array([[3, 1, 2, 0, 0, 2], [1, 0, 4, 0, 0, 1]])
+    known = lattice.Counts(c.sum(axis=1), (c > 0).sum(axis=1), c[:, -1], 0.5, int(c.sum()), 4)
+    assert np.exp(known.logs(c, spelled)).sum(axis=1) == pytest.approx([1.0, 1.0])
+
+
 @tables
 def test_lattice_beats_the_base_on_unseen_documents(spark):
     r = queries.QUERIES["op8_lattice_scores"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
