@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm import words
-from concord.operators.graph import components
+from concord.operators.graph import components, extended_components
 from concord.llm.store import add_rows, intermediate_tables, materialize, may_match, partitions_for, small_batches
 
 SLOTS = 1 << 20
@@ -310,22 +310,20 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
         pairs = materialize(space.possible(seeds.select(F.col("pivot").alias("a"), F.col("point").alias("b"), "keys"), "keys"))
         nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a", "n_a", "n_b")).alias("best")).select("best.a", "b", "best.n_a", "best.n_b")
         found = space.compare(nearest)
-        links = found.filter("linked").select("a", "b")
-        known = components(links)
+        known = components(found.filter("linked").select("a", "b"))
         rest = pairs
         for end in ("a", "b"):
             rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
         apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
         others = rest.filter(apart).select("a", "b", "n_a", "n_b").join(found.select("a", "b"), ["a", "b"], "left_anti")
         more = space.compare(others)
-        links, found = links.unionByName(more.filter("linked").select("a", "b")), found.unionByName(more)
+        labels, found = extended_components(known, more.filter("linked").select("a", "b")), found.unionByName(more)
         near = found.select(F.col("a").alias("region"), F.col("b").alias("point"), F.col("distance").alias("near"))
         # a region without the first points of its key, which have met every member
         members = seeds.filter("deep").select(F.col("pivot").alias("region"), "point").join(near, ["region", "point"], "left")
         members = members.join(space.known.select("point", "n", "classes"), "point")
         count = PIVOTS
         while True:
-            labels = components(links)
             members = _live(members, labels)
             if members.isEmpty():
                 break
@@ -344,7 +342,7 @@ def linked_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
                 F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"), F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b"),
             ).distinct()
             more = space.compare(pairs)
-            links = links.unionByName(more.filter("linked").select("a", "b"))
+            labels = extended_components(labels, more.filter("linked").select("a", "b"))
             members = members.join(chosen.select("region", "point"), ["region", "point"], "left_anti")
             count *= PIVOTS
         # classes of points, then the smallest id of each class

@@ -124,6 +124,33 @@ def test_components_of_stars_and_chains(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_need_no_rounds_and_grow_with_new_links(spark, monkeypatch):
+    """A round of links that are few costs the driver as many exchanges as one of many, and classes are not found anew for each new link."""
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    read = lambda df: {r.node: r.component for r in df.collect()}
+    parent = {n: n for link in links if link[0] != link[1] for n in link}
+    for _ in range(100):
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda *a, **k: (written.append(1), plain(*a, **k))[1])
+    assert read(graph.components(frame(links))) == parent and len(written) == 3
+    # the rounds, down to links that are finished directly
+    monkeypatch.setattr(graph, "FINISH_LINKS", 20)
+    assert read(graph.components(frame(links))) == parent
+    monkeypatch.setattr(graph, "FINISH_LINKS", 0)
+    assert read(graph.components(frame(links))) == parent
+    grown = graph.extended_components(graph.extended_components(graph.components(frame(links[:120])), frame(links[120:250])), frame(links[250:]))
+    assert read(grown) == parent
+    assert read(graph.extended_components(graph.components(frame([])), frame(links))) == parent and read(graph.extended_components(grown, frame([]))) == parent
+    named = [(f"n{a:03}", f"n{b:03}") for a, b in links if a < 400 and b < 400]
+    assert read(graph.components(spark.createDataFrame(named, "a string, b string"))) == {f"n{n:03}": f"n{c:03}" for n, c in parent.items() if n < 400}
+
+
 def brute_vectors(rows, cosine):
     ok = []
     for _, v, label in rows:
