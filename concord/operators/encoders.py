@@ -1,7 +1,10 @@
-"""Text encoders: hashed TF-IDF in Spark SQL, and any model that turns a list of texts into a matrix."""
+"""Text encoders: hashed TF-IDF, and any model that turns a list of texts into a matrix."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.vectors import vectors
+from concord.runtime import materialize
 
 BUCKETS = 1 << 12
 BATCH_BYTES = 4 << 20
+WORDS_KEPT = 1 << 16
+
+_WORD = re.compile(rb"[a-z0-9]+")
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -28,25 +35,50 @@ def hashed_tfidf(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     count * ln((documents + 1) / (documents with the bucket + 1)). Ids are unique. Null texts and texts without words
     have empty arrays; a vector of weights that are all zero stays zero.
 
-    Words are counted before the shuffle, and the table of document frequencies has at most ``buckets`` rows,
-    which is what makes it safe to broadcast.
+    A text is one row, so its words are counted where it is read and only sums of document frequencies are shuffled,
+    at most ``buckets`` of them. The counts are written, as they are read twice.
     """
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select("id", F.explode(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % buckets
-    counts = words.select("id", bucket.cast("int").alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    frequencies = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    schema = T.StructType([docs.schema["id"], T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found, n, ends = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                cells = _bucket_counts(text, buckets, known)
+                found += cells
+                n += cells.values()
+                ends.append(len(found))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(found, pa.int32())), pa.ListArray.from_arrays(at, pa.array(n, pa.int64()))]
+            yield pa.record_batch([batch.column("id"), *lists], names=["id", "buckets", "counts"])
+
+    counts = materialize(docs.select("id", "text").mapInArrow(count, schema))
+    frequencies = counts.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     documents = docs.agg(F.count(F.lit(1))).scalar()
-    weight = F.col("n") * F.log((documents + 1) / (F.col("df") + 1))
-    weighed = counts.join(F.broadcast(frequencies), "bucket").select("id", "bucket", weight.alias("w"))
-    cells = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["w"] * c["w"]))
-    unit = cells.withColumn("norm", norm).select(
-        "id", F.transform("cells", lambda c: c["bucket"]).alias("buckets"),
-        F.transform("cells", lambda c: F.when(F.col("norm") > 0, c["w"] / F.col("norm")).otherwise(0.0)).alias("weights"),
+    # a weight for each of the buckets, in their order
+    rare = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(frequencies), "bucket", "left").select(
+        "bucket", F.log((documents + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf")
     )
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    return docs.select("id").join(unit, "id", "left").select("id", empty("buckets", "int"), empty("weights", "double"))
+    rare = rare.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "idf"))), lambda c: c["idf"]).alias("idf"))
+    raw = F.zip_with("buckets", "counts", lambda b, n: n * F.get("idf", b))
+    weighed = counts.crossJoin(F.broadcast(rare)).select("id", "buckets", raw.alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, w: total + w * w))
+    return weighed.withColumn("norm", norm).select("id", "buckets", F.transform("raw", lambda w: F.when(F.col("norm") > 0, w / F.col("norm")).otherwise(0.0)).alias("weights"))
+
+
+def _bucket_counts(text: str | None, buckets: int, known: dict[bytes, int]) -> dict[int, int]:
+    """Words of ``text`` by bucket, ascending. ``known`` keeps the buckets of words met before, WORDS_KEPT at most."""
+    cells: dict[int, int] = {}
+    # of bytes, lower() changes A-Z only
+    for word, n in Counter(_WORD.findall((text or "").encode().lower())).items():
+        bucket = known.get(word)
+        if bucket is None:
+            if len(known) >= WORDS_KEPT:
+                known.clear()
+            bucket = known[word] = int(hashlib.md5(word).hexdigest()[:8], 16) % buckets
+        cells[bucket] = cells.get(bucket, 0) + n
+    return dict(sorted(cells.items()))
 
 
 def encode_texts(docs: DataFrame, name: str, load: Callable[[], Encoder], text: str = "text", out: str = "vec", batch_bytes: int = BATCH_BYTES) -> DataFrame:

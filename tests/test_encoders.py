@@ -36,6 +36,15 @@ def test_hashed_tfidf_is_the_plain_one(spark, buckets):
     assert encoders.hashed_tfidf(df.filter("id < 0")).collect() == []
 
 
+def test_hashed_tfidf_counts_words_where_they_are_read(spark):
+    df = spark.createDataFrame([(i, f"word {i % 3} of {i % 5}") for i in range(40)], "id long, text string")
+    plan = encoders.hashed_tfidf(df)._jdf.queryExecution().optimizedPlan().toString()
+    # words are neither rows nor hashed anew for each of the plan's two readers, and nothing is grouped by id
+    assert "md5" not in plan and "regexp_extract_all" not in plan and "Aggregate [id" not in plan
+    known = {}
+    assert encoders._bucket_counts("a b a", 4096, known) == encoders._bucket_counts("B A a", 4096, known) and set(known) == {b"a", b"b"}
+
+
 def test_encoder_is_called_with_bounded_batches(spark):
     texts = [None, "", "abc", "x" * 100, "ä" * 6, None, "y" * 9]
 
