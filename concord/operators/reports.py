@@ -151,15 +151,17 @@ def summary_statistics(reports: DataFrame) -> DataFrame:
     A variable takes two lines; the block starts where ``Variable/`` is followed by
     ``Sample Size`` and ends at the next heading, a line of capital words only.
     """
-    start = F.locate("Variable/", F.col("text"))
-    block = F.split(F.expr("substring(text, locate('Variable/', text))"), r"\n(?=[ \t]*[A-Z][A-Z]+(?:[ \t]+[A-Z/&-]+)+[ \t\r]*(?:\n|\z))", 2)[0]
-    lines = F.split(block, r"\r?\n")
-    two = reports.filter(F.col("text").rlike(r"Variable/[^\n]*\n[^\n]*Sample Size") & (start > 0)).select("source", lines.alias("l"))
-    pairs = two.select("source", F.inline(F.zip_with("l", F.slice("l", F.lit(2), F.size("l")), lambda x, y: F.struct(x.alias("line"), y.alias("below")))))
-    tokens = pairs.select("source", F.split(F.trim("line"), r"\s+").alias("u"), F.split(F.trim("below"), r"\s+").alias("v")).filter(
-        (F.size("u") >= 5) & (F.size("v") >= 5)
-    )
-    num = lambda c, i: F.regexp_replace(F.col(c)[i], "%", "").try_cast("double")
+    # bound to names, each text is composed once and each line split once; columns would be computed again wherever they are
+    # read, and a filter on the text would move below the exchange that deals the reports out
+    heading = r"\n(?=[ \t]*[A-Z][A-Z]+(?:[ \t]+[A-Z/&-]+)+[ \t\r]*(?:\n|\z))"
+    block = lambda t: F.split(F.substr(t, F.locate("Variable/", t)), heading, 2)[0]
+    words = lambda t: F.transform(F.split(block(t), r"\r?\n"), lambda line: F.split(F.trim(line), r"\s+"))
+    two = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+    long = lambda p: (F.size(p["u"]) >= 5) & (F.size(p["v"]) >= 5)
+    held = F.filter(F.array("text"), lambda t: t.rlike(r"Variable/[^\n]*\n[^\n]*Sample Size"))
+    pairs = F.flatten(F.transform(F.transform(held, words), lambda w: F.filter(two(w), long)))
+    tokens = reports.select("source", F.inline(pairs))
+    num = lambda c, i: F.translate(F.col(c)[i], "%", "").try_cast("double")
     rows = tokens.filter(F.col("u")[0].try_cast("double").isNull()).select(
         "source", F.upper(F.col("u")[0]).alias("variable"), num("u", 1).alias("mean"), num("u", 3).alias("min_val"),
         num("u", 4).alias("min_pct"), num("v", 3).alias("max_val"), num("v", 4).alias("max_pct"),

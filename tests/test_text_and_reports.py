@@ -161,6 +161,17 @@ def test_reports_end_to_end(spark, report_folder):
     assert status[("age", "COG", "AGE", "UNIDIM", "STDYX")] == "unlisted"
 
 
+def test_summary_lines_are_split_once_where_reports_are_dealt(spark):
+    text = "x\nVariable/ a b c\nSample Size d\n sex 0.5 0.1 0.0 60.0%\n 739.0 0.25 -1.9 1.0 40.0%\n AGE 18.9 0.1 17 0.14%\n 739 3 -1 24 0.27%\n\nNEXT HEADING\n LATE 1 2 3 4\n 1 2 3 4 5\n"
+    df = spark.createDataFrame([("a", text), ("b", text.replace("Sample Size", "Size")), ("c", None), ("d", "")], "source string, text string")
+    out = reports.summary_statistics(df.repartition(2, "source").withColumn("text", F.concat("text", F.lit("\n"))))
+    rows = sorted(tuple(r) for r in out.collect())
+    assert rows == [("a", "AGE", 18.9, 17.0, 0.14, 24.0, 0.27, False), ("a", "SEX", 0.5, 0.0, 60.0, 1.0, 40.0, True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # heading, lines and words once each; no filter on the composed text below the exchange
+    assert plan.count("split(") == 3 and not [x for x in plan.splitlines() if "Filter" in x and "Sample" in x]
+
+
 def test_value_must_lie_inside_the_window(spark):
     body = ["Value 1", "ANCHOR", "x", "Value 2.5", "ANCHOR", "y", "z", "w", "Value 9"]
     df = spark.createDataFrame([("r", "\n".join(body)), ("late", "\n".join(body[4:])), ("second", "ANCHOR\na\nb\nc\nANCHOR Value 7\n")], "source string, text string")
