@@ -263,3 +263,30 @@ def test_settled_runs_leave_the_iterations(spark, rng, make_items, monkeypatch):
 def test_blocks_of_sums_do_not_multiply_with_the_rows():
     copies = [-(-n // C._wide_block(n, 60, 12)) for n in (10_000, 100_000, 600_000)]
     assert max(copies) <= 20 and C._wide_block(600_000, 100_000, 12) == C.SUB_BATCH
+
+
+def test_neighbour_slices_equal_rounded_similarities(rng, monkeypatch):
+    """Single precision decides nothing near the bound: pairs just below, at and just above it, copies, zeros."""
+    import pyarrow as pa
+
+    from concord.functions.vectors import vectors
+    from concord.operators import similarity as S
+
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    other = rng.normal(size=64)
+    other -= base * (other @ base)
+    other /= np.linalg.norm(other)
+    at = [0.36 + e for e in (-1e-6, -2e-9, -6e-10, -4e-10, 0.0, 4e-10, 6e-10, 2e-9, 1e-6)]
+    x = np.vstack([rng.normal(size=(700, 64)), np.tile(base, (40, 1)), [c * base + np.sqrt(1 - c * c) * other for c in at], np.zeros((2, 64))])
+    left = pa.table({"id": np.arange(len(x)), "vec": vectors(x)})
+    want = S.sim_block(left, left) >= 0.36
+    assert want[700, 740:749].tolist() == [False, False, False, True, True, True, True, True, True]
+    exact = []
+    plain = S.sim_matrix
+    monkeypatch.setattr(S, "sim_matrix", lambda *a: (exact.append(1), plain(*a))[1])
+    got = np.vstack([near for _, near in S.near_slices(left, left, 0.36)])
+    # no whole product in double precision
+    assert (got == want).all() and not exact
+    copies = left.take(pa.array([740 + 4] * 300 + [700] * 300))
+    assert (np.vstack([near for _, near in S.near_slices(copies, copies, 0.36)]) == (S.sim_block(copies, copies) >= 0.36)).all()
