@@ -290,3 +290,26 @@ def test_neighbour_slices_equal_rounded_similarities(rng, monkeypatch):
     assert (got == want).all() and not exact
     copies = left.take(pa.array([740 + 4] * 300 + [700] * 300))
     assert (np.vstack([near for _, near in S.near_slices(copies, copies, 0.36)]) == (S.sim_block(copies, copies) >= 0.36)).all()
+
+
+@pytest.mark.parametrize("kind", ["bands", "every"])
+def test_coassociation_blocks_bound_the_pairs_of_a_task(spark, monkeypatch, kind):
+    """All pairs of a group of like profiles may be returned, so its blocks are short."""
+    rows = [(i, [0, 0, 0, i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, labels array<int>")
+    sizes = []
+    plain = C.block_join
+
+    def seen(left, right, kernel, schema, *args, **options):
+        def bounded(key, lt, rt):
+            assert lt.num_rows <= 400 and rt.num_rows <= 400
+            return kernel(key, lt, rt)
+
+        sizes.append(options.get("block_rows"))
+        return plain(left, right, bounded, schema, *args, **options)
+
+    assert C.PAIR_ROWS <= 2048
+    monkeypatch.setattr(C, "PAIR_ROWS", 300)
+    monkeypatch.setattr(C, "block_join", seen)
+    out = C.coassociation(df, 0.75 if kind == "bands" else 0.0)
+    assert out.count() == 900 * 899 // 2 and sizes == [300]
