@@ -267,10 +267,14 @@ def cascade_match(left: DataFrame, right: DataFrame, taus: Sequence[float]) -> D
     ``left`` and ``right`` are (id, title_vec, text_vec). Stage 1 locks pairs whose title
     similarity reaches ``tau``; stage 2 matches what is left on the full text. Output:
     tau, left_id, right_id, sim_title, sim_fulltext, sim_decision, stage.
+
+    Greedy matching takes pairs by descending similarity, so a threshold only ends it earlier: stage 1 is matched
+    once, at the lowest threshold, and each threshold keeps the pairs that reach it.
     """
     levels = F.explode(F.array(*[F.lit(float(t)) for t in taus]))
-    titles = lambda side: side.select("id", F.col("title_vec").alias("vec")).withColumn("tau", levels)
-    locked = materialize(match_sets(titles(left), titles(right), ["tau"], min_sim=lambda key: key[0].as_py()))
+    titles = lambda side: side.select("id", F.col("title_vec").alias("vec"))
+    lowest = materialize(match_sets(titles(left), titles(right), min_sim=float(min(taus))))
+    locked = materialize(lowest.withColumn("tau", levels).filter("sim >= tau").select("tau", *PAIR))
 
     def rest(side: DataFrame, name: str) -> DataFrame:
         every = side.select("id", F.col("text_vec").alias("vec")).withColumn("tau", levels)

@@ -103,6 +103,33 @@ def test_blocks_do_not_change_results(make_items, rng, monkeypatch):
     assert pairs == {(i, j) for i in range(150) for j in range(i + 1, 150) if s[i, j] >= 0.8}
 
 
+@pytest.mark.parametrize(("k", "min_sim"), [(16, None), (16, 0.6), (1, None), (3, 1e-9)])
+def test_screened_top_is_that_of_all_products(rng, monkeypatch, k, min_sim):
+    monkeypatch.setattr(similarity, "slice_rows", lambda others: 16)
+    a, b = rng.normal(size=(50, 6)), rng.normal(size=(1500, 6))
+    b[100:130], b[200:203], b[7] = a[3], a[4] * 2, 0.0  # copies tie, the first ones count
+    b[300:310] = a[5] + rng.normal(size=(10, 6)) * 1e-7  # closer than single precision tells
+    same = np.arange(10), np.arange(100, 110)
+    for left_out in (None, same):
+        sims = similarity.sim_matrix(a, b)
+        if left_out is not None:
+            sims[left_out] = -np.inf
+        if min_sim is not None:
+            sims[sims < min_sim] = -np.inf
+        rows, cols = similarity.block_top(sims, k)
+        got = similarity.cosine_top(a, b, k, min_sim, left_out)
+        assert got[0].tolist() == rows.tolist() and got[1].tolist() == cols.tolist() and got[2].tolist() == sims[rows, cols].tolist()
+
+
+def test_titles_are_matched_once_for_all_thresholds(spark, rng, monkeypatch):
+    calls, whole = [], matching.match_sets
+    monkeypatch.setattr(matching, "match_sets", lambda left, right, keys=(), **more: calls.append(tuple(keys)) or whole(left, right, keys, **more))
+    x = unit(rng.normal(size=(24, 3)))
+    frame = spark.createDataFrame([(i, x[i].tolist(), x[i].tolist()) for i in range(24)], "id int, title_vec array<double>, text_vec array<double>")
+    out = matching.cascade_match(frame.filter("id < 12"), frame.filter("id >= 12"), [0.7, 0.9]).collect()
+    assert calls == [(), ("tau",)] and len(out) == 24
+
+
 def test_euclidean_noise_fill(spark, rng):
     x = rng.normal(size=(60, 4)) * rng.uniform(0.2, 3, size=(60, 1))
     label = [int(v) for v in rng.integers(-1, 3, size=60)]
