@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import consensus as C
+from concord.operators import linkage
 from concord.operators.spectral import neighbour_edges, spectral_clusters
 from concord.operators.spectrum import mix64
 
@@ -313,3 +314,16 @@ def test_coassociation_blocks_bound_the_pairs_of_a_task(spark, monkeypatch, kind
     monkeypatch.setattr(C, "block_join", seen)
     out = C.coassociation(df, 0.75 if kind == "bands" else 0.0)
     assert out.count() == 900 * 899 // 2 and sizes == [300]
+
+
+def test_items_around_one_profile_merge_in_few_rounds(spark, monkeypatch):
+    # the nearest of all others is the first, so one merge a round was all there is
+    rounds, merged = [], linkage._merged
+    monkeypatch.setattr(linkage, "_merged", lambda *a: rounds.append(1) or merged(*a))
+    monkeypatch.setattr(linkage, "FINISH_CLUSTERS", 10)
+    monkeypatch.setattr(linkage, "TOP_CLUSTERS", 10)
+    labels = np.concatenate([np.zeros((1, 40), dtype=int), np.eye(40, dtype=int), np.full((1, 40), 2), 2 + np.eye(40, dtype=int)])
+    profiles = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(labels)], "id long, labels array<int>")
+    got = {r["id"]: r["cluster"] for r in C.consensus_cut(profiles, 2).collect()}
+    assert got == {i: int(i > 40) for i in range(82)}
+    assert len(rounds) <= 2
