@@ -327,3 +327,19 @@ def test_items_around_one_profile_merge_in_few_rounds(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in C.consensus_cut(profiles, 2).collect()}
     assert got == {i: int(i > 40) for i in range(82)}
     assert len(rounds) <= 2
+
+
+def test_partial_sums_come_in_blocks_of_runs(spark, rng, make_items, monkeypatch):
+    # a row per cluster of every run, of boxed numbers, was most of an iteration's time
+    x = np.concatenate([rng.normal(size=(50, 4)), rng.normal(size=(50, 4)) + 2])
+    items = make_items(x).repartition(3).persist()
+    start = np.stack([x[rng.choice(100, 3, replace=False)] for _ in range(7)])
+    whole = C.lloyd(items, start)
+    monkeypatch.setattr(C, "SUM_VALUES", 20)
+    centers, inertia = C.lloyd(items, start)
+    assert np.allclose(centers, whole[0]) and np.allclose(inertia, whole[1])
+    for run, c in enumerate(start):
+        for _ in range(100):
+            gap = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+            c = np.array([x[gap.argmin(axis=1) == j].mean(axis=0) if (gap.argmin(axis=1) == j).any() else c[j] for j in range(3)])
+        assert np.allclose(c, centers[run]) and np.isclose(gap.min(axis=1).sum(), inertia[run])
