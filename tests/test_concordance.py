@@ -181,3 +181,28 @@ def test_arrays_meet_at_their_first_shared_label(spark, monkeypatch):
     monkeypatch.setattr(L, "block_join", lambda *a, **k: keys.append(k.get("keys")) or join(*a, **k))
     assert sorted(map(tuple, L.pair_intermediacy_any(items).collect()), key=repr) == want
     assert keys == [["label"], ["label"]]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("block_rows", [8192, 40])
+def test_rows_of_a_label_are_packed(spark, rng, monkeypatch, kind, block_rows):
+    # rows went to each label twice over, with the labels before it as they are
+    made = [(sorted(rng.choice(400, rng.integers(3, 14), replace=False) * 7 - 900), int(rng.integers(0, 3)), "xy"[rng.integers(0, 2)]) for _ in range(300)]
+    made += [([0 * 7 - 900, 5000 + i, 6000 + i, 7000 + i], None, "x") for i in range(60)]
+    name = (lambda v: f"s{v}") if kind == "string" else int
+    rows = [([name(v) for v in t], e, d) for t, e, d in made]
+    df = spark.createDataFrame(rows, f"theory array<{kind}>, empirical int, detected string")
+    monkeypatch.setattr(L, "SUBSET_LABELS", 5)  # both forms, and pairs of one and the other
+    monkeypatch.setattr(L, "PACK_ROWS", 50)
+    monkeypatch.setattr(L, "PART_ENTRIES", 100)
+    monkeypatch.setattr(L, "BLOCK_ROWS", block_rows)
+    joined, join = [], L.block_join
+    monkeypatch.setattr(L, "block_join", lambda *a, **k: joined.append(a[0].count()) or join(*a, **k))
+    got = {r["quantity"]: r["n"] for r in L.pair_intermediacy_any(df).collect()}
+    pairs = [(bool(set(a[0]) & set(b[0])), a[1] is not None and a[1] == b[1], a[2] == b[2]) for i, a in enumerate(rows) for b in rows[i + 1 :]]
+    assert got["together_theory"] == sum(t for t, _, _ in pairs)
+    assert got["consensus_together"] == sum(t and e for t, e, _ in pairs)
+    assert got["consensus_together_kept"] == sum(t and e and d for t, e, d in pairs)
+    assert got["resolved_to_theory"] == sum(t and not e and d or e and not t and not d for t, e, d in pairs)
+    # only labels of more than a block are sent as they are
+    assert (sum(joined) > 0) == (block_rows < 300)
